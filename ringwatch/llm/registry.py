@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ringwatch.llm import fingerprint, jaccard, packing, tokenfile
+from ringwatch.llm import fingerprint, jaccard, packing, pii, tokenfile
 from ringwatch.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Stands for a secret that a deployment keeps elsewhere.
+PII_KEY = "rotate-me"
+
+
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.rebase(tokenfile.write(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)))
 
@@ -30,7 +38,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_files, op7_fingerprints, op8_ngram_jaccard_join, op9_packing)}
+    return {f.__name__: f for f in (op2_feistel_pseudonyms, op5_token_files, op7_fingerprints, op8_ngram_jaccard_join, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
