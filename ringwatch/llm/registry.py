@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ringwatch.llm import fingerprint, jaccard, packing, pii, tokenfile
+from ringwatch.llm import fingerprint, jaccard, neighbours, packing, pii, sharding, tokenfile
 from ringwatch.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,10 +18,18 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PII_KEY = "rotate-me"
 
 
+def op1_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op4_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.rebase(tokenfile.write(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)))
 
@@ -38,7 +47,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_feistel_pseudonyms, op5_token_files, op7_fingerprints, op8_ngram_jaccard_join, op9_packing)}
+    return {f.__name__: f for f in (op1_label_propagation_shards, op2_feistel_pseudonyms, op4_one_bit_neighbours, op5_token_files, op7_fingerprints, op8_ngram_jaccard_join, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
