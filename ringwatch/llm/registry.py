@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwatch.llm import fingerprint, jaccard, neighbours, packing, pii, sharding, tokenfile
+from ringwatch.llm import fingerprint, jaccard, lm, neighbours, packing, pii, sharding, tokenfile
 from ringwatch.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,8 +46,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_label_propagation_shards, op2_feistel_pseudonyms, op4_one_bit_neighbours, op5_token_files, op7_fingerprints, op8_ngram_jaccard_join, op9_packing)}
+    return {f.__name__: f for f in (op1_label_propagation_shards, op2_feistel_pseudonyms, op4_one_bit_neighbours, op5_token_files, op7_fingerprints, op8_ngram_jaccard_join, op9_packing, op10_pitman_yor_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
