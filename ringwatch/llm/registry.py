@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwatch.llm import fingerprint, jaccard, lm, neighbours, packing, pii, sharding, tokenfile
+from ringwatch.llm import fingerprint, jaccard, lm, neighbours, packing, pii, quality, sharding, tokenfile, unigram
 from ringwatch.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 #: Stands for a secret that a deployment keeps elsewhere.
@@ -26,6 +27,10 @@ def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op3_max_plus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op4_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -34,6 +39,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.rebase(tokenfile.write(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)))
 
 
+def op6_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -51,7 +60,7 @@ def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_label_propagation_shards, op2_feistel_pseudonyms, op4_one_bit_neighbours, op5_token_files, op7_fingerprints, op8_ngram_jaccard_join, op9_packing, op10_pitman_yor_scores)}
+    return {f.__name__: f for f in (op1_label_propagation_shards, op2_feistel_pseudonyms, op3_max_plus_pieces, op4_one_bit_neighbours, op5_token_files, op6_cotrained_quality, op7_fingerprints, op8_ngram_jaccard_join, op9_packing, op10_pitman_yor_scores)}
 
 
 def oracle_sql() -> dict[str, str]:

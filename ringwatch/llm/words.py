@@ -53,8 +53,8 @@ def strings(raw: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Lower-cased words: index of each into the distinct words, those, words per text."""
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words (lower-cased): index of each into the distinct words, those, words per text."""
     raw, offsets = utf8(texts)
     if not len(raw):
         return np.zeros(0, np.int32), pa.array([], pa.large_binary()), np.zeros(len(texts), np.int64)
@@ -67,7 +67,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     solid = np.flatnonzero(~space)
     first = np.searchsorted(solid, at)
     lengths = np.diff(np.append(first, len(solid)))
-    encoded = strings(LOWER[raw[solid]], lengths).dictionary_encode()
+    encoded = strings(LOWER[raw[solid]] if lower else raw[solid], lengths).dictionary_encode()
     return encoded.indices.to_numpy(), encoded.dictionary, np.diff(np.searchsorted(at, offsets))
 
 
