@@ -108,8 +108,8 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     hot = max(200, total // 1000)
     big = F.broadcast(sizes.where(F.col("members") >= hot).select("group", F.col("members").alias("_hot")))
     small = sizes.where(F.col("members") < hot).select("group", F.col("members").alias("_few"))
-    marked = rows.join(big, "group", "left")
-    calm = marked.where("_hot is null").drop("_hot").join(small, "group", "left")
+    marked = saved(rows.join(big, "group", "left"), "marked")
+    calm = saved(marked.where("_hot is null").drop("_hot").join(small, "group", "left"), "calm")
     order = [F.col("doc_id"), F.col("text_crc32")]
     of_big = ranked(marked.where("_hot is not null").drop("_hot"), ["group"], order, salt([F.col("doc_id")], spread))
     of_small = calm.where("_few is not null").drop("_few").withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(*order)).cast("long") - 1)
