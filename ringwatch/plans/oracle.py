@@ -30,7 +30,7 @@ def with_views(sql: str) -> str:
     order = [n for n in texts if n in needed]
     ctes = ", ".join(f"{n} AS ({_duck(texts[n])})" for n in order)
     if sql.lstrip().upper().startswith("WITH RECURSIVE"):
-        return f"WITH RECURSIVE {ctes}, " + sql.lstrip()[14:]
+        return f"WITH RECURSIVE {ctes}, " + sql.lstrip()[14:] if ctes else sql
     if sql.lstrip().upper().startswith("WITH "):
         return f"WITH {ctes}, " + sql.lstrip()[5:] if ctes else sql
     return f"WITH {ctes} {sql}" if ctes else sql

@@ -336,9 +336,9 @@ _BOOT = 200
 @query(f"""WITH {_ROWS}, t AS (SELECT replicate, band, share, n, count(*) FILTER (('0x' || substr(md5('b1:' || replicate || ':' || band || ':' || trial), 1, 8))::BIGINT / 4294967296.0::DOUBLE < k / n) hits
     FROM (SELECT *, unnest(range(1, n + 1)) trial FROM (SELECT *, unnest(range(1, {_BOOT + 1})) replicate FROM strat WHERE n > 0)) GROUP BY ALL),
     m AS (SELECT replicate, {_ADD('share * hits / n')} x FROM t GROUP BY 1)
-    SELECT quantile_cont(x, 0.025) low, quantile_cont(x, 0.975) high, count(*) replicates FROM m""")
+    SELECT round(quantile_cont(x, 0.025), 10) low, round(quantile_cont(x, 0.975), 10) high, count(*) replicates FROM m""")
 def bootstrap_interval(p):
-    return measurement.bootstrap(_stratified(p), _BOOT, "b1")
+    return measurement.bootstrap(_stratified(p), _BOOT, "b1").withColumns({c: F.round(c, 10) for c in ("low", "high")})
 
 
 def curve_scope(p):
@@ -407,12 +407,13 @@ _DELTAS = f"""{_PAIRS}, d AS (SELECT truth, CASE WHEN coalesce(after = truth, fa
     c AS (SELECT truth threat_class, count(*) n, count(*) FILTER (d = 1) up, count(*) FILTER (d = -1) down FROM d GROUP BY 1),
     t AS (SELECT *, unnest(range(1, n + 1)) trial FROM (SELECT *, unnest(range(1, 101)) replicate FROM c)),
     s AS (SELECT threat_class, n, up, down, replicate, sum(CASE WHEN u < up THEN 1 WHEN u < up + down THEN -1 ELSE 0 END) / n x
-        FROM (SELECT *, ('0x' || substr(md5('e1:' || threat_class || ':' || replicate || ':' || trial), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n u FROM t) GROUP BY ALL),
-    deltas AS (SELECT threat_class, n support, (up - down) / n delta, quantile_cont(x, 0.025) low, quantile_cont(x, 0.975) high FROM s GROUP BY threat_class, n, up, down)"""
+        FROM (SELECT *, ('0x' || substr(md5('e1:' || threat_class || ':' || replicate || ':' || trial), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n u FROM t) GROUP BY threat_class, n, up, down, replicate),
+    deltas AS (SELECT threat_class, n support, (up - down) / n delta, round(quantile_cont(x, 0.025), 10) low, round(quantile_cont(x, 0.975), 10) high FROM s GROUP BY threat_class, n, up, down)"""
 
 
 def _deltas(p):
-    return evaluation.recall_deltas(evaluation.paired(_items(p, _BEFORE), _items(p, _AFTER)), 100, "e1")
+    found = evaluation.recall_deltas(evaluation.paired(_items(p, _BEFORE), _items(p, _AFTER)), 100, "e1")
+    return found.withColumns({c: F.round(c, 10) for c in ("low", "high")})
 
 
 @query(f"WITH {_DELTAS} SELECT * FROM deltas")
@@ -659,13 +660,14 @@ def corpus_document_digest(p):
     return corpus.document_digest(_clauses(p), "doc", ["heading", "text"], "ordinal")
 
 
-_CITES = """cites AS (SELECT item_id * 1000 + n citation_id, CASE WHEN item_id % 7 = 0 THEN 'missing' ELSE 'd' || (item_id % 20) END content_digest, CASE WHEN item_id % 5 = 0 THEN 'nowhere' ELSE 'a' || n END anchor_id,
-    CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN array_to_string(string_split(text, ' ')[1:3], ' ') ELSE array_to_string(string_split(text, ' ')[1:8], ' ') END excerpt FROM benchmark, (VALUES (0), (1)) k(n)),
-    clause AS (SELECT 'd' || item_id % 20 content_digest, 'a' || (item_id // 20) % 2 anchor_id, string_agg(text, ' ' ORDER BY item_id) AS text FROM benchmark GROUP BY ALL)"""
+_PLAIN = r"trim(regexp_replace({}, '[\x09-\x0D\x20]+', ' ', 'g'))"
+_CITES = f"bench AS (SELECT item_id, {_PLAIN.format('text')} AS text FROM benchmark), " + """cites AS (SELECT item_id * 1000 + n citation_id, CASE WHEN item_id % 7 = 0 THEN 'missing' ELSE 'd' || (item_id % 20) END content_digest, CASE WHEN item_id % 5 = 0 THEN 'nowhere' ELSE 'a' || n END anchor_id,
+    CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN array_to_string(string_split(text, ' ')[1:3], ' ') ELSE array_to_string(string_split(text, ' ')[1:8], ' ') END excerpt FROM bench, (VALUES (0), (1)) k(n)),
+    clause AS (SELECT 'd' || item_id % 20 content_digest, 'a' || (item_id // 20) % 2 anchor_id, string_agg(text, ' ' ORDER BY item_id) AS text FROM bench GROUP BY ALL)"""
 
 
 def _citations(p):
-    b = p.raw("benchmark")
+    b = p.raw("benchmark").withColumn("text", F.trim(F.regexp_replace("text", r"[\x09-\x0D\x20]+", " ")))
     item, part = F.col("item_id"), F.split("text", " ")
     n = F.explode(F.array(F.lit(0), F.lit(1))).alias("n")
     excerpt = F.when(item % 3 == 0, F.col("text")).when(item % 3 == 1, F.array_join(F.slice(part, 1, 3), " ")).otherwise(F.array_join(F.slice(part, 1, 8), " "))
@@ -683,7 +685,6 @@ def citation_resolution_codes(p):
     return corpus.resolve(cites, clause, clause)
 
 
-_PLAIN = r"trim(regexp_replace({}, '[\x09-\x0D\x20]+', ' ', 'g'))"
 _EXCERPTS = f"excerpts AS (SELECT item_id, array_to_string(string_split({_PLAIN.format('text')}, ' ')[1:8], ' ') excerpt FROM benchmark WHERE item_id < 40)"
 
 
