@@ -1,12 +1,12 @@
 """Nearest neighbours by inner product: randomly rotated one-bit codes, bounds, exact rerank.
 
-Each vector is scaled to length one and rotated by a random orthogonal matrix; its code is the
-sign of each coordinate. With ``o`` the unit vector and ``c`` its code's unit vector, the
+Each vector is scaled to length one and turned by a random matrix with orthonormal rows into ``BITS`` or more
+coordinates (more than its own, which narrows the error); its code is the sign of each coordinate. With ``o`` the unit vector and ``c`` its code's unit vector, the
 inner product with a rotated query ``q`` is estimated as ``<c, q> / <c, o>`` and errs by at most
-``epsilon * sqrt((1 - <c, o>^2) / <c, o>^2) * |q| / sqrt(dim - 1)`` except with a probability that falls off
+``epsilon * sqrt((1 - <c, o>^2) / <c, o>^2) * |q| / sqrt(bits - 1)`` except with a probability that falls off
 exponentially in epsilon squared. Both scalars are kept with the code. Blocks of queries meet
 blocks of codes; in each, a query's candidates are those whose upper bound reaches its k-th
-best lower bound. The bounds of all blocks are joined the same way before the exact products in double precision decide.
+best lower bound. Their exact products in double precision decide which k a block sends on.
 
 Nulls: vectors that are null, empty, zero, of another length than most, or that hold a null or non-finite
 component take no part, as do null ids. Repeated rows with one id count once. Ties go to the smaller id. With
@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 
 from ringwatch.llm.common import salt, saved
 
+BITS = 512
+
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of the vectors that take part, in double precision."""
@@ -36,10 +38,10 @@ def usable(vectors: DataFrame) -> DataFrame:
     return df.join(F.broadcast(usual), F.size("v") == F.col("dim"), "left_semi")
 
 
-def rotation(dim: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix, the same on every executor."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+def rotation(dim: int, bits: int, seed: int) -> np.ndarray:
+    """A random matrix with orthonormal rows, the same on every executor."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, dim)))
+    return (q * np.sign(np.diag(r))).T
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -47,55 +49,56 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def encode(vectors: DataFrame, dim: int, seed: int, blocks: int) -> DataFrame:
-    """Packed codes in blocks: ids, bits, lengths and <c, o> of the vectors of a block."""
+def encode(vectors: DataFrame, dim: int, bits: int, seed: int, blocks: int) -> DataFrame:
+    """Blocks of vectors: ids, packed codes, lengths, <c, o>, and the vectors for the rerank."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dim, seed)
+        turn = rotation(dim, bits, seed)
         for batch in batches:
             v, block = _matrix(batch.column("v")), batch.column("block").to_numpy()
             length = np.sqrt((v * v).sum(axis=1))
             o = (v / length[:, None]) @ turn
-            fit = np.abs(o).sum(axis=1) / np.sqrt(dim)
-            bits, ids = np.packbits(o > 0, axis=1), batch.column("vec_id").to_numpy()
+            fit = np.abs(o).sum(axis=1) / np.sqrt(bits)
+            code, ids = np.packbits(o > 0, axis=1), batch.column("vec_id").to_numpy()
             for b in np.unique(block):
                 at = block == b
-                yield pa.RecordBatch.from_pydict({"block": pa.array([int(b)], pa.int32()), "ids": [ids[at].tobytes()], "bits": [bits[at].tobytes()], "length": [length[at].tobytes()], "fit": [fit[at].tobytes()]})
+                arrays = {"ids": ids, "code": code, "length": length, "fit": fit, "vectors": v}
+                yield pa.RecordBatch.from_pydict({"block": pa.array([int(b)], pa.int32())} | {k: [np.ascontiguousarray(a[at]).tobytes()] for k, a in arrays.items()})
 
-    schema = "block int, ids binary, bits binary, length binary, fit binary"
+    schema = "block int, ids binary, code binary, length binary, fit binary, vectors binary"
     return vectors.withColumn("block", salt([F.col("vec_id")], blocks)).repartition(blocks, "block").mapInArrow(pack, schema)
 
 
-def propose(codes: DataFrame, queries: DataFrame, dim: int, k: int, seed: int, epsilon: float) -> DataFrame:
-    """(query_id, vec_id, low, high): bounds of each query's possible neighbours."""
+def nearest(codes: DataFrame, queries: DataFrame, dim: int, bits: int, k: int, seed: int, epsilon: float) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of each query in each block, reranked exactly."""
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dim, seed)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = rotation(dim, bits, seed)
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8).reshape(len(ids), -1), axis=1, count=dim)
-                code = (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
+                ids, v = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, dim)
+                signs = np.unpackbits(np.frombuffer(row["code"], np.uint8).reshape(len(ids), -1), axis=1, count=bits)
+                code = (signs.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(bits))
                 length, fit = np.frombuffer(row["length"]), np.frombuffer(row["fit"])
-                qid = np.frombuffer(row["query_ids"], np.int64)
-                q = np.frombuffer(row["query_vectors"]).reshape(len(qid), dim) @ turn
-                guess = (q.astype(np.float32) @ code.T) * (length / fit)
-                slack = epsilon * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * length / np.sqrt(max(dim - 1, 1))
-                error = np.linalg.norm(q, axis=1)[:, None] * slack + 1e-5 * np.abs(guess)
-                low, high = guess - error, guess + error
-                low[qid[:, None] == ids] = -np.inf
-                floor = -np.partition(-low, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(qid), -np.inf)
-                i, j = np.nonzero((high >= floor[:, None]) & (qid[:, None] != ids))
-                for a in range(0, len(i), 50_000):
-                    s = slice(a, a + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[i[s]]), pa.array(ids[j[s]]), pa.array(low[i[s], j[s]]), pa.array(high[i[s], j[s]])], names=["query_id", "vec_id", "low", "high"])
-
-    meet = codes.join(queries, "meet").repartition("block", "query_block")
-    found = meet.mapInArrow(bound, "query_id long, vec_id long, low double, high double")
-    return found
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, epsilon: float = 3.5, block: int = 8192) -> DataFrame:
+                slack = epsilon * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * length / np.sqrt(max(bits - 1, 1))
+                qid, q = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["query_vectors"]).reshape(-1, dim)
+                guess = ((q @ turn).astype(np.float32) @ code.T) * (length / fit)
+                error = np.sqrt((q * q).sum(axis=1))[:, None] * slack + 1e-5 * np.abs(guess)
+                out = []
+                for i in range(len(qid)):
+                    other = ids != qid[i]
+                    low = np.where(other, guess[i] - error[i], -np.inf)
+                    floor = np.partition(low, -k)[-k] if len(ids) > k else -np.inf
+                    at = np.flatnonzero((guess[i] + error[i] >= floor) & other)
+                    exact = (v[at] * q[i]).sum(axis=1)
+                    best = np.lexsort((ids[at], -exact))[:k]
+                    out.append((np.full(len(best), qid[i]), ids[at[best]], exact[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    return codes.join(queries, "meet").repartition("block", "query_block").mapInArrow(compare, "query_id long, vec_id long, score double")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, epsilon: float = 3.0, block: int = 8192) -> DataFrame:
     """The k nearest of every row for which ``is_query`` holds, nearest first."""
     rows = saved(usable(vectors), "vectors")
     if rows.isEmpty():
@@ -112,13 +115,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, eps
 
     queries = asked.withColumn("query_block", salt([F.col("vec_id"), F.lit(1)], n_query_blocks)).repartition(n_query_blocks, "query_block")
     queries = saved(queries.mapInArrow(gather, "query_block int, query_ids binary, query_vectors binary").withColumn("meet", F.col("query_block")), "queries")
-    codes = encode(rows, dim, seed, n_blocks).withColumn("meet", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    found = saved(propose(codes, queries, dim, k, seed, epsilon), "bounds")
-    near = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    floor = found.withColumn("_n", F.row_number().over(near)).where(F.col("_n") == k).select("query_id", F.col("low").alias("floor"))
-    left = found.join(floor, "query_id", "left").where("floor is null or high >= floor").select("query_id", "vec_id")
-    pairs = left.join(rows, "vec_id").join(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("query_id", "vec_id", score.alias("score"))
+    bits = max(BITS, -(-dim // 8) * 8)
+    codes = encode(rows, dim, bits, seed, n_blocks).withColumn("meet", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
+    found = nearest(codes, queries, dim, bits, k, seed, epsilon)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
