@@ -19,6 +19,7 @@ CITED = r"\[([A-Za-z0-9._:-]+)\]"
 class _Sections(HTMLParser):
     """Text under each heading of the first three levels; list items that open in bold start their own."""
 
+    BLOCKS = {"p", "li", "div", "ul", "ol", "td", "tr", "br", "blockquote"}
     SKIP, HEADS = {"script", "style", "noscript", "template"}, {"h1", "h2", "h3"}
 
     def __init__(self):
@@ -41,6 +42,8 @@ class _Sections(HTMLParser):
             self.head, self.bold, self.item = [], True, False
 
     def handle_endtag(self, tag):
+        if tag in self.BLOCKS and self.out:
+            self.out[-1][1].append(" ")
         if tag in self.SKIP:
             self.skipped = max(0, self.skipped - 1)
         elif tag in ("ul", "ol"):
