@@ -2,10 +2,10 @@
 
 Documents of a group (by default: equal texts) are linked. A group's members are alike, so the
 state is how many members of a group each shard holds (at most ``shards`` rows a group) and how
-many unlinked documents each shard holds (``shards`` numbers). It starts as documents dealt in
-turn. In each round a join tells every part of a group the sizes of its other parts; a part wants to
-move to the largest part whose shard still has room. Room is a quota: what wants to go the other way, plus
-a share of the shard's unlinked documents, which give way in exchange. So every shard keeps its
+many unlinked documents each shard holds (``shards`` numbers). It starts as groups dealt in
+runs of equal length. In each round a join tells every part of a group the sizes of its other parts; a part wants to
+move to the largest part whose shard still has room. Quotas are the largest flows found between shards that
+bring no shard more than leaves it plus its unlinked documents, which give way in exchange. So every shard keeps its
 row count in every round, and row counts differ by one at most (law ``rows``). Rounds end when nothing moves.
 A group larger than its shard's room settles in as few shards as the quotas allow.
 
@@ -15,6 +15,8 @@ table gives no rows. With fewer documents than shards some shards stay empty. Ex
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,20 +35,55 @@ def described(docs: DataFrame) -> DataFrame:
     )
 
 
-def _dealt(groups: DataFrame, shards: int, buckets: int) -> DataFrame:
-    """(group, shard, n): the members of all groups dealt to the shards in turn."""
+def _dealt(groups: DataFrame, linked: int, shards: int, buckets: int) -> DataFrame:
+    """(group, shard, n): the members of all groups dealt to the shards in runs."""
     df = groups.withColumn("_b", salt([F.col("group")], buckets))
     sums = df.groupBy("_b").agg(F.sum("members").alias("_sum"))
     # One row a bucket, of which there are at most 8192.
     before = sums.select("_b", F.coalesce(F.sum("_sum").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_b").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     start = df.join(F.broadcast(before), "_b").withColumn("_start", F.col("_before") + F.coalesce(F.sum("members").over(inside), F.lit(0)))
-    # Of `members` numbers from `_start` on, those that leave rest i when divided by `shards`.
-    count = lambda i: F.floor((F.col("members") + shards - 1 - F.pmod(i - F.col("_start"), F.lit(shards))) / shards)
-    each = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.struct(i.alias("shard"), count(i).cast("long").alias("n")))
+    # Members numbered from `_start` on that fall into each shard's run of numbers.
+    ends = [0, *itertools.accumulate(linked // shards + (i < linked % shards) for i in range(shards))]
+    run = lambda i: F.least(F.col("_start") + F.col("members"), F.lit(ends[i + 1])) - F.greatest(F.col("_start"), F.lit(ends[i]))
+    each = F.array(*[F.struct(F.lit(i).alias("shard"), run(i).cast("long").alias("n")) for i in range(shards)])
     return start.select("group", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("x")).select("group", "x.shard", "x.n")
 
 
+def circulation(want: dict[tuple[int, int], int], free: dict[int, int]) -> dict[tuple[int, int], int]:
+    """The largest share found of each wish (s, t) that lets every shard take no more than leaves it or is free there.
+
+    Flows into shards that would overflow are scaled down until none does; what one shard then doesn't
+    send is missing in another, so this is repeated. Whole numbers at the end.
+    """
+    flow: dict[tuple[int, int], float] = {k: float(w) for k, w in want.items() if w}
+
+    def excess() -> tuple[dict[int, float], dict[int, float]]:
+        into, out = dict.fromkeys(free, 0.0), dict.fromkeys(free, 0.0)
+        for (s, t), x in flow.items():
+            out[s] += x
+            into[t] += x
+        return into, {t: out[t] + free[t] for t in free}
+
+    for _ in range(200):
+        into, most = excess()
+        if all(into[t] <= most[t] + 1e-6 for t in free):
+            break
+        flow = {(s, t): x * min(1.0, most[t] / into[t]) for (s, t), x in flow.items() if into[t]}
+    flow = {k: int(x + 1e-6) for k, x in flow.items()}
+    while True:
+        into, most = excess()
+        over = {t: into[t] - most[t] for t in free if into[t] > most[t]}
+        if not over:
+            break
+        for t, less in over.items():
+            for k in sorted((k for k in flow if k[1] == t), key=lambda k: -flow[k]):
+                cut = min(less, flow[k])
+                flow[k] -= cut
+                less -= cut
+    return {k: int(x) for k, x in flow.items()}
+
+
 def _round(parts: DataFrame, pool: dict[int, int]) -> tuple[DataFrame, int, dict[int, int]]:
     """One round: the parts after it, how many documents moved, and the unlinked of each shard."""
     spark = parts.sparkSession
@@ -60,11 +97,7 @@ def _round(parts: DataFrame, pool: dict[int, int]) -> tuple[DataFrame, int, dict
     wish = F.when(F.col("_me") < F.col("_best"), F.col("_best.to"))
     aim = saved(aim.select("group", "shard", "n", wish.alias("to"), F.col("_best.n").alias("gain")), "aims")
     want = {(r["shard"], r["to"]): r["w"] for r in aim.where("to is not null").groupBy("shard", "to").agg(F.sum("n").alias("w")).collect()}
-    swap = {(s, t): min(w, want.get((t, s), 0)) for (s, t), w in want.items()}
-    over: dict[int, int] = {}
-    for (s, t), w in want.items():
-        over[t] = over.get(t, 0) + w - swap[s, t]
-    quota = {(s, t): swap[s, t] + min(w - swap[s, t], pool[t] * (w - swap[s, t]) // max(1, over[t])) for (s, t), w in want.items()}
+    quota = circulation(want, pool)
     moved = sum(quota.values())
     if not moved:
         return parts, 0, pool
@@ -86,7 +119,7 @@ def propagate(groups: DataFrame, unlinked: int, shards: int, most: int = 12) ->
     linked = groups.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
     share = lambda n, i: n // shards + (i < n % shards)
     pool = {i: share(linked + unlinked, i) - share(linked, i) for i in range(shards)}
-    parts = saved(_dealt(groups, shards, min(8192, max(64, linked // 5000))), "parts")
+    parts = saved(_dealt(groups, linked, shards, min(8192, max(64, linked // 5000))), "parts")
     for _ in range(most):
         parts, moved, pool = _round(parts, pool)
         if not moved:
