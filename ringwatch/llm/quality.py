@@ -71,15 +71,18 @@ class Logistic:
     """Ridge logistic regression on standardized features, by Newton steps."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3.0):
-        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-        z = self._z(x)
-        self.w = np.zeros(z.shape[1])
-        penalty = np.full(z.shape[1], ridge)
+        self.mean, self.scale = x.mean(axis=0, dtype=float), np.maximum(x.std(axis=0, dtype=float), 1e-3)
+        width = x.shape[1] + 1
+        self.w = np.zeros(width)
+        penalty = np.full(width, ridge)
         penalty[-1] = 1e-3
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            g = z.T @ (weight * (y - p)) - penalty * self.w
-            h = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(penalty)
+            g, h = -penalty * self.w, np.diag(penalty)
+            for a in range(0, len(x), 2048):  # never the whole standardized matrix
+                z, part = self._z(x[a : a + 2048]), slice(a, a + 2048)
+                p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+                g += z.T @ (weight[part] * (y[part] - p))
+                h += (z * (weight[part] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
             step = np.linalg.solve(h, g)
             self.w += step
             if np.abs(step).max() < 1e-6:
@@ -90,7 +93,7 @@ class Logistic:
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         """Log odds of class 1."""
-        return self._z(x) @ self.w
+        return np.concatenate([self._z(x[a : a + 2048]) @ self.w for a in range(0, len(x), 2048)]) if len(x) else np.zeros(0)
 
 
 class Views:
@@ -165,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Views | None:
     y = np.array([int(r["quality"] >= 1) for r in known])
     if len(set(y.tolist())) < 2:
         return None
-    stack = lambda part, k, width: np.stack([np.frombuffer(r[k], "<f4") for r in part]).astype(float) if part else np.zeros((0, width))
+    stack = lambda part, k, width: np.frombuffer(b"".join(r[k] for r in part), "<f4").reshape(len(part), -1) if part else np.zeros((0, width), "<f4")
     a, b = stack(known, "a", 0), stack(known, "b", 0)
     held = np.array([zlib.crc32(b"held%d" % r["doc_id"]) % 4 == 0 for r in known])
     return Views(a, b, y, held, stack(pool, "a", a.shape[1]), stack(pool, "b", b.shape[1]))
