@@ -56,7 +56,12 @@ class Vocabulary:
                 self.raw.append(text.encode())
         self.unknown = min(self.score.values()) - 10
         self.longest = max(map(len, self.ids))
-        self.begins = {t[:k] for t in self.ids for k in range(1, len(t) + 1)}
+        self.trie: dict = {}
+        for text, score in self.score.items():
+            node = self.trie
+            for c in text:
+                node = node.setdefault(c, {})
+            node[""] = score
         if any(" " in t.lstrip(" ") or "\n" in t for t in self.ids):
             raise ValueError("a piece crosses a blank or a line break")
         self.lengths = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
@@ -64,16 +69,12 @@ class Vocabulary:
 
     def edges(self, text: str, at: int) -> Iterator[tuple[int, int]]:
         """(length, score) of what may start at a place: pieces, or the one character unknown."""
-        begins, score = self.begins, self.score
-        single = True
-        for end in range(at + 1, min(len(text), at + self.longest) + 1):
-            part = text[at:end]
-            if part not in begins:
-                break
-            if (s := score.get(part)) is not None:
-                single = single and end != at + 1
-                yield end - at, s
-        if single:
+        node, end = self.trie, at
+        while end < len(text) and (node := node.get(text[end])) is not None:
+            end += 1
+            if "" in node:
+                yield end - at, node[""]
+        if text[at] not in self.score:
             yield 1, self.unknown
 
     def spell(self, part: str) -> list[int]:
@@ -87,11 +88,23 @@ class Vocabulary:
         n = stop + beyond
         score, back = [_NONE] * (n + 1), [0] * (n + 1)
         score[first] = 0
+        trie, unknown = self.trie, self.unknown
         for i in range(first, stop):
-            if (base := score[i]) > _NONE:
-                for k, s in self.edges(text, i):
-                    if i + k <= n and base + s > score[i + k]:
-                        score[i + k], back[i + k] = base + s, i
+            base = score[i]
+            if base == _NONE:
+                continue
+            node = trie.get(text[i])
+            if node is None or "" not in node:
+                if base + unknown > score[i + 1]:
+                    score[i + 1], back[i + 1] = base + unknown, i
+            end = i
+            while node is not None:
+                end += 1
+                if "" in node and base + node[""] > score[end]:
+                    score[end], back[end] = base + node[""], i
+                if end == n:
+                    break
+                node = node.get(text[end])
         out, at = [], n
         while at > first:
             out.append(text[back[at] : at])
