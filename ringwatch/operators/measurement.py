@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -188,6 +189,27 @@ def measure(frame: DataFrame, total: int, seed: str, pilot: int = 0, raters: lis
     return estimate(stratified(panel(draw(frame, plan, f"{seed}:sample"), raters, f"{seed}:panel"), known))
 
 
+def curve_sizes(frame: DataFrame, sizes: list[int], seed: str) -> DataFrame:
+    """Half width of the interval and validity for each number of draws."""
+    rows = [measure(frame, n, f"{seed}:{n}").select(F.lit(n).alias("draws"), ((F.col("high") - F.col("low")) / 2).alias("half_width"), "estimate", "valid") for n in sizes]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def curve_raters(frame: DataFrame, total: int, specificities: list[float], panels: list[int], seed: str) -> DataFrame:
+    """Bias of the estimate for each rater quality and panel size, on the same draw."""
+    known = strata(frame)
+    sizes = {r["band"]: r["size"] for r in known.collect()}  # five rows
+    sample = draw(frame, proportional({b: sizes[b] for b in BANDS}, total), f"{seed}:sample")
+    real = frame.agg((F.count_if("violative") / F.count(F.lit(1))).alias("truth"))
+    rows = []
+    for spec in specificities:
+        for size in panels:
+            calls = panel(sample, [(f"r{i}", spec, spec) for i in range(size)], f"{seed}:{spec}")
+            row = estimate(stratified(calls, known)).crossJoin(F.broadcast(real))  # one row each
+            rows.append(row.select(F.lit(spec).alias("specificity"), F.lit(size).alias("panel"), "estimate", (F.col("estimate") - F.col("truth")).alias("bias"), ((F.col("truth") >= F.col("low")) & (F.col("truth") <= F.col("high"))).alias("covered")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def minutes(steps: DataFrame, cases: int, variation: float = 0.5) -> DataFrame:
     """One-way sensitivity of the minutes a workflow saves: each assisted time up and down by a share."""
     whole = F.broadcast(steps.agg(F.sum(F.col("baseline") - F.col("assisted")).alias("delta")))  # one row

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwatch.operators import corpus, dataquality, evaluation, graph, ledger, measurement, pivots, textguard, triage
+from ringwatch.operators import corpus, dataquality, evalset, evaluation, graph, ledger, measurement, pivots, textguard, triage
 from ringwatch.plans.oracle import with_views
 from ringwatch.sources.platform import Platform
 
@@ -352,6 +352,18 @@ def curve_scope(p):
 
 
 query()(curve_scope)
+
+
+def curve_sample_size(p):
+    return measurement.curve_sizes(_frame(p), [50, 100, 200], "n1")
+
+
+def curve_rater_quality(p):
+    return measurement.curve_raters(_frame(p), 150, [0.9, 0.99], [1, 3], "q1")
+
+
+query()(curve_sample_size)
+query()(curve_rater_quality)
 _STEPS = [
     ("triage and case selection", 4.0, 1.0), ("evidence gathering", 25.0, 8.0), ("memo drafting", 20.0, 7.0), ("citation and policy verification", 8.0, 3.0),
     ("human decision and sign-off", 3.0, 3.0),
@@ -436,6 +448,21 @@ def eval_class_balance(p):
     return evaluation.minimal(evaluation.class_metrics(_items(p, _BEFORE), _CLASSES))
 
 
+_VIDEO_LABELS = "l AS (SELECT entity_id, threat_class FROM sealed_labels WHERE entity_kind = 'video'), k AS (SELECT count(*) n FROM l WHERE threat_class <> 'benign')"
+
+
+@query(f"""WITH {_VIDEO_LABELS}, c AS (SELECT entity_id, threat_class, row_number() OVER (ORDER BY ('0x' || substr(md5('v1:' || entity_id), 1, 8))::BIGINT, entity_id) r FROM l WHERE threat_class = 'benign')
+    SELECT 'item-' || substr(sha256('v1:' || entity_id), 1, 16) item_id, entity_id, threat_class FROM (SELECT * FROM l WHERE threat_class <> 'benign' UNION ALL SELECT entity_id, threat_class FROM c, k WHERE r <= floor(n * 0.25::DOUBLE / 0.75::DOUBLE + 0.5::DOUBLE))""")
+def eval_set_items(p):
+    return evalset.build(p.labels.where("entity_kind = 'video'"), "v1")
+
+
+@query("""WITH t AS (SELECT account_id, text, count(*) n, count(DISTINCT video_id) v FROM comment GROUP BY 1, 2)
+    SELECT account_id, sum(n)::BIGINT comments, count(*) texts, max(v) videos, 'comments: ' || sum(n)::BIGINT || '; videos: ' || max(v) || '; texts: ' || string_agg(text, ' | ' ORDER BY text) AS content FROM t GROUP BY 1""")
+def eval_account_content(p):
+    return evalset.account_content(p.comment)
+
+
 # --- graph --------------------------------------------------------------------------------------
 
 _HOPS = f"""h1 AS (SELECT account_id node, relation FROM ({_LINKED.format(25)})), h2 AS (SELECT * FROM ({_ENGAGED} ORDER BY event_count DESC, account_id, target_id, kind LIMIT 25)), h3 AS ({_OVERLAP.format(CHANNEL, 25)}),
@@ -595,6 +622,11 @@ def firewall_pattern_counts(p):
     return textguard.counts(_records(p))
 
 
+@query(f"WITH {_RECORDS} SELECT " + ", ".join(f"sum(len(regexp_extract_all(text, {_sql_text('(?i)' + p)})))::BIGINT {k}" for k, p in textguard.PATTERNS.items()) + " FROM records")
+def firewall_family_counts(p):
+    return textguard.counts(_records(p)).agg(*[F.sum(k).alias(k) for k in textguard.PATTERNS])
+
+
 _SPANS = "spans(record_id, pattern_id, \"offset\", \"length\") AS (SELECT 'r' || (doc_id % 100), 'p' || (doc_id % 7), (doc_id * 37 % 1000)::INTEGER, (5 + doc_id % 40)::INTEGER FROM documents)"
 
 
