@@ -103,7 +103,7 @@ def test_feistel_is_a_bijection_and_equals_brute_force(spark):
     assert len(set(got.values())) == 400
     for old, new in got.items():
         assert new == ".".join(map(str, _feistel("ip", [int(x) for x in old.split(".")], [256] * 4)))
-    days = spark.sql("SELECT cast(explode(sequence(date'1999-01-01', date'1999-12-31')) AS string) text")
+    days = spark.sql("SELECT cast(day AS string) text FROM (SELECT explode(sequence(date'1999-01-01', date'1999-12-31')) day)")
     moved = [r["text"] for r in pii.pseudonymize(days, PII_KEY).collect()]
     assert len(set(moved)) == 365 and all(re.fullmatch(r"\d{4}-\d\d-\d\d", m) for m in moved)
 
