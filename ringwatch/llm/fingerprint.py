@@ -92,8 +92,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     placed = docs.withColumn("_top", coarse).withColumn("_range", F.col("_top") * side + above(F.get(lists, F.col("_top")))).drop("_top")
     last = placed.groupBy("_range").agg(F.max("doc_id").alias("_last")).where("_last is not null")
     order = Window.orderBy("_range")  # one row a range: at most 20,000
-    first = last.agg(F.min("_range").alias("_first"))
-    follows = last.select("_last", F.lead("_range").over(order).alias("_to")).crossJoin(F.broadcast(first)).select("_last", F.coalesce("_to", "_first").alias("_to"), F.col("_to").isNull().alias("_wraps"))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    follows = last.select("_last", F.lead("_range").over(order).alias("_to"), F.first("_range").over(upto).alias("_first"))
+    follows = follows.select("_last", F.coalesce("_to", "_first").alias("_to"), F.col("_to").isNull().alias("_wraps"))
     own = F.struct(F.col("_range").alias("range"), F.lit(2).alias("turn"))
     more = F.struct(F.col("_to").alias("range"), F.when(F.col("_wraps"), 0).otherwise(1).alias("turn"))
     sent = placed.join(F.broadcast(follows), F.col("doc_id") == F.col("_last"), "left").withColumn("_copy", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, more))))
