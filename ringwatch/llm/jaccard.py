@@ -13,8 +13,9 @@ were laden on both sides in one index and met in no other, and each index covers
 Proposed pairs pass an odd sketch (parities of hashed shingles: its differing bits never exceed
 the differing shingles, so nothing linked is lost) and then the exact comparison of the sets.
 The first round compares each member of a bucket with one centre only; the second compares the
-remaining pairs of different components. Large groups of copies thus cost a comparison
-a member, not one a pair.
+remaining pairs of different components, which settles the components. As a link never leaves its
+component, ``join`` and ``links`` then compare all classes (distinct sets) of each component of three or more, block
+against block; ``groups`` leaves that out.
 
 Nulls: a null text or one without words has an empty set and no links; rows with a null doc_id are left out. Repeated doc_ids are one
 document with one of its texts. An empty table gives no rows. Other columns are ignored.
@@ -29,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringwatch.llm.common import only, saved, small_batches
+from ringwatch.llm.common import only, ranked, salt, saved, small_batches
 from ringwatch.llm.graph import classes, components
 from ringwatch.llm.words import hashed, merged, mixed, split_words
 
 _U = np.uint64
 #: Buckets with more components than this are left out where the allocation can spare them.
 CROWD = 48
+#: A block has at most so many sets, and at most twice so many elements (or one set).
+BLOCK, ROOM = 1024, 1 << 19
 
 
 class Scheme:
@@ -227,8 +230,8 @@ def close(pairs: DataFrame, known: DataFrame, scheme: Scheme) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+def verify(pairs: DataFrame, docs: DataFrame, words: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose whole sets are similar enough, and the sets of all proposed documents."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in merged(batches, "text"):
@@ -248,7 +251,95 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, scheme: Scheme) -> Dat
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = saved(docs.join(wanted, "doc_id", "left_semi").mapInArrow(load, "doc_id long, elements binary"), "sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("elements").alias(f"x{c}"))
-    return saved(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long"), "links")
+    return saved(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long"), "links"), sets
+
+
+def alike(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each set of ``x`` is similar enough to each set of ``y``."""
+    nx, ny = (np.array([len(v) for v in side], np.int64) for side in (x, y))
+    both = np.zeros((len(x), len(y)), np.int64)
+    if both.size <= 16:
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                both[i, j] = len(np.intersect1d(a, b, assume_unique=True))
+    else:
+        ex, ey = np.concatenate(x), np.concatenate(y)
+        common = np.intersect1d(ex, ey)
+
+        def entries(e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(common, e)
+            hit = np.flatnonzero(np.append(common, _U(0))[at] == e)
+            hit = hit[at[hit] < len(common)]
+            hit = hit[np.argsort(at[hit], kind="stable")]
+            return np.repeat(np.arange(len(n)), n)[hit], at[hit]
+
+        (rx, cx), (ry, cy) = entries(ex, nx), entries(ey, ny)
+        width = max(256, (1 << 22) // (len(x) + len(y)))
+        for a in range(0, len(common), width):
+            dense = []
+            for r, c, n in ((rx, cx, len(x)), (ry, cy, len(y))):
+                low, high = np.searchsorted(c, [a, a + width])
+                held = np.zeros((n, min(width, len(common) - a)), np.float32)
+                held[r[low:high], c[low:high] - a] = 1
+                dense.append(held)
+            both += np.rint(dense[0] @ dense[1].T).astype(np.int64)
+    return 100 * both >= percent * (nx[:, None] + ny[None, :] - both)
+
+
+def every_link(found: DataFrame, parts: DataFrame, rep: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """(class_id, near): classes and arrays of classes linked to them; several rows for a class in several block pairs.
+
+    A component of two classes is its one known link. In the others, classes are dealt to blocks in
+    order of size, and each block meets those whose sizes don't rule a link out. Every link stands in both its classes' rows.
+    """
+    many = saved(parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("component"), "many")
+    two = found.distinct().join(parts.withColumnRenamed("node", "a"), "a").join(many, "component", "left_anti")
+    two = two.selectExpr("stack(2, a, b, b, a) as (class_id, other)").select("class_id", F.array("other").alias("near"))
+
+    member = parts.withColumnRenamed("node", "doc_id").join(many, "component").join(rep.select("doc_id", "n_shingles"), "doc_id")
+    member = member.withColumn("scale", F.floor(F.log2("n_shingles")).cast("int"))
+    bucket = F.col("n_shingles") * 64 + salt([F.col("doc_id")], 64)
+    member = ranked(member, ["component", "scale"], [F.col("n_shingles"), F.col("doc_id")], bucket)
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(ROOM) / F.pow(F.lit(2), F.col("scale")))))
+    member = saved(member.withColumn("block", F.col("scale").cast("long") * (1 << 40) + F.floor(F.col("rank") / room).cast("long")), "members")
+    sizes = member.groupBy("component", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    meets = sizes.select("component", F.col("block").alias("i"), "high").join(sizes.select("component", F.col("block").alias("j"), "low"), "component")
+    meets = saved(meets.where((F.col("i") <= F.col("j")) & (F.col("high") * 100 >= F.col("low") * scheme.percent)).select("component", "i", "j"), "meets")
+    side = lambda c, n: member.withColumnRenamed("block", c).join(meets, ["component", c]).select("component", "i", "j", F.lit(n).alias("side"), "doc_id")
+    rows = side("i", 0).unionByName(side("j", 1).where("i < j")).join(sets, "doc_id")
+
+    def near(group: pa.Table) -> pa.RecordBatch:
+        held: list[dict[int, np.ndarray]] = [{}, {}]
+        for n, doc, e in zip(group["side"].to_pylist(), group["doc_id"].to_pylist(), group["elements"].to_pylist(), strict=True):
+            held[n].setdefault(doc, np.frombuffer(e, _U))
+        x, y = held
+        own = not y
+        ids, others = np.array(list(x), np.int64), np.array(list(x if own else y), np.int64)
+        ok = alike(list(x.values()), list(x.values() if own else y.values()), scheme.percent)
+        if own:
+            np.fill_diagonal(ok, False)
+        one, lists = [], []
+        for left, right, hit in ((ids, others, ok),) if own else ((ids, others, ok), (others, ids, ok.T)):
+            some = np.flatnonzero(hit.any(axis=1))
+            one.append(left[some])
+            lists += [right[hit[i]] for i in some.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(lists, pa.list_(pa.int64()))], names=["class_id", "near"])
+
+    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = np.stack([held[c].to_numpy() for c in ("component", "i", "j")])
+            starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if held.num_rows else []
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                yield near(held.slice(a, b - a))
+            held = held.slice(starts[-1]) if len(starts) else held
+        if held is not None and held.num_rows:
+            yield near(held)
+
+    dealt = rows.select("component", "i", "j", "side", "doc_id", "elements").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return saved(two.unionByName(dealt.mapInArrow(by_group, "class_id long, near array<long>")), "near")
 
 
 def proposals(rows: DataFrame, scheme: Scheme) -> DataFrame:
@@ -290,10 +381,9 @@ def mixed_buckets(shared: DataFrame, label: DataFrame) -> DataFrame:
     return saved(named.join(sizes.where("least <> most"), "sig").select("sig", "doc_id", "component", "parts"), "mixed")
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id (equal sets), component_id (linked sets) of every document."""
+def _matched(docs: DataFrame, words: int, scheme: Scheme) -> tuple[DataFrame, ...]:
+    """Facts of every document, components of linked classes, the links that joined them, representatives, and sets of all linked ones."""
     small_batches(docs.sparkSession)
-    scheme = Scheme(percent)
     docs = only(docs, "doc_id", "text").where("doc_id is not null")
     known = saved(describe(docs, words, scheme), "sets").dropDuplicates(["doc_id"])
     known = saved(classes(known, ["h1", "h2"], "doc_id"), "known")
@@ -306,8 +396,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     star = shared.where("centre <> doc_id").select("centre", "doc_id").distinct()
     star = star.join(names, "doc_id").select("centre", F.col("class_id").alias("b")).join(names.withColumnRenamed("doc_id", "centre"), "centre")
     star = star.select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).where("a <> b").distinct()
-    links = verify(close(star, rep, scheme), docs, words, scheme)
-    parts = components(links)
+    found, sets = verify(close(star, rep, scheme), docs, words, scheme)
+    parts = components(found)
 
     # Round two: what still lies in different components of a bucket.
     label = names.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component"))
@@ -320,8 +410,35 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows = open_.where(F.col("parts") <= CROWD).select("sig", "doc_id", "component")
     rows = rows.unionByName(mixed_buckets(again, label.select("doc_id", "component")).select("sig", "doc_id", "component"))
     rows = rows.join(names, "doc_id").select("sig", F.col("class_id").alias("doc_id"), "component").distinct()
-    more = verify(proposals(rows.join(rep, "doc_id"), scheme), docs, words, scheme)
-    final = components(links.unionByName(more)) if not more.isEmpty() else parts
-    degree = links.unionByName(more).selectExpr("stack(2, a, b) as class_id").groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    out = facts.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links_found"))
+    more, others = verify(proposals(rows.join(rep, "doc_id"), scheme), docs, words, scheme)
+    if not more.isEmpty():
+        found = found.unionByName(more)
+        parts = components(found)
+        sets = sets.unionByName(others.join(sets.select("doc_id"), "doc_id", "left_anti"))
+    return facts, parts, found, rep, sets
+
+
+def _named(facts: DataFrame, parts: DataFrame) -> DataFrame:
+    out = facts.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
+
+
+def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (linked sets), class_id (equal sets) of every document, without the links within components."""
+    facts, parts, *_ = _matched(docs, words, Scheme(percent))
+    return _named(facts, parts)
+
+
+def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """As ``groups``, and n_links: how many other classes the document's class is linked to."""
+    scheme = Scheme(percent)
+    facts, parts, found, rep, sets = _matched(docs, words, scheme)
+    degree = every_link(found, parts, rep, sets, scheme).groupBy("class_id").agg(F.sum(F.size("near")).alias("n_links"))
+    return _named(facts, parts).join(degree, "class_id", "left").select("doc_id", "n_shingles", "component_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(a, b), a < b: all linked pairs of classes, each once."""
+    scheme = Scheme(percent)
+    _, parts, found, rep, sets = _matched(docs, words, scheme)
+    return every_link(found, parts, rep, sets, scheme).select(F.col("class_id").alias("a"), F.explode("near").alias("b")).where("a < b")

@@ -48,7 +48,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85).drop("n_links_found")
+    return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85).drop("n_links")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
