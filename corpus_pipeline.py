@@ -20,10 +20,18 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by 0.8 of their 5-word shingles."""
-    groups = jaccard.join(docs, words=5, percent=80)
-    others = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """The first row of each group linked by 0.8 of their 5-word shingles, in order of doc_id (null last).
+
+    Each row has a key of its own, so rows with one doc_id or a null one are compared as any others.
+    Rows without words are no copies of others, save repeats of one doc_id.
+    """
+    keyed = saved(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    groups = jaccard.groups(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
+    empty = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    row = groups.select(F.col("doc_id").alias("_key"), "component_id", "n_shingles").join(keyed.select("_key", "doc_id", F.xxhash64(*docs.columns).alias("_hash"), F.xxhash64("text").alias("_text")), "_key")
+    row = row.withColumn("_same", F.when(empty, F.struct(F.lit(1).alias("kind"), F.col("doc_id").alias("a"), F.col("_text").alias("b"))).otherwise(F.struct(F.lit(0).alias("kind"), F.col("component_id").alias("a"), F.lit(0).cast("long").alias("b"))))
+    first = row.groupBy("_same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "_key"))["_key"].alias("_key"))
+    return keyed.join(first, "_key", "left_semi").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
