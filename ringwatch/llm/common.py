@@ -38,9 +38,9 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds, since a row may be a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds by bytes, since a row may be a very long text; stays so for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:

@@ -18,7 +18,9 @@ component, ``join`` and ``links`` then compare all classes (distinct sets) of ea
 against block; ``groups`` leaves that out.
 
 Nulls: a null text or one without words has an empty set and no links; rows with a null doc_id are left out. Repeated doc_ids are one
-document with one of its texts. An empty table gives no rows. Other columns are ignored.
+document, with the text whose (set size, set hash) is least. A very long text is one row with a large set; what a task holds is bounded by
+batches of bytes. Pairs that just reach the limit are linked, and the smallest doc_id names a component or class.
+An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ from pyspark.sql import functions as F
 
 from ringwatch.llm.common import only, ranked, salt, saved, small_batches
 from ringwatch.llm.graph import classes, components
-from ringwatch.llm.words import hashed, merged, mixed, split_words
+from ringwatch.llm.words import hashed, merged, mixed, split_words, strings
 
 _U = np.uint64
+#: The two halves of a set's hash: sums of hashed elements.
+_HASHES = (("h1", 0), ("h2", 0x2545F4914F6CDD1D))
 #: Buckets with more components than this are left out where the allocation can spare them.
 CROWD = 48
 #: A block has at most so many sets, and at most twice so many elements (or one set).
@@ -66,152 +70,213 @@ class Scheme:
         return h, h + 1 + (1 + (h + 1) // 8 if h else 0)
 
 
-def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
-    """Sorted 64-bit hashes of the distinct shingles of each text."""
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text, ascending within a text, and how many each text has."""
     index, dictionary, counts = split_words(texts)
     w = hashed(dictionary)[index] if len(index) else np.zeros(0, _U)
-    ends = np.cumsum(counts)
     x = mixed(w)
     for i in range(1, words):
         x = mixed(x[: len(x) - 1] + w[i:]) if len(x) > 1 else x[:0]
-    out = []
-    for n, b in zip(counts.tolist(), ends.tolist(), strict=True):
-        a = b - n
-        if n >= words:
-            out.append(np.unique(x[a : b - words + 1]))
-        elif n:
-            v = _U(n)
-            with np.errstate(over="ignore"):
-                for y in w[a:b]:
-                    v = mixed(np.array([v + y]))[0]
-            out.append(np.array([v], _U))
-        else:
-            out.append(w[:0])
+    starts = np.cumsum(counts) - counts
+    per = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
+    place = np.cumsum(per) - per
+    total = int(per.sum())
+    if not total:
+        return np.zeros(0, _U), per
+    flat = x[np.minimum(np.repeat(starts - place, per) + np.arange(total), len(x) - 1)] if len(x) else np.zeros(total, _U)
+    for i in np.flatnonzero((counts > 0) & (counts < words)).tolist():
+        v = _U(counts[i])
+        with np.errstate(over="ignore"):
+            for y in w[starts[i] : starts[i] + counts[i]]:
+                v = mixed(np.array([v + y]))[0]
+        flat[place[i]] = v
+    for a, n in zip(place.tolist(), per.tolist(), strict=True):
+        if n > 1:
+            flat[a : a + n].sort()
+    new = np.ones(total, bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[place[per > 0]] = True
+    upto = np.concatenate([[0], np.cumsum(new)])
+    return flat[new], upto[place + per] - upto[place]
+
+
+def separate(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The sets one by one."""
+    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
+def set_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums, modulo 2**64, of the values of each set; 0 for an empty one."""
+    out, some = np.zeros(len(sizes), _U), np.flatnonzero(sizes)
+    if len(some):
+        with np.errstate(over="ignore"):
+            out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
     return out
 
 
-def odd_sketch(x: np.ndarray) -> bytes:
-    """Parities of the set's elements over a power of two of bits, about 2 for each element."""
-    bits = 1 << max(6, int(2 * len(x) - 1).bit_length())
-    at = (mixed(x + _U(0x9E3779B97F4A7C15)) & _U(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
-
-
-def sketch_distance(a: bytes, b: bytes) -> int:
-    """Differing bits, the longer sketch folded to the length of the shorter."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) < len(y):
-        x, y = y, x
-    while len(x) > len(y):
-        # Bit i of a sketch half as long is the parity of bits i and i + half.
-        half = len(x) // 2
-        x = x[:half] ^ x[half:]
-    return int(np.bitwise_count(x ^ y).sum())
+def odd_sketches(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Parities of each set's elements over a power of two of bits, about 2 for each element (64 at least)."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    base = np.cumsum(bits) - bits
+    at = np.repeat(base, sizes) + (mixed(flat + _U(0x9E3779B97F4A7C15)) & (np.repeat(bits, sizes) - 1).astype(_U)).astype(np.int64)
+    raw = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8))
+    return strings(raw, bits // 8).cast(pa.binary())
+
+
+def distances(a: pa.Array, ia: np.ndarray, b: pa.Array, ib: np.ndarray) -> np.ndarray:
+    """Differing bits of the sketches ``a[ia]`` and ``b[ib]``, the longer folded to the length of the shorter."""
+    sides = []
+    for column, at in ((a, ia), (b, ib)):
+        wide = column.cast(pa.large_binary())
+        offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
+        raw = np.frombuffer(wide.buffers()[2] or b"", np.uint8)
+        sides.append((raw, offsets[:-1][at], np.diff(offsets)[at]))
+    (ra, fa, na), (rb, fb, nb) = sides
+    out, kind = np.zeros(len(ia), np.int64), na * (1 << 32) + nb
+    for k in np.unique(kind).tolist():
+        same = np.flatnonzero(kind == k)
+        for part in np.array_split(same, max(1, len(same) * max(k >> 32, k & 0xFFFFFFFF) // (1 << 21))):
+            x, y = ra[fa[part][:, None] + np.arange(k >> 32)], rb[fb[part][:, None] + np.arange(k & 0xFFFFFFFF)]
+            # Bit i of a sketch half as long is the parity of bits i and i + half.
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
-def _keys(sums: np.ndarray, segment: np.ndarray, band: int, kind: int) -> np.ndarray:
+def _keys(sums: np.ndarray, segment: np.ndarray, band: np.ndarray, kind: int) -> np.ndarray:
     """Signatures: even in schemes of even bands, odd in the others."""
     with np.errstate(over="ignore"):
-        salt = mixed(segment.astype(_U) + _U(band << 32) + _U(kind << 60))
-        return (mixed(sums ^ salt) & ~_U(1)) | _U(band & 1)
-
-
-def signatures(x: np.ndarray, scheme: Scheme, laden: bool) -> tuple[np.ndarray, list[int]]:
-    """Signatures of one set in the schemes of its band and the one below, and spares of each."""
-    own, out, spares = scheme.band(len(x)), [], []
+        salt = mixed(segment.astype(_U) + (band.astype(_U) << _U(32)) + _U(kind << 60))
+        return (mixed(sums ^ salt) & ~_U(1)) | (band & 1).astype(_U)
+
+
+def _segment(x: np.ndarray, m: np.ndarray | int) -> np.ndarray:
+    """Segment of each element: ranges of the hashed universe, so a set in order has its segments in order."""
+    return (((x >> _U(32)) * np.asarray(m).astype(_U)) >> _U(32)).astype(np.int64)
+
+
+def signatures(flat: np.ndarray, sizes: np.ndarray, scheme: Scheme, laden: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the sets in the schemes of their bands and the ones below, the set of each, and spares (even, odd) of each set."""
+    n = len(sizes)
+    spares = np.zeros((n, 2), np.int64)
+    if not len(flat):
+        return np.zeros(0, _U), np.zeros(0, np.int64), spares
+    scheme.band(int(sizes.max()) + 1)
+    each = np.array([scheme.segments(b) for b in range(scheme.band(int(sizes.max())) + 1)], np.int64)
+    own = np.searchsorted(scheme.low, sizes, "right") - 1
+    row, value = np.repeat(np.arange(n), sizes), mixed(flat + _U(0xA0761D6478BD642F))
+    keys, rows = [], []
     for band in (own, own - 1):
-        if band < 0:
-            spares.append(0)
+        live = (band >= 0) & (sizes > 0)
+        h, full = each[np.maximum(band, 0)].T
+        m = np.maximum(1, (full + 1) // 2) if laden else full
+        at = live[row]
+        x, v, r = flat[at], value[at], row[at]
+        if not len(x):
             continue
-        h, m = scheme.segments(band)
-        if laden:
-            m = max(1, (m + 1) // 2)
-        segment = (mixed(x ^ _U(0xD6E8FEB86659FD93 + laden)) % _U(m)).astype(np.int64)
-        size = np.bincount(segment, minlength=m)
-        value = mixed(x + _U(0xA0761D6478BD642F))
-        order = np.argsort(segment, kind="stable")
-        firsts = np.cumsum(size) - size
-        full = np.flatnonzero(size)
-        sums = np.zeros(m, _U)
+        segment = _segment(x, m[r])
+        first = np.flatnonzero(np.append(True, (segment[1:] != segment[:-1]) | (r[1:] != r[:-1])))
+        held = np.diff(np.append(first, len(x)))
         with np.errstate(over="ignore"):
-            sums[full] = np.add.reduceat(value[order], firsts[full])
-            out.append(_keys(sums[full], full, band, 1 + laden))
-            cover = len(full)
+            sums = np.add.reduceat(v, first)
+            of, seg = r[first], segment[first]
+            keys.append(_keys(sums, seg, band[of], 1 + laden))
+            rows.append(of)
+            cover = np.bincount(of, minlength=n)
             if laden:
-                two = size[segment] > 1
-                out.append(_keys(sums[segment[two]] - value[two], segment[two], band, 2))
-                cover += int((size > 1).sum())
-        if cover < h + 1:
-            # Too few segments hold anything: such sets also meet with their empty segments.
-            _, m = scheme.segments(band)
-            segment = (mixed(x ^ _U(0xD6E8FEB86659FD93)) % _U(m)).astype(np.int64)
-            sums = np.zeros(m, _U)
+                two = np.repeat(held > 1, held)
+                keys.append(_keys((np.repeat(sums, held) - v)[two], segment[two], band[r[two]], 2))
+                rows.append(r[two])
+                cover = cover + np.bincount(of[held > 1], minlength=n)
+        # Too few segments hold anything: such sets also meet with their empty segments.
+        begin = np.cumsum(sizes) - sizes
+        for i in np.flatnonzero(live & (cover < h + 1)).tolist():
+            sums = np.zeros(full[i], _U)
             with np.errstate(over="ignore"):
-                np.add.at(sums, segment, value)
-            out.append(_keys(sums, np.arange(m), band, 4 + laden))
-        spares.append(max(0, cover - h - 1))
-    return np.unique(np.concatenate(out)), spares
+                np.add.at(sums, _segment(flat[begin[i] : begin[i] + sizes[i]], int(full[i])), value[begin[i] : begin[i] + sizes[i]])
+            keys.append(_keys(sums, np.arange(full[i]), np.full(full[i], band[i]), 4 + laden))
+            rows.append(np.full(full[i], i))
+        spares[np.arange(n), band & 1] = np.where(live, np.maximum(0, cover - h - 1), 0)
+    rows = np.concatenate(rows)
+    order = np.argsort(rows, kind="stable")
+    return np.concatenate(keys)[order], rows[order], spares
 
 
 def describe(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
-    """doc_id, set size, 128-bit set hash, odd sketch and spare segments of the two schemes."""
+    """doc_id, set size, 128-bit set hash, odd sketch, spare segments of the two schemes, and signatures."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in merged(batches, "text"):
-            sets = shingle_sets(batch.column("text"), words)
-            with np.errstate(over="ignore"):
-                one = [int(mixed(x).sum(dtype=_U).astype(np.int64)) if len(x) else None for x in sets]
-                two = [int(mixed(x ^ _U(0x2545F4914F6CDD1D)).sum(dtype=_U).astype(np.int64)) if len(x) else None for x in sets]
-            spare = [signatures(x, scheme, False)[1] if len(x) else [0, 0] for x in sets]
-            parity = [scheme.band(len(x)) & 1 if len(x) else 0 for x in sets]
+        for batch in merged(batches, "text", 2 << 20):
+            flat, sizes = shingle_sets(batch.column("text"), words)
+            keys, of, spares = signatures(flat, sizes, scheme, False)
+            one, two = (pa.array(set_sums(mixed(flat ^ _U(c)), sizes).view(np.int64), mask=sizes == 0) for _, c in _HASHES)
+            offsets = pa.array(np.searchsorted(of, np.arange(len(sizes) + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array(one, pa.int64()),
-                    pa.array(two, pa.int64()),
-                    pa.array([odd_sketch(x) for x in sets], pa.binary()),
-                    pa.array([s[p] for s, p in zip(spare, parity, strict=True)], pa.int32()),
-                    pa.array([s[1 - p] for s, p in zip(spare, parity, strict=True)], pa.int32()),
+                    pa.array(sizes, pa.int64()),
+                    one,
+                    two,
+                    odd_sketches(flat, sizes),
+                    pa.array(spares[:, 0], pa.int32()),
+                    pa.array(spares[:, 1], pa.int32()),
+                    pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
                 ],
-                names=["doc_id", "n_shingles", "h1", "h2", "sketch", "spare_even", "spare_odd"],
+                names=["doc_id", "n_shingles", "h1", "h2", "sketch", "spare_even", "spare_odd", "sigs"],
             )
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, spare_even int, spare_odd int")
+    return docs.mapInArrow(rows, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, spare_even int, spare_odd int, sigs array<long>")
+
+
+def _as_known(batch: pa.RecordBatch, words: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """doc_ids and sets of the rows whose set is the one that (h1, h2) names: a repeated doc_id has one text."""
+    flat, sizes = shingle_sets(batch.column("text"), words)
+    same = [set_sums(mixed(flat ^ _U(c)), sizes).view(np.int64) == batch.column(n).to_numpy() for n, c in _HASHES]
+    ok = same[0] & same[1]
+    return batch.column("doc_id").cast(pa.int64()).filter(pa.array(ok)), flat[np.repeat(ok, sizes)], sizes[ok]
 
 
-def index(docs: DataFrame, words: int, scheme: Scheme, laden: bool) -> DataFrame:
-    """(sig, doc_id) of the sets, for signatures that at least two documents share."""
+def again(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
+    """(doc_id, sigs) in the second index, for laden sets."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for batch in merged(batches, "text"):
-            keys, ids = [], []
-            for doc, x in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), words), strict=True):
-                if not len(x) or (known := (int(x.sum(dtype=_U)), int(mixed(x).sum(dtype=_U)))) in seen:
-                    continue  # equal sets of a task propose the same pairs
-                if len(seen) < 200_000:
-                    seen.add(known)
-                keys.append(signatures(x, scheme, laden)[0])
-                ids.append(np.full(len(keys[-1]), doc, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["sig", "doc_id"])
+        for batch in merged(batches, "text", 1 << 20):
+            ids, flat, sizes = _as_known(batch, words)
+            keys, of, _ = signatures(flat, sizes, scheme, True)
+            offsets = pa.array(np.searchsorted(of, np.arange(len(sizes) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))], names=["doc_id", "sigs"])
+
+    return docs.mapInArrow(emit, "doc_id long, sigs array<long>")
+
+
+def index(signed: DataFrame) -> DataFrame:
+    """(sig, doc_id, centre) of (doc_id, sigs), for signatures that at least two rows share.
+
+    Spark sorts the signatures (and spills); a task then streams them and holds one batch.
+    """
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches), pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())]))
-        sig, doc = held["sig"].to_numpy(), held["doc_id"].to_numpy()
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(sig)))
-        multi = np.repeat(sizes > 1, sizes)
-        centre = np.repeat(doc[starts], sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(a[multi]) for a in (sig, doc, centre)], names=["sig", "doc_id", "centre"])
-
-    rows = docs.mapInArrow(emit, "sig long, doc_id long")
-    return saved(rows.repartition("sig").mapInArrow(shared, "sig long, doc_id long, centre long"), "shared")
+        last, centre, waits = None, 0, False  # the run that the batch before ended in; whether its only row is still to come
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, doc = batch.column("sig").to_numpy(), batch.column("doc_id").to_numpy()
+            starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            sizes = np.diff(np.append(starts, len(sig)))
+            lead, multi = np.repeat(doc[starts], sizes), np.repeat(sizes > 1, sizes)
+            goes_on = last is not None and last == sig[0]
+            if goes_on:
+                lead[: sizes[0]], multi[: sizes[0]] = centre, True
+                if waits:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (last, centre, centre)], names=["sig", "doc_id", "centre"])
+            last, centre, waits = int(sig[-1]), int(lead[-1]), not multi[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[multi]) for x in (sig, doc, lead)], names=["sig", "doc_id", "centre"])
+
+    rows = signed.select("doc_id", F.explode("sigs").alias("sig")).select("sig", "doc_id")
+    return saved(rows.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(shared, "sig long, doc_id long, centre long"), "shared")
 
 
 def close(pairs: DataFrame, known: DataFrame, scheme: Scheme) -> DataFrame:
@@ -220,36 +285,41 @@ def close(pairs: DataFrame, known: DataFrame, scheme: Scheme) -> DataFrame:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            ok = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * scheme.percent
-            sa, sb = batch.column("sa"), batch.column("sb")
-            for i in np.flatnonzero(ok).tolist():
-                ok[i] = sketch_distance(sa[i].as_py(), sb[i].as_py()) <= scheme.differ(int(na[i] + nb[i]))
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            at = np.flatnonzero(np.minimum(na, nb) * 100 >= np.maximum(na, nb) * scheme.percent)
+            apart = distances(batch.column("sa"), at, batch.column("sb"), at)
+            yield batch.select(["a", "b"]).take(pa.array(at[apart <= scheme.differ((na + nb)[at])]))
 
     side = lambda c: known.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two ascending sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)) if len(x) else 0
+
+
+def verify(pairs: DataFrame, docs: DataFrame, least: DataFrame, words: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     """The pairs whose whole sets are similar enough, and the sets of all proposed documents."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in merged(batches, "text"):
-            sets = shingle_sets(batch.column("text"), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "elements"])
+        for batch in merged(batches, "text", 2 << 20):
+            ids, flat, sizes = _as_known(batch, words)
+            yield pa.RecordBatch.from_arrays([ids, strings(flat.view(np.uint8), sizes * 8).cast(pa.binary())], names=["doc_id", "elements"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for a, b in zip(batch.column("xa"), batch.column("xb"), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = in_common(x, y)
                 ok.append(100 * both >= scheme.percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = saved(pairs, "proposed")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = saved(docs.join(wanted, "doc_id", "left_semi").mapInArrow(load, "doc_id long, elements binary"), "sets")
+    sets = saved(docs.join(least.join(wanted, "doc_id", "left_semi"), "doc_id").mapInArrow(load, "doc_id long, elements binary"), "sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("elements").alias(f"x{c}"))
     return saved(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long"), "links"), sets
 
@@ -261,7 +331,7 @@ def alike(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
     if both.size <= 16:
         for i, a in enumerate(x):
             for j, b in enumerate(y):
-                both[i, j] = len(np.intersect1d(a, b, assume_unique=True))
+                both[i, j] = in_common(a, b)
     else:
         ex, ey = np.concatenate(x), np.concatenate(y)
         common = np.intersect1d(ex, ey)
@@ -286,6 +356,48 @@ def alike(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
     return 100 * both >= percent * (nx[:, None] + ny[None, :] - both)
 
 
+def meetings(member: DataFrame, key: str, scheme: Scheme) -> DataFrame:
+    """(key, i, j, side, doc_id): the members of each key dealt to blocks in order of size, each block (side 0) with
+    itself (i = j) and with every other (side 1) whose sizes don't rule a link out."""
+    member = member.select(key, "doc_id", "n_shingles").withColumn("scale", F.floor(F.log2("n_shingles")).cast("int"))
+    bucket = F.col("n_shingles") * 64 + salt([F.col("doc_id")], 64)
+    member = ranked(member, [key, "scale"], [F.col("n_shingles"), F.col("doc_id")], bucket)
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(ROOM) / F.pow(F.lit(2), F.col("scale")))))
+    member = saved(member.withColumn("block", F.col("scale").cast("long") * (1 << 40) + F.floor(F.col("rank") / room).cast("long")), "members")
+    sizes = member.groupBy(key, "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    meets = sizes.select(key, F.col("block").alias("i"), "high").join(sizes.select(key, F.col("block").alias("j"), "low"), key)
+    meets = saved(meets.where((F.col("i") <= F.col("j")) & (F.col("high") * 100 >= F.col("low") * scheme.percent)).select(key, "i", "j"), "meets")
+    side = lambda c, n: member.withColumnRenamed("block", c).join(meets, [key, c]).select(key, "i", "j", F.lit(n).alias("side"), "doc_id")
+    return side("i", 0).unionByName(side("j", 1).where("i < j"))
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows of whole groups, of batches sorted by ``keys``; several groups at a time."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        end = [held[c][-1].as_py() for c in keys]
+        if [batch.column(c)[0].as_py() for c in keys] == end:
+            continue  # the last group may go on
+        last = np.ones(held.num_rows, bool)
+        for c, v in zip(keys, end, strict=True):
+            last &= held[c].to_numpy() == v
+        start = int(np.argmax(last))
+        if start:
+            yield held.slice(0, start)
+        held = held.slice(start)
+    if held is not None:
+        yield held
+
+
+def _starts(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    columns = np.stack([table[c].to_numpy() for c in keys])
+    return np.flatnonzero(np.append(True, (columns[:, 1:] != columns[:, :-1]).any(axis=0)))
+
+
 def every_link(found: DataFrame, parts: DataFrame, rep: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     """(class_id, near): classes and arrays of classes linked to them; several rows for a class in several block pairs.
 
@@ -295,23 +407,14 @@ def every_link(found: DataFrame, parts: DataFrame, rep: DataFrame, sets: DataFra
     many = saved(parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("component"), "many")
     two = found.distinct().join(parts.withColumnRenamed("node", "a"), "a").join(many, "component", "left_anti")
     two = two.selectExpr("stack(2, a, b, b, a) as (class_id, other)").select("class_id", F.array("other").alias("near"))
-
     member = parts.withColumnRenamed("node", "doc_id").join(many, "component").join(rep.select("doc_id", "n_shingles"), "doc_id")
-    member = member.withColumn("scale", F.floor(F.log2("n_shingles")).cast("int"))
-    bucket = F.col("n_shingles") * 64 + salt([F.col("doc_id")], 64)
-    member = ranked(member, ["component", "scale"], [F.col("n_shingles"), F.col("doc_id")], bucket)
-    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(ROOM) / F.pow(F.lit(2), F.col("scale")))))
-    member = saved(member.withColumn("block", F.col("scale").cast("long") * (1 << 40) + F.floor(F.col("rank") / room).cast("long")), "members")
-    sizes = member.groupBy("component", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    meets = sizes.select("component", F.col("block").alias("i"), "high").join(sizes.select("component", F.col("block").alias("j"), "low"), "component")
-    meets = saved(meets.where((F.col("i") <= F.col("j")) & (F.col("high") * 100 >= F.col("low") * scheme.percent)).select("component", "i", "j"), "meets")
-    side = lambda c, n: member.withColumnRenamed("block", c).join(meets, ["component", c]).select("component", "i", "j", F.lit(n).alias("side"), "doc_id")
-    rows = side("i", 0).unionByName(side("j", 1).where("i < j")).join(sets, "doc_id")
+    rows = meetings(member, "component", scheme).join(sets, "doc_id")
+    keys = ("component", "i", "j")
 
     def near(group: pa.Table) -> pa.RecordBatch:
         held: list[dict[int, np.ndarray]] = [{}, {}]
-        for n, doc, e in zip(group["side"].to_pylist(), group["doc_id"].to_pylist(), group["elements"].to_pylist(), strict=True):
-            held[n].setdefault(doc, np.frombuffer(e, _U))
+        for n, doc, e in zip(group["side"].to_pylist(), group["doc_id"].to_pylist(), group["elements"], strict=True):
+            held[n].setdefault(doc, np.frombuffer(e.as_buffer(), _U))
         x, y = held
         own = not y
         ids, others = np.array(list(x), np.int64), np.array(list(x if own else y), np.int64)
@@ -325,53 +428,55 @@ def every_link(found: DataFrame, parts: DataFrame, rep: DataFrame, sets: DataFra
             lists += [right[hit[i]] for i in some.tolist()]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(lists, pa.list_(pa.int64()))], names=["class_id", "near"])
 
-    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = np.stack([held[c].to_numpy() for c in ("component", "i", "j")])
-            starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if held.num_rows else []
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                yield near(held.slice(a, b - a))
-            held = held.slice(starts[-1]) if len(starts) else held
-        if held is not None and held.num_rows:
-            yield near(held)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches, keys):
+            starts = _starts(table, keys).tolist()
+            for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                yield near(table.slice(a, b - a))
 
-    dealt = rows.select("component", "i", "j", "side", "doc_id", "elements").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return saved(two.unionByName(dealt.mapInArrow(by_group, "class_id long, near array<long>")), "near")
+    dealt = rows.select("component", "i", "j", "side", "doc_id", "elements").repartition(*keys).sortWithinPartitions(*keys)
+    return saved(two.unionByName(dealt.mapInArrow(compare, "class_id long, near array<long>")), "near")
 
 
-def proposals(rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs of different components within each signature that sketches don't rule out."""
-    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary())])
+def proposals(rows: DataFrame, rep: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs of different components within each signature that sketches don't rule out.
+
+    ``rows`` has (sig, doc_id, component). A signature with more than ``BLOCK`` sets is dealt to blocks.
+    """
+    keys = ("sig", "i", "j")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches), schema).sort_by("sig")
-        sig, doc, part, n = (held[c].to_numpy() for c in ("sig", "doc_id", "component", "n_shingles"))
-        sketches = held["sketch"].combine_chunks() if held.num_rows else pa.array([], pa.binary())
-        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else []
-        found: set[tuple[int, int]] = set()
-        for a, b in zip(starts, [*starts[1:], len(sig)], strict=True):
-            values = [np.frombuffer(s.as_buffer(), np.uint8) for s in sketches[a:b]]
-            width = min(map(len, values))
-            for i, v in enumerate(values):
-                while len(v) > width:
-                    v = v[: len(v) // 2] ^ v[len(v) // 2 :]
-                values[i] = v
-            stack = np.stack(values)
-            for i in range(b - a - 1):
-                rest = np.arange(i + 1, b - a)
-                x, y = n[a + i], n[a + rest]
-                rest = rest[(part[a + rest] != part[a + i]) & (np.minimum(x, y) * 100 >= np.maximum(x, y) * scheme.percent)]
-                if len(rest):
-                    apart = np.bitwise_count(stack[rest] ^ stack[i]).sum(axis=1, dtype=np.int64)
-                    limit = (n[a + rest] + x) * (100 - scheme.percent) // (100 + scheme.percent)
-                    found.update((min(p, q), max(p, q)) for p, q in ((int(doc[a + i]), int(doc[a + j])) for j in rest[apart <= limit]))
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return rows.select(*schema.names).repartition("sig").mapInArrow(cross, "a long, b long").distinct()
+        for table in by_group(batches, keys):
+            starts = _starts(table, keys)
+            doc, part, n, side, i, j = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "side", "i", "j"))
+            ends = np.repeat(np.append(starts[1:], len(doc)), np.diff(np.append(starts, len(doc))))
+            sketch, place, left = table["sketch"].combine_chunks(), np.arange(len(doc)), []
+            for step in range(1, int((ends - place).max(initial=1))):
+                a = place[ends - place > step]
+                b = a + step
+                ok = (part[a] != part[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * scheme.percent)
+                ok &= (i[a] == j[a]) | (side[a] != side[b])
+                left.append(np.stack([a[ok], b[ok]]))
+            if not left:
+                continue
+            a, b = np.concatenate(left, axis=1)
+            # The same pair may meet under many signatures.
+            pair = np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])])
+            pair, first = np.unique(pair, axis=1, return_index=True)
+            a, b = a[first], b[first]
+            ok = distances(sketch, a, sketch, b) <= scheme.differ(n[a] + n[b])
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0][ok]), pa.array(pair[1][ok])], names=["a", "b"])
+
+    big = saved(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("sig"), "big")
+    zero = [F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side")]
+    facts = rep.select("doc_id", "n_shingles", "sketch")
+    all_rows = rows.select("sig", "doc_id", "component", *zero)
+    if not big.isEmpty():
+        dealt = meetings(rows.join(big, "sig", "left_semi").join(rep.select("doc_id", "n_shingles"), "doc_id"), "sig", scheme)
+        dealt = dealt.join(rows.select("doc_id", "component").distinct(), "doc_id")
+        all_rows = all_rows.join(big, "sig", "left_anti").unionByName(dealt.select(*all_rows.columns))
+    ready = all_rows.join(facts, "doc_id").select("sig", "i", "j", "side", "doc_id", "component", "n_shingles", "sketch")
+    return ready.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(cross, "a long, b long").distinct()
 
 
 def mixed_buckets(shared: DataFrame, label: DataFrame) -> DataFrame:
@@ -385,37 +490,36 @@ def _matched(docs: DataFrame, words: int, scheme: Scheme) -> tuple[DataFrame, ..
     """Facts of every document, components of linked classes, the links that joined them, representatives, and sets of all linked ones."""
     small_batches(docs.sparkSession)
     docs = only(docs, "doc_id", "text").where("doc_id is not null")
-    known = saved(describe(docs, words, scheme), "sets").dropDuplicates(["doc_id"])
-    known = saved(classes(known, ["h1", "h2"], "doc_id"), "known")
-    facts = known.select("doc_id", "n_shingles", "sketch", "class_id", "spare_even", "spare_odd")
-    rep = known.where("doc_id = class_id").select("doc_id", "n_shingles", "sketch", "spare_even", "spare_odd")
-    names = known.select("doc_id", "class_id")
-
-    # Round one: each member against the centre of its bucket.
-    shared = index(docs, words, scheme, False)
-    star = shared.where("centre <> doc_id").select("centre", "doc_id").distinct()
-    star = star.join(names, "doc_id").select("centre", F.col("class_id").alias("b")).join(names.withColumnRenamed("doc_id", "centre"), "centre")
-    star = star.select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).where("a <> b").distinct()
-    found, sets = verify(close(star, rep, scheme), docs, words, scheme)
+    sets = saved(describe(docs, words, scheme), "described")
+    one = sets.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "h1", "h2", "spare_even", "spare_odd")).alias("x")).select("doc_id", "x.*")
+    facts = saved(classes(one, ["h1", "h2"], "doc_id"), "known")
+    # One row for each class; equal rows of its smallest document have equal sketches and signatures.
+    least = facts.where("doc_id = class_id and n_shingles > 0").select("doc_id", "h1", "h2")
+    rep = sets.join(least, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
+    rep = saved(rep, "classes")
+
+    # Round one: each class against the centre of its bucket.
+    shared = index(sets.join(least, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "sigs"))
+    star = shared.where("centre <> doc_id").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    found, elements = verify(close(star, rep, scheme), docs, least, words, scheme)
     parts = components(found)
 
     # Round two: what still lies in different components of a bucket.
-    label = names.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component"))
-    open_ = mixed_buckets(shared, label.select("doc_id", "component"))
+    label = rep.select("doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    open_ = mixed_buckets(shared, label)
     crowded = open_.where(F.col("parts") > CROWD)
     odd = F.col("sig").bitwiseAND(1) == 1
     lost = crowded.groupBy("doc_id").agg(F.count_if(odd).alias("odd"), F.count_if(~odd).alias("even"))
-    laden = saved(lost.join(facts, "doc_id").where("odd > spare_odd or even > spare_even").select("doc_id"), "laden")
-    again = index(docs.join(laden, "doc_id", "left_semi"), words, scheme, True)
+    laden = saved(lost.join(facts, "doc_id").where("odd > spare_odd or even > spare_even").select("doc_id", "h1", "h2"), "laden")
     rows = open_.where(F.col("parts") <= CROWD).select("sig", "doc_id", "component")
-    rows = rows.unionByName(mixed_buckets(again, label.select("doc_id", "component")).select("sig", "doc_id", "component"))
-    rows = rows.join(names, "doc_id").select("sig", F.col("class_id").alias("doc_id"), "component").distinct()
-    more, others = verify(proposals(rows.join(rep, "doc_id"), scheme), docs, words, scheme)
+    if not laden.isEmpty():
+        rows = rows.unionByName(mixed_buckets(index(again(docs.join(laden, "doc_id"), words, scheme)), label).select("sig", "doc_id", "component"))
+    more, others = verify(proposals(rows.distinct(), rep, scheme), docs, least, words, scheme)
     if not more.isEmpty():
         found = found.unionByName(more)
         parts = components(found)
-        sets = sets.unionByName(others.join(sets.select("doc_id"), "doc_id", "left_anti"))
-    return facts, parts, found, rep, sets
+        elements = elements.unionByName(others.join(elements.select("doc_id"), "doc_id", "left_anti"))
+    return facts, parts, found, rep, elements
 
 
 def _named(facts: DataFrame, parts: DataFrame) -> DataFrame:

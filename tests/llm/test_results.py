@@ -322,7 +322,8 @@ def test_odd_sketch_never_exceeds_the_difference():
         x = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 400)).astype(np.uint64))
         keep = x[rng.random(len(x)) < rng.random()]
         y = np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, rng.integers(1, 60)).astype(np.uint64)]))
-        assert jaccard.sketch_distance(jaccard.odd_sketch(x), jaccard.odd_sketch(y)) <= len(np.setxor1d(x, y))
+        both = jaccard.odd_sketches(np.concatenate([x, y]), np.array([len(x), len(y)]))
+        assert jaccard.distances(both, np.array([0]), both, np.array([1]))[0] <= len(np.setxor1d(x, y))
 
 
 def test_components_of_a_chain(spark):
