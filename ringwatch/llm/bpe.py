@@ -2,7 +2,8 @@
 
 BPE merges never cross the pre-tokenizer's pieces, so each distinct piece is encoded once and
 the ids of a text are those of its pieces in order. Pieces are found for a whole batch at a
-time from character classes; texts with apostrophes (contractions) use the pattern itself.
+time from character classes; texts with apostrophes (contractions) use the pattern itself. Texts that
+hold an added token of the tokenizer (such as its end-of-text mark) are left to the library whole.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values() if t.content]
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.keep, self.cache = keep, {}
@@ -72,11 +73,38 @@ class Encoder:
                 start[a + np.fromiter((m.start() for m in rule.finditer(text)), np.int64)] = True
         return head[np.flatnonzero(start)]
 
+    def _marked(self, raw: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Texts that hold an added token."""
+        data, found = raw.tobytes(), set()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                found.add(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = data.find(token, at + 1)
+        return sorted(found)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
         raw, offsets = utf8(texts)
         if not len(raw):
             return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
+        if not (marked := self._marked(raw, offsets)):
+            return self._plain(raw, offsets)
+        runs, counts, last = [], [], 0
+        for i in [*marked, len(texts)]:
+            ids, n = self._plain(raw[offsets[last] : offsets[i]], offsets[last : i + 1] - offsets[last])
+            runs.append(ids)
+            counts.append(n)
+            if i < len(texts):
+                text = raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "surrogatepass")
+                runs.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16))
+                counts.append(np.array([len(runs[-1])], np.int64))
+            last = i + 1
+        return np.concatenate(runs), np.concatenate(counts)
+
+    def _plain(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(raw):
+            return np.zeros(0, np.uint16), np.zeros(len(offsets) - 1, np.int64)
         at = self._pieces(raw, offsets)
         pieces = strings(raw, np.diff(np.append(at, len(raw)))).dictionary_encode()
         values = pieces.dictionary.to_pylist()
