@@ -62,7 +62,7 @@ def test_repeated_rows_stay(docs, labels, name):
 
 def test_null_ids(spark, docs, labels):
     odd = docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.where("doc_id = 1"))
-    for name in ("shards", "tokens", "fingerprints", "pieces", "pii"):
+    for name in ("shards", "tokens", "fingerprints", "pieces", "pii", "packing", "quality"):
         assert OPERATORS[name](odd, labels).count() == 2, name
     for name in ("jaccard", "lm"):
         assert OPERATORS[name](odd, labels).count() == 1, name

@@ -37,7 +37,9 @@ def texts(docs):
 
 @pytest.fixture(scope="module")
 def library():
-    return Encoder(BYTE_BPE).library
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BYTE_BPE)
 
 
 def test_every_operator_is_registered():
@@ -212,11 +214,18 @@ def test_token_files_are_the_library_in_order(docs, texts, library):
         at += len(ids)
 
 
-@pytest.mark.parametrize("text", ["don't stop  it's\n\n 'tis   ", "\n", " a b 　 c1²", "日本 'll'd 12ab  ", "é'S  x's", "a \n b\t\tc ", "<|endoftext|>", "퟿ \U0001f600!!", ""])
+@pytest.mark.parametrize("text", ["don't stop  it's\n\n 'tis   ", "\n", " a b 　 c1²", "日本 'll'd 12ab  ", "é'S  x's", "a \n b\t\tc ", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|>", "퟿ \U0001f600!!", ""])
 def test_pieces_of_bpe_are_the_library(library, text):
     assert Encoder(BYTE_BPE).encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_special_strings_are_the_library(library):
+    texts = ["a<|endoftext|>b", None, "plain words", "", "x <|endoftext|>", "<|endoftext|><|endoftext|> don't", "end"]
+    ids, counts = Encoder(BYTE_BPE).encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_quality_on_held_out_labels(spark, docs):
     big = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{big}/labels.parquet")
@@ -354,8 +363,39 @@ def test_packing_covers_every_id_once(docs, texts, library):
             at += r["length"]
         assert at <= 1024 and at == parts[0]["sequence_length"]
         used += at
+        assert at == parts[0]["window"] or parts[0]["window"] == 1024
     assert sorted(by_sequence) == list(range(len(by_sequence)))
-    assert used / (1024 * len(by_sequence)) > 0.98
+    padded = sum(1024 if p[0]["sequence_length"] & (p[0]["sequence_length"] - 1) else p[0]["sequence_length"] for p in by_sequence.values())
+    assert used / padded > 0.98
+    cost, size = collections.Counter(), collections.Counter()
+    for parts in by_sequence.values():
+        cost[parts[0]["step_group"]] += parts[0]["sequence_length"]
+        size[parts[0]["step_group"]] += 1
+    assert max(cost.values()) - min(cost.values()) <= 1024 and max(size.values()) <= 64
+
+
+def test_plan_is_near_the_fewest_windows():
+    """Against the fewest windows, by exhaustive search; short windows are exactly full."""
+    rng = random.Random(8)
+    assert packing.plan({900: 1, 100: 4, 28: 3, 24: 1}) == [(1024, 1, [900, 100, 24]), (128, 3, [100, 28])]
+
+    def fewest(items, room, bins):
+        if not items:
+            return bins
+        best, tried = 99, set()
+        for i, x in enumerate(items):
+            if x <= room and x not in tried and len(tried) < 9:
+                tried.add(x)
+                best = min(best, fewest(items[:i] + items[i + 1 :], room - x, bins))
+        return best if tried else fewest(items[1:], 16 - items[0], bins + 1)
+
+    for _ in range(60):
+        items = sorted((rng.randrange(1, 16) for _ in range(rng.randrange(1, 8))), reverse=True)
+        groups = packing.plan(dict(collections.Counter(items)), 16)
+        assert sorted((k for _, n, lengths in groups for k in lengths * n), reverse=True) == items
+        assert all(sum(lengths) <= w and w in (2, 4, 8, 16) and (w == 16 or sum(lengths) == w) for w, _, lengths in groups)
+        room = sum(n * (16 if (x := sum(lengths)) & (x - 1) else x) for w, n, lengths in groups)
+        assert room <= 16 * (fewest(items, 0, 0) * 11 / 9 + 1)
 
 
 def test_scores(spark, texts):
