@@ -11,8 +11,8 @@ stretches between such blanks are solved once for each distinct stretch of a bat
 Decoding gives back the very text: characters outside the vocabulary are spelled in bytes, as is a
 literal U+2581. Ties between segmentations go to the longer piece at the end, within a chunk.
 
-Nulls: a null text is empty and has no ids. Repeated rows are coded each on its own. An empty table gives no rows. Very long texts are the rule's second
-case above. Extra columns are ignored.
+Nulls: a null text is empty and has no ids; a null doc_id is kept. Repeated rows are coded each on its own. An empty table gives no rows. Very long
+texts are chunked, and one task holds a small matrix for each chunk of a text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from ringwatch.llm.common import only, saved, small_batches
 from ringwatch.llm.words import merged, strings, take_ranges, utf8
 
-CHUNK = 1 << 16
+CHUNK = 1 << 13
+#: Characters a chunk sees beyond its end: at least the longest piece.
+REACH = 64
 _NONE = -(1 << 50)
 ENCODED = "doc_id long, n_chars long, n_tokens long, score long, text_crc32 long, decoded_crc32 long, ids array<int>"
 
@@ -62,6 +64,8 @@ class Vocabulary:
             for c in text:
                 node = node.setdefault(c, {})
             node[""] = score
+        if self.longest > REACH:
+            raise ValueError("a piece is longer than what chunks see beyond their end")
         if any(" " in t.lstrip(" ") or "\n" in t for t in self.ids):
             raise ValueError("a piece crosses a blank or a line break")
         self.lengths = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
@@ -232,11 +236,15 @@ def boundary_states(matrices: np.ndarray) -> np.ndarray:
 
 
 def _long(docs: DataFrame, path: str, chunk: int) -> DataFrame:
-    reach = 64  # at least the longest piece
-    whole = docs.select("doc_id", F.md5("text").alias("row"), F.concat(F.lit(" "), F.col("text")).alias("whole"))
-    places = F.sequence(F.lit(0), F.floor((F.length("whole") - 1) / chunk).cast("int"))
-    chunks = whole.dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "whole", F.explode(places).alias("k")).select("doc_id", "row", "k", F.substring("whole", F.col("k") * chunk + 1, F.lit(chunk + reach)).alias("part"))
-    chunks = saved(chunks.repartition("doc_id", "row", "k"), "chunks")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+                whole = " " + text
+                for k in range(0, len(whole), chunk):
+                    yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([row]), pa.array([k // chunk], pa.int32()), pa.array([whole[k : k + chunk + REACH]])], names=["doc_id", "row", "k", "part"])
+
+    whole = docs.select("doc_id", F.md5("text").alias("row"), "text").dropDuplicates(["doc_id", "row"])
+    chunks = saved(whole.mapInArrow(cut, "doc_id long, row string, k int, part string").repartition("doc_id", "row", "k"), "chunks")
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(path)
