@@ -1,31 +1,33 @@
-"""Closed syncmers over word pieces: context-free anchors, bottom sketches and their likeness.
+"""Closed syncmers over word pieces: context-free anchors with their places, and what texts share.
 
 A text is a sequence of symbols: its lower-cased words cut into pieces of at most four
 characters. A window of ``K`` symbols is chosen when the least hash among its inner windows of
 ``S`` symbols is at the window's first or last place. The choice depends on the window alone, so
-an edit changes only the windows it touches. Texts of at most ``SHORT`` characters also get
-windows of single characters, so that a few words still have several anchors. A text with
-too few symbols for any window has one anchor, of all its symbols; one without symbols none.
+an edit changes only the windows it touches. A text with
+too few symbols for any window has one anchor, of all its symbols at place 0; one without symbols none.
 
-A fingerprint is the ``SKETCH`` least anchor hashes, 16 hexadecimal digits each; the likeness of two is the
-Jaccard index estimated from the least hashes of their union (exact while both are
-complete). Two texts without anchors are alike (1.0); one against some is not (0.0).
+A fingerprint is all anchors in order of their places, 8 hexadecimal digits each (half of their hash). The likeness of two is the
+Jaccard index of their whole anchor sets. Two texts without anchors are alike (1.0); one against some is not (0.0).
+``aligned_edited`` matches by position: the share of a text's anchors that the edited text has at the same place. ``places`` gives every
+anchor as a row, for joins of texts at shared passages: a passage of two texts is anchors of both with one difference of places.
 
 Nulls: a null text is the empty text; a null doc_id sorts first. Repeated rows keep their own
-places in the order. An empty table gives no rows. All work is DataFrame functions.
+places in the order; rows alike in doc_id and text are alike in the result. A very long text is one row with as many anchors as it has; nothing is cut.
+An empty table gives no rows. Extra columns are ignored. All work is DataFrame functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ringwatch.llm.common import only
 
-K, S, SKETCH, SHORT = 5, 2, 64, 256
+K, S = 5, 2
 PIECE = r"[^\x20\x09-\x0D]{1,4}"
-LETTER = r"(?s)[^\x20\x09-\x0D]"
 
 
 def _from(a: Column, i: int) -> Column:
@@ -50,31 +52,37 @@ def anchors(df: DataFrame, symbols: str, out: str) -> DataFrame:
     return df.withColumn(out, F.filter(chosen, lambda x: x.isNotNull())).drop(h, s)
 
 
-def sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the least anchor hashes of the text column, ascending."""
-    low, n = F.lower(F.coalesce(F.col(text), F.lit(""))), F.length(F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_w", F.regexp_extract_all(low, F.lit(PIECE), F.lit(0)))
-    df = df.withColumn("_c", F.when(n <= SHORT, F.regexp_extract_all(low, F.lit(LETTER), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    df = anchors(anchors(df, "_w", "_wa"), "_c", "_ca")
-    found = F.array_distinct(F.concat(F.col("_wa.hash"), F.col("_ca.hash")))
-    whole = F.when(F.size("_w") > 0, F.array(F.xxhash64(F.concat_ws(" ", "_w")))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_f", found).withColumn(out, F.when(F.size("_f") > 0, F.slice(F.sort_array("_f"), 1, SKETCH)).otherwise(whole))
-    return df.drop("_w", "_c", "_wa", "_ca", "_f")
+def anchored(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``: (place, hash) of all anchors of the text column."""
+    df = df.withColumn("_w", F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(PIECE), F.lit(0)))
+    whole = F.struct(F.lit(0).alias("place"), F.xxhash64(F.concat_ws(" ", "_w")).alias("hash"))
+    df = anchors(df, "_w", "_a")
+    return df.withColumn(out, F.when((F.size("_a") == 0) & (F.size("_w") > 0), F.array(whole)).otherwise(F.col("_a"))).drop("_w", "_a")
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """(doc_id, place, hash) of every anchor of every text."""
+    return anchored(only(docs, "doc_id", "text"), "text", "found").select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.place", "x.hash")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard index of two sketches."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.size(union))
+    """Jaccard index of two arrays of hashes without repeats."""
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
+
+
+def aligned(a: Column, b: Column) -> Column:
+    """Share of the anchors ``a`` that ``b`` has at the same place."""
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def printed(a: Column) -> Column:
-    return F.concat_ws("", F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")))
+    return F.concat_ws("", F.transform(a, lambda x: F.lpad(F.lower(F.hex(F.shiftrightunsigned(x["hash"], 32))), 8, "0")))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``next_<column>`` of the document before in doc_id order (the first gets the last's).
+def with_next(docs: DataFrame, columns: list[str], known: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Adds what ``known`` adds, and ``next_<column>`` of the document before in doc_id order (the first gets the last's).
 
     Documents are dealt to ranges of doc_id and meet their neighbour inside a range; the last
     document of each range goes to the following range too. The bounds of ranges (at most
@@ -98,25 +106,28 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     own = F.struct(F.col("_range").alias("range"), F.lit(2).alias("turn"))
     more = F.struct(F.col("_to").alias("range"), F.when(F.col("_wraps"), 0).otherwise(1).alias("turn"))
     sent = placed.join(F.broadcast(follows), F.col("doc_id") == F.col("_last"), "left").withColumn("_copy", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, more))))
-    near = Window.partitionBy("_copy.range").orderBy(F.col("_copy.turn"), F.col("doc_id").asc_nulls_first(), F.col(columns[0]))
-    out = sent.select("*", *[F.lag(c).over(near).alias(f"next_{c}") for c in columns]).where(F.col("_copy.turn") == 2)
-    return out.select(*docs.columns, *[f"next_{c}" for c in columns])
+    # Only texts travel; what is known of them is worked out where they meet.
+    met = known(sent.select(*docs.columns, F.col("_copy.range").alias("_range"), F.col("_copy.turn").alias("_turn")).repartition("_range"))
+    near = Window.partitionBy("_range").orderBy(F.col("_turn"), F.col("doc_id").asc_nulls_first(), F.col(columns[0]))
+    out = met.select("*", *[F.lag(c).over(near).alias(f"next_{c}") for c in columns])
+    return out.where(F.col("_turn") == 2).drop("_range", "_turn")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of the text with its second half replaced by the next text."""
     docs = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    known = sketch(docs, "text", "sketch").withColumn("n_chars", F.length("text").cast("long"))
-    pairs = with_next(known, ["text", "sketch"])
+    known = lambda df: anchored(df, "text", "found").withColumn("hashes", F.array_distinct("found.hash")).withColumn("n_chars", F.length("text").cast("long"))
+    pairs = with_next(docs, ["text", "hashes"], known)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    both = sketch(pairs.withColumn("edited", edited).drop("text", "next_text"), "edited", "edited_sketch")
+    both = anchored(pairs.withColumn("edited", edited).drop("text", "next_text"), "edited", "new")
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        printed(F.col("sketch")).alias("fingerprint"),
-        printed(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        printed(F.col("found")).alias("fingerprint"),
+        printed(F.col("new")).alias("edited_fingerprint"),
+        likeness(F.col("hashes"), F.array_distinct("new.hash")).alias("near_edited"),
+        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        aligned(F.col("found"), F.col("new")).alias("aligned_edited"),
     )

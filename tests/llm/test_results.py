@@ -166,6 +166,15 @@ def test_chunks_reach_the_best_score(spark, docs):
     assert {r["doc_id"]: r["score"] for r in parts.collect()} == whole and parts.where("text_crc32 <> decoded_crc32").isEmpty()
 
 
+def test_long_texts_are_chunked(spark):
+    long = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(f"length(text) > {unigram.CHUNK}")
+    rows, words = unigram.encode(long, PIECES).collect(), unigram.Vocabulary(PIECES)
+    assert len(rows) == long.count() > 0 and all(r["text_crc32"] == r["decoded_crc32"] for r in rows)
+    texts = {r["doc_id"]: r["text"] for r in long.collect()}
+    for r in rows:
+        assert r["score"] == words.encode(pa.array([texts[r["doc_id"]]]), {})[2][0]
+
+
 def test_transfer_matrices_are_brute_force():
     words = unigram.Vocabulary(PIECES)
     rng = random.Random(3)
@@ -294,33 +303,42 @@ def _xx(values, seed=42):
     return seed - (1 << 64) if seed >> 63 else seed
 
 
-def _sketch(text):
-    low, out = text.lower(), set()
-    both = [re.findall(fingerprint.PIECE, low), re.findall(fingerprint.LETTER, low) if len(text) <= fingerprint.SHORT else []]
-    for symbols in both:
-        h = [_xx([x]) for x in symbols]
-        s = [_xx([a, b]) for a, b in zip(h, h[1:], strict=False)]
-        for i in range(len(h) - fingerprint.K + 1):
-            inner = s[i : i + 4]
-            if min(inner) in (inner[0], inner[-1]):
-                out.add(_xx([s[i], s[i + 2], s[i + 3]]))
-    return sorted(out)[: fingerprint.SKETCH] or ([_xx([" ".join(both[0])])] if both[0] else [])
+def _anchors(text):
+    low, out = text.lower(), []
+    symbols = re.findall(fingerprint.PIECE, low)
+    h = [_xx([x]) for x in symbols]
+    s = [_xx([a, b]) for a, b in zip(h, h[1:], strict=False)]
+    for i in range(len(h) - fingerprint.K + 1):
+        inner = s[i : i + 4]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, _xx([s[i], s[i + 2], s[i + 3]])))
+    return out or ([(0, _xx([" ".join(symbols)]))] if symbols else [])
 
 
 def test_fingerprints_are_brute_force(docs, texts):
     got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}
     order = sorted(texts, reverse=True)
-    printed = lambda x: "".join(f"{v & ((1 << 64) - 1):016x}" for v in x)
+    printed = lambda x: "".join(f"{(v & ((1 << 64) - 1)) >> 32:08x}" for _, v in x)
     for i, doc in enumerate(order):
         text, other = texts[doc], texts[order[(i + 1) % len(order)]]
         half = len(text) // 2
         edited = text[: len(text) - half] + other[:half]
-        r, a, b, c = got[doc], _sketch(text), _sketch(edited), _sketch(other)
+        r, a, b, c = got[doc], _anchors(text), _anchors(edited), _anchors(other)
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert (r["fingerprint"], r["edited_fingerprint"]) == (printed(a), printed(b))
         for name, x in (("near_edited", b), ("near_next", c)):
-            union = sorted({*a, *x})[: fingerprint.SKETCH]
-            assert r[name] == (len({*a} & {*x} & {*union}) / len(union) if union else 1.0)
+            own, others = ({v for _, v in y} for y in (a, x))
+            assert r[name] == (len(own & others) / len(own | others) if own | others else 1.0)
+        assert r["aligned_edited"] == (len({*a} & {*b}) / len(a) if a else 1.0)
+
+
+def test_places_align_a_shared_passage(spark):
+    passage = "nine ships sailed out of the grey harbour before anyone had counted the lanterns on the far quay"
+    df = spark.createDataFrame([(1, f"quite another start {passage} and so on"), (2, f"{passage} or not")], "doc_id long, text string")
+    rows = fingerprint.places(df)
+    a, b = rows.where("doc_id = 1").alias("a"), rows.where("doc_id = 2").alias("b")
+    shifts = collections.Counter(r[0] for r in a.join(b, "hash").select(F.col("a.place") - F.col("b.place")).collect())
+    assert shifts.most_common(1)[0][0] == len(re.findall(fingerprint.PIECE, "quite another start ")) and shifts.most_common(1)[0][1] >= 5
 
 
 def _components(texts, words, percent):
