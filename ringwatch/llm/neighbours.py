@@ -1,16 +1,21 @@
-"""Nearest neighbours by inner product: randomly rotated one-bit codes, bounds, exact rerank.
+"""Nearest neighbours by inner product: cells, randomly rotated one-bit codes, bounds, exact rerank.
 
-Each vector is scaled to length one and turned by a random matrix with orthonormal rows into ``BITS`` or more
-coordinates (more than its own, which narrows the error); its code is the sign of each coordinate. With ``o`` the unit vector and ``c`` its code's unit vector, the
-inner product with a rotated query ``q`` is estimated as ``<c, q> / <c, o>`` and errs by at most
+Vectors are dealt to cells by the nearest of at most ``CELLS`` centres, which are learnt from a bounded sample (``SAMPLE`` vectors of the
+least hashes); a query visits the cells whose centres have the largest inner product with it. Tables of up to ``PROBES`` cells are
+searched whole. In a cell each residual (vector less centre) is scaled to length one and turned by a random matrix with orthonormal rows into
+``BITS`` or more coordinates (more than its own, which narrows the error); its code is the packed signs. With ``o`` the unit
+residual and ``c`` its code's unit vector, the inner product with a query ``q`` is estimated as ``<c, q> / <c, o>`` and errs by at most
 ``epsilon * sqrt((1 - <c, o>^2) / <c, o>^2) * |q| / sqrt(bits - 1)`` except with a probability that falls off
-exponentially in epsilon squared. Both scalars are kept with the code. Blocks of queries meet
-blocks of codes; in each, a query's candidates are those whose upper bound reaches its k-th
-best lower bound. Their exact products in double precision decide which k a block sends on.
+exponentially in epsilon squared. Both scalars are kept with the code. The rotated query is rounded to ``LEVELS`` bits a
+coordinate, so that ``<c, q>`` is counted from packed bits alone (one population count for each bit of a coordinate); the rounding widens the bound.
+
+Cells are stored in blocks of at most about ``block`` codes, and their queries in blocks too; a block of codes meets a block of queries in one task.
+A query's candidates are those whose upper bound reaches its k-th best lower bound, in a block and then over all blocks.
+Only for those are the vectors fetched, by joins on the id, for the exact product in double precision.
 
 Nulls: vectors that are null, empty, zero, of another length than most, or that hold a null or non-finite
-component take no part, as do null ids. Repeated rows with one id count once. Ties go to the smaller id. With
-fewer candidates than k all are returned. An empty table gives no rows. Extra columns are ignored.
+component take no part, as do null ids. Repeated rows with one id count once, with the least of their vectors. Ties go to the smaller id. With
+fewer candidates than k all are returned. Long vectors only make rows wider. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +30,9 @@ from pyspark.sql.window import Window
 
 from ringwatch.llm.common import salt, saved
 
-BITS = 512
+BITS, LEVELS = 256, 6
+#: Vectors that centres are learnt from, vectors a cell has on average, cells at most, cells a query visits.
+SAMPLE, CELL, CELLS, PROBES = 20_000, 2048, 16_384, 24
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -33,7 +40,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     df = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
-    df = df.where(~bad & F.exists("v", lambda x: x != 0.0)).dropDuplicates(["vec_id"])
+    df = df.where(~bad & F.exists("v", lambda x: x != 0.0)).groupBy("vec_id").agg(F.min("v").alias("v"))
     usual = df.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).select("dim")
     return df.join(F.broadcast(usual), F.size("v") == F.col("dim"), "left_semi")
 
@@ -49,74 +56,159 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def encode(vectors: DataFrame, dim: int, bits: int, seed: int, blocks: int) -> DataFrame:
-    """Blocks of vectors: ids, packed codes, lengths, <c, o>, and the vectors for the rerank."""
+def centres(sample: np.ndarray, count: int, seed: int) -> np.ndarray:
+    """Centres of cells by a few rounds of k-means over the sample."""
+    rng = np.random.default_rng(seed)
+    middle = sample[rng.choice(len(sample), min(count, len(sample)), replace=False)]
+    for _ in range(6):
+        near = np.concatenate([(x @ middle.T - (middle * middle).sum(axis=1) / 2).argmax(axis=1) for x in np.array_split(sample, max(1, len(sample) // 4096))])
+        order = np.argsort(near, kind="stable")
+        held = np.unique(near[order], return_index=True)
+        middle[held[0]] = np.add.reduceat(sample[order], held[1]) / np.diff(np.append(held[1], len(sample)))[:, None]
+    return middle
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dim, bits, seed)
+
+def assigned(rows: DataFrame, middle: np.ndarray) -> DataFrame:
+    """Adds the cell of every vector."""
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = (middle * middle).sum(axis=1) / 2
         for batch in batches:
-            v, block = _matrix(batch.column("v")), batch.column("block").to_numpy()
-            length = np.sqrt((v * v).sum(axis=1))
-            o = (v / length[:, None]) @ turn
-            fit = np.abs(o).sum(axis=1) / np.sqrt(bits)
-            code, ids = np.packbits(o > 0, axis=1), batch.column("vec_id").to_numpy()
-            for b in np.unique(block):
-                at = block == b
-                arrays = {"ids": ids, "code": code, "length": length, "fit": fit, "vectors": v}
-                yield pa.RecordBatch.from_pydict({"block": pa.array([int(b)], pa.int32())} | {k: [np.ascontiguousarray(a[at]).tobytes()] for k, a in arrays.items()})
+            if batch.num_rows:
+                near = (_matrix(batch.column("v")) @ middle.T - size).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(near, pa.int32())], names=["vec_id", "v", "cell"])
 
-    schema = "block int, ids binary, code binary, length binary, fit binary, vectors binary"
-    return vectors.withColumn("block", salt([F.col("vec_id")], blocks)).repartition(blocks, "block").mapInArrow(pack, schema)
+    return rows.mapInArrow(cell, "vec_id long, v array<double>, cell int")
 
 
-def nearest(codes: DataFrame, queries: DataFrame, dim: int, bits: int, k: int, seed: int, epsilon: float) -> DataFrame:
-    """(query_id, vec_id, score): the k nearest of each query in each block, reranked exactly."""
+def visits(asked: DataFrame, middle: np.ndarray, probes: int) -> DataFrame:
+    """(cell, query_id, v): the cells each query visits."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = np.argsort(-(_matrix(batch.column("v")) @ middle.T), axis=1, kind="stable")[:, :probes]
+                row = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column("vec_id").take(row), batch.column("v").take(row)], names=["cell", "query_id", "v"])
+
+    return asked.mapInArrow(cells, "cell int, query_id long, v array<double>")
+
+
+def encode(vectors: DataFrame, middle: np.ndarray, bits: int, seed: int) -> DataFrame:
+    """(cell, block, ids, code, length, fit): blocks of codes, with the length of each residual and its <c, o>."""
+    dim = middle.shape[1]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(dim, bits, seed)
+        held: dict[tuple[int, int], list] = {}
+
+        def done(key: tuple[int, int]) -> pa.RecordBatch:
+            columns = [np.concatenate(x).tobytes() for x in zip(*held.pop(key), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()) for k in key] + [pa.array([c], pa.binary()) for c in columns], names=["cell", "block", "ids", "code", "length", "fit"])
+
+        last = None
+        for batch in batches:  # sorted by cell and block
+            v, cell, block, ids = _matrix(batch.column("v")), batch.column("cell").to_numpy(), batch.column("block").to_numpy(), batch.column("vec_id").to_numpy()
+            rest = v - middle[cell]
+            length = np.sqrt((rest * rest).sum(axis=1))
+            o = (rest / np.maximum(length, 1e-300)[:, None]) @ turn
+            fit = np.where(length > 0, np.abs(o).sum(axis=1) / np.sqrt(bits), 1.0)
+            code = np.packbits(o > 0, axis=1)
+            starts = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]))) if len(ids) else []
+            for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
+                key = (int(cell[a]), int(block[a]))
+                if last not in (None, key):
+                    yield done(last)
+                held.setdefault(key, []).append((ids[a:b], code[a:b], length[a:b], fit[a:b]))
+                last = key
+        if last is not None:
+            yield done(last)
+
+    dealt = vectors.repartition("cell", "block").sortWithinPartitions("cell", "block")
+    return dealt.mapInArrow(pack, "cell int, block int, ids binary, code binary, length binary, fit binary")
+
+
+def products(code: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, float]:
+    """<c, q> of every code with a rotated query, from packed bits, and how far the query's rounding may put it off."""
+    bits = len(turned)
+    low, step = turned.min(), max(float(np.ptp(turned)) / ((1 << LEVELS) - 1), 1e-300)
+    whole = np.rint((turned - low) / step).astype(np.int64)
+    sums = np.zeros(len(code), np.int64)
+    for level in range(LEVELS):
+        plane = np.packbits((whole >> level & 1).astype(np.uint8)).view(np.uint64)
+        sums += np.bitwise_count(code & plane).sum(axis=1, dtype=np.int64) << level
+    ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
+    # Signs are +-1: <sign, q> = 2 <bit, q> - sum of q, and q = low + step * whole.
+    got = 2 * (low * ones + step * sums) - (low * bits + step * whole.sum())
+    return got / np.sqrt(bits), float(np.abs(turned - (low + step * whole)).sum() / np.sqrt(bits))
+
+
+def estimated(codes: DataFrame, queries: DataFrame, middle: np.ndarray, bits: int, k: int, seed: int, epsilon: float) -> DataFrame:
+    """(query_id, vec_id, low, high): candidates of each query in each block, with bounds of their products."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = rotation(middle.shape[1], bits, seed)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, v = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, dim)
-                signs = np.unpackbits(np.frombuffer(row["code"], np.uint8).reshape(len(ids), -1), axis=1, count=bits)
-                code = (signs.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(bits))
+                ids = np.frombuffer(row["ids"], np.int64)
+                code = np.frombuffer(row["code"], np.uint64).reshape(len(ids), -1)
                 length, fit = np.frombuffer(row["length"]), np.frombuffer(row["fit"])
                 slack = epsilon * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * length / np.sqrt(max(bits - 1, 1))
-                qid, q = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["query_vectors"]).reshape(-1, dim)
-                guess = ((q @ turn).astype(np.float32) @ code.T) * (length / fit)
-                error = np.sqrt((q * q).sum(axis=1))[:, None] * slack + 1e-5 * np.abs(guess)
                 out = []
-                for i in range(len(qid)):
-                    other = ids != qid[i]
-                    low = np.where(other, guess[i] - error[i], -np.inf)
+                for qid, q in zip(row["query_ids"], np.frombuffer(row["vectors"]).reshape(len(row["query_ids"]), -1), strict=True):
+                    got, off = products(code, q @ turn)
+                    guess = q @ middle[row["cell"]] + got * length / fit
+                    error = np.sqrt(q @ q) * slack + off * length / fit + 1e-9 * np.abs(guess)
+                    other = ids != qid
+                    low = np.where(other, guess - error, -np.inf)
                     floor = np.partition(low, -k)[-k] if len(ids) > k else -np.inf
-                    at = np.flatnonzero((guess[i] + error[i] >= floor) & other)
-                    exact = (v[at] * q[i]).sum(axis=1)
-                    best = np.lexsort((ids[at], -exact))[:k]
-                    out.append((np.full(len(best), qid[i]), ids[at[best]], exact[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                    at = np.flatnonzero((guess + error >= floor) & other)
+                    out.append((np.full(len(at), qid), ids[at], low[at], (guess + error)[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "low", "high"])
 
-    return codes.join(queries, "meet").repartition("block", "query_block").mapInArrow(compare, "query_id long, vec_id long, score double")
+    return codes.join(queries, "cell").repartition("cell", "block", "query_block").mapInArrow(compare, "query_id long, vec_id long, low double, high double")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, epsilon: float = 3.0, block: int = 8192) -> DataFrame:
+def gathered(queries: DataFrame) -> DataFrame:
+    """(cell, query_block, query_ids, vectors): the queries that visit a cell, in blocks."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, block = batch.column("cell").to_numpy(), batch.column("query_block").to_numpy()
+            v, ids = _matrix(batch.column("v")), batch.column("query_id").to_numpy()
+            starts = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]))) if len(ids) else []
+            for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
+                yield pa.RecordBatch.from_pydict({"cell": pa.array([cell[a]], pa.int32()), "query_block": pa.array([block[a]], pa.int32()), "query_ids": pa.array([ids[a:b]], pa.list_(pa.int64())), "vectors": [v[a:b].tobytes()]})
+
+    dealt = queries.repartition("cell", "query_block").sortWithinPartitions("cell", "query_block")
+    return dealt.mapInArrow(pack, "cell int, query_block int, query_ids array<long>, vectors binary")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, epsilon: float = 3.0, block: int = 8192, probes: int = PROBES, cell: int = CELL) -> DataFrame:
     """The k nearest of every row for which ``is_query`` holds, nearest first."""
     rows = saved(usable(vectors), "vectors")
-    if rows.isEmpty():
+    total = rows.count()
+    if not total:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total = rows.select(F.size("v")).first()[0], rows.count()
-    asked = rows.where(is_query)
-    n_blocks, n_query_blocks = max(12, total // block), max(1, asked.count() // 1024)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v, part, ids = _matrix(batch.column("v")), batch.column("query_block").to_numpy(), batch.column("vec_id").to_numpy()
-            for b in np.unique(part):
-                yield pa.RecordBatch.from_pydict({"query_block": pa.array([int(b)], pa.int32()), "query_ids": [ids[part == b].tobytes()], "query_vectors": [np.ascontiguousarray(v[part == b]).tobytes()]})
-
-    queries = asked.withColumn("query_block", salt([F.col("vec_id"), F.lit(1)], n_query_blocks)).repartition(n_query_blocks, "query_block")
-    queries = saved(queries.mapInArrow(gather, "query_block int, query_ids binary, query_vectors binary").withColumn("meet", F.col("query_block")), "queries")
-    bits = max(BITS, -(-dim // 8) * 8)
-    codes = encode(rows, dim, bits, seed, n_blocks).withColumn("meet", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    found = nearest(codes, queries, dim, bits, k, seed, epsilon)
+    n_cells = max(1, min(CELLS, total // cell))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
+    middle = centres(np.stack(sample.to_list()), n_cells, seed)
+    bits = max(BITS, -(-middle.shape[1] // 64) * 64)
+
+    # One row a cell, of which there are at most CELLS; a cell with many vectors or queries has several blocks.
+    placed = saved(assigned(rows, middle), "cells")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    codes = encode(placed.join(F.broadcast(sizes), "cell").withColumn("block", salt([F.col("vec_id")], F.col("parts"))), middle, bits, seed)
+    asked = saved(visits(rows.where(is_query).select("vec_id", "v"), middle, probes), "visits")
+    crowds = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / 512).alias("parts"))
+    queries = gathered(asked.join(F.broadcast(crowds), "cell").withColumn("query_block", salt([F.col("query_id")], F.col("parts"))))
+
+    found = saved(estimated(codes, queries, middle, bits, k, seed, epsilon), "candidates")
+    by_low = Window.partitionBy("query_id").orderBy(F.desc("low"))
+    floor = found.select("query_id", "low", F.row_number().over(by_low).alias("n")).where(F.col("n") == k).select("query_id", F.col("low").alias("floor"))
+    left = found.join(floor, "query_id", "left").where("floor is null or high >= floor").select("query_id", "vec_id")
+    one = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    products_ = F.zip_with("v", "q", lambda a, b: a * b)
+    exact = left.join(rows, "vec_id").join(one, "query_id").select("query_id", "vec_id", F.aggregate(products_, F.lit(0.0), lambda a, b: a + b).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
