@@ -128,16 +128,18 @@ def encode(vectors: DataFrame, middle: np.ndarray, bits: int, seed: int) -> Data
     return dealt.mapInArrow(pack, "cell int, block int, ids binary, code binary, length binary, fit binary")
 
 
-def products(code: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, float]:
-    """<c, q> of every code with a rotated query, from packed bits, and how far the query's rounding may put it off."""
+def products(words: np.ndarray, ones: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, float]:
+    """<c, q> of every code with a rotated query, from packed bits, and how far the query's rounding may put it off.
+
+    ``words`` has a row for each 64 bits of the codes; ``ones`` counts their set bits.
+    """
     bits = len(turned)
     low, step = turned.min(), max(float(np.ptp(turned)) / ((1 << LEVELS) - 1), 1e-300)
     whole = np.rint((turned - low) / step).astype(np.int64)
-    sums = np.zeros(len(code), np.int64)
+    sums = np.zeros(words.shape[1], np.int32)
     for level in range(LEVELS):
         plane = np.packbits((whole >> level & 1).astype(np.uint8)).view(np.uint64)
-        sums += np.bitwise_count(code & plane).sum(axis=1, dtype=np.int64) << level
-    ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
+        sums += np.bitwise_count(words & plane[:, None]).sum(axis=0, dtype=np.int32) << level
     # Signs are +-1: <sign, q> = 2 <bit, q> - sum of q, and q = low + step * whole.
     got = 2 * (low * ones + step * sums) - (low * bits + step * whole.sum())
     return got / np.sqrt(bits), float(np.abs(turned - (low + step * whole)).sum() / np.sqrt(bits))
@@ -151,12 +153,13 @@ def estimated(codes: DataFrame, queries: DataFrame, middle: np.ndarray, bits: in
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], np.int64)
-                code = np.frombuffer(row["code"], np.uint64).reshape(len(ids), -1)
+                words = np.ascontiguousarray(np.frombuffer(row["code"], np.uint64).reshape(len(ids), -1).T)
+                ones = np.bitwise_count(words).sum(axis=0, dtype=np.int32)
                 length, fit = np.frombuffer(row["length"]), np.frombuffer(row["fit"])
                 slack = epsilon * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * length / np.sqrt(max(bits - 1, 1))
                 out = []
                 for qid, q in zip(row["query_ids"], np.frombuffer(row["vectors"]).reshape(len(row["query_ids"]), -1), strict=True):
-                    got, off = products(code, q @ turn)
+                    got, off = products(words, ones, q @ turn)
                     guess = q @ middle[row["cell"]] + got * length / fit
                     error = np.sqrt(q @ q) * slack + off * length / fit + 1e-9 * np.abs(guess)
                     other = ids != qid

@@ -264,7 +264,7 @@ def test_neighbours_are_brute_force(spark, cell):
 def test_packed_products_are_products():
     rng = np.random.default_rng(1)
     signs, q = rng.random((50, 256)) < 0.5, rng.standard_normal(256)
-    got, off = neighbours.products(np.packbits(signs, axis=1).view(np.uint64), q)
+    got, off = neighbours.products(np.packbits(signs, axis=1).view(np.uint64).T, signs.sum(axis=1), q)
     want = (signs * 2 - 1) @ q / 16
     assert np.abs(got - want).max() <= off + 1e-9 and off < 0.5 * np.abs(want).max()
 
