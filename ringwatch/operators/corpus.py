@@ -115,6 +115,22 @@ def quoted(text: Column, excerpt: Column) -> Column:
     return (plain(excerpt) != "") & pad(text).contains(pad(excerpt))
 
 
+def quotations(documents: DataFrame, items: DataFrame, first: int = 8) -> DataFrame:
+    """(doc_id, item_id): documents that quote the whole text of an item, word by word.
+
+    Runs of as many words as an item begins with (``first``, or all it has) meet by their hashes; then the whole quotation is checked.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x09-\x0D\x20]+", " "))
+    quotes = items.select("item_id", plain(F.col("text")).alias("quote")).where("quote <> ''").withColumn("_w", F.split("quote", " "))
+    quotes = quotes.withColumn("size", F.least(F.size("_w"), F.lit(first))).withColumn("run", F.xxhash64("size", F.array_join(F.slice("_w", 1, first), " "))).drop("_w")
+    sizes = sorted(r["size"] for r in quotes.select("size").distinct().collect())  # at most `first` numbers
+    docs = documents.select("doc_id", plain(F.col("text")).alias("plain")).withColumn("_w", F.split("plain", " ")).withColumn("_n", F.size("_w"))
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.col("_n") - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice("_w", i, k), " ")))
+    found = docs.withColumn("run", F.explode(F.array_distinct(F.concat(*[runs(k) for k in sizes], F.array().cast("array<bigint>")))))
+    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return found.join(quotes, "run").where(pad("plain").contains(pad("quote"))).select("doc_id", "item_id")
+
+
 def resolve(citations: DataFrame, documents: DataFrame, clauses: DataFrame) -> DataFrame:
     """The first thing wrong with each (citation_id, content_digest, anchor_id, excerpt), or ``resolved``."""
     docs = documents.select("content_digest", F.lit(True).alias("_doc")).distinct()

@@ -72,10 +72,20 @@ def _values(own: DataFrame, inbound: DataFrame) -> DataFrame:
 
 
 def spread(channels: DataFrame, own: DataFrame, inbound: DataFrame, hints: DataFrame) -> DataFrame:
-    """Distinct other holders of any of the channel's values, as a share of the cap."""
+    """Distinct other holders of any of the channel's values, as a share of the cap.
+
+    Holders are counted once for each distinct set of values; a channel then subtracts itself and its owner, if they are among them.
+    """
     held = hints.select("signal_type", "signal_value", "subject_id").distinct()
-    peers = _values(own, inbound).join(held, ["signal_type", "signal_value"]).join(channels.select("channel_id", "account_id"), "channel_id")
-    peers = peers.where("subject_id <> channel_id and subject_id <> account_id").groupBy("channel_id").agg(F.count_distinct("subject_id").alias("peer_entities"))
+    values = _values(own, inbound)
+    sets = values.groupBy("channel_id").agg(F.sort_array(F.collect_list(F.struct("signal_type", "signal_value"))).alias("values"))
+    sets = sets.withColumn("set_id", F.sha2(F.to_json("values"), 256))
+    each = sets.groupBy("set_id").agg(F.first("values").alias("values")).select("set_id", F.explode("values").alias("v")).select("set_id", "v.*")
+    total = each.join(held, ["signal_type", "signal_value"]).groupBy("set_id").agg(F.count_distinct("subject_id").alias("all"))
+    selves = channels.select("channel_id", F.explode(F.array_distinct(F.array("channel_id", "account_id"))).alias("subject_id"))
+    mine = selves.join(held, "subject_id").join(values, ["channel_id", "signal_type", "signal_value"]).groupBy("channel_id").agg(F.count_distinct("subject_id").alias("mine"))
+    peers = sets.select("channel_id", "set_id").join(total, "set_id").join(channels.select("channel_id"), "channel_id").join(mine, "channel_id", "left")
+    peers = peers.select("channel_id", (F.col("all") - F.coalesce("mine", F.lit(0))).alias("peer_entities")).where("peer_entities > 0")
     return peers.withColumn("spread", F.least(F.lit(1.0), F.col("peer_entities") / SPREAD_CAP))
 
 
@@ -87,24 +97,40 @@ def recidivism(own: DataFrame, inbound: DataFrame, hints: DataFrame) -> DataFram
     return out.withColumn("recidivism", F.least(F.lit(1.0), F.greatest(F.lit(0), F.col("pattern_days") - 1) / RECIDIVISM_CAP))
 
 
-def flagged(channels: DataFrame, videos: DataFrame, comments: DataFrame, hints: DataFrame) -> DataFrame:
-    """Every channel with a signal of its own, coordinated commenters or templates, and its components."""
+def severe(channels: DataFrame, videos: DataFrame, comments: DataFrame, hints: DataFrame) -> DataFrame:
+    """Every channel with a signal of its own, coordinated commenters or templates, and its severity."""
     own, inbound = own_signals(channels, hints), inbound_signals(comments, videos, hints)
     kinds = lambda df, name: df.groupBy("channel_id").agg(F.array_sort(F.collect_set("signal_type")).alias(name))
     df = channels.select("channel_id", "account_id")
-    for part in (
-        kinds(own, "own_kinds"), kinds(inbound, "inbound_kinds"), undisclosed(videos), templated(comments, videos), velocity(comments, videos),
-        spread(channels, own, inbound, hints), recidivism(own, inbound, hints),
-    ):
+    for part in (kinds(own, "own_kinds"), kinds(inbound, "inbound_kinds"), undisclosed(videos), templated(comments, videos)):
         df = df.join(part, "channel_id", "left")
-    zero = {c: 0 for c in ("undisclosed_videos", "templated_comments", "comment_count", "burst_comments", "peer_entities", "pattern_days")}
-    df = df.fillna(zero | {c: 0.0 for c in ("velocity", "spread", "recidivism")})
     none = F.array().cast("array<string>")
-    df = df.withColumn("kinds", F.array_union(F.coalesce("own_kinds", none), F.coalesce("inbound_kinds", none)))
+    df = df.fillna({"undisclosed_videos": 0, "templated_comments": 0}).withColumn("kinds", F.array_union(F.coalesce("own_kinds", none), F.coalesce("inbound_kinds", none)))
     df = df.where((F.size("kinds") > 0) | (F.col("templated_comments") > 0))
     parts = [F.when(F.array_contains("kinds", k), F.lit(w)).otherwise(F.lit(0.0)) for k, w in SEVERITY.items()]
     parts += [F.when(F.col("undisclosed_videos") > 0, UNDISCLOSED).otherwise(0.0), F.when(F.col("templated_comments") > 0, TEMPLATED).otherwise(0.0)]
-    return df.withColumn("severity_class", F.greatest(*parts)).select("channel_id", "account_id", *WEIGHTS, *zero)
+    return df.select("channel_id", "account_id", F.greatest(*parts).alias("severity_class"), "undisclosed_videos", "templated_comments")
+
+
+def scored(df: DataFrame, channels: DataFrame, videos: DataFrame, comments: DataFrame, hints: DataFrame) -> DataFrame:
+    """The rows of ``severe`` with the other components, which are worked out for these channels, videos and comments."""
+    own, inbound = own_signals(channels, hints), inbound_signals(comments, videos, hints)
+    for part in (velocity(comments, videos), spread(channels, own, inbound, hints), recidivism(own, inbound, hints)):
+        df = df.join(part, "channel_id", "left")
+    zero = {c: 0 for c in ("undisclosed_videos", "templated_comments", "comment_count", "burst_comments", "peer_entities", "pattern_days")}
+    return df.fillna(zero | {c: 0.0 for c in ("velocity", "spread", "recidivism")}).select("channel_id", "account_id", *WEIGHTS, *zero)
+
+
+def flagged(channels: DataFrame, videos: DataFrame, comments: DataFrame, hints: DataFrame) -> DataFrame:
+    """Every flagged channel and its components."""
+    return scored(severe(channels, videos, comments, hints), channels, videos, comments, hints)
+
+
+def cases(channels: DataFrame, videos: DataFrame, comments: DataFrame, hints: DataFrame, limit: int = QUEUE) -> DataFrame:
+    """``queue`` of all flagged channels: the cut needs severity only, so the rest is worked out for the cases alone."""
+    top = severe(channels, videos, comments, hints).orderBy(F.desc("severity_class"), "channel_id").limit(limit)
+    few = F.broadcast(top.select("channel_id"))  # at most `limit` rows
+    return queue(scored(top, channels.join(few, "channel_id", "left_semi"), videos.join(few, "channel_id", "left_semi"), comments, hints), limit)
 
 
 def queue(found: DataFrame, limit: int = QUEUE) -> DataFrame:

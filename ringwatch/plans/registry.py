@@ -173,7 +173,7 @@ _QUEUE = _FLAGGED + """, cases AS (SELECT *, 'case-' || lpad((row_number() OVER
 
 
 def _cases(p):
-    return triage.queue(triage.flagged(p.channel, p.video, p.comment, p.infra_hint))
+    return triage.cases(p.channel, p.video, p.comment, p.infra_hint)
 
 
 @query(f"WITH {_FLAGGED} SELECT * FROM flagged")
@@ -717,18 +717,10 @@ def citation_resolution_codes(p):
     return corpus.resolve(cites, clause, clause)
 
 
-_EXCERPTS = f"excerpts AS (SELECT item_id, array_to_string(string_split({_PLAIN.format('text')}, ' ')[1:8], ' ') excerpt FROM benchmark WHERE item_id < 40)"
-
-
-@query(f"WITH {_EXCERPTS} SELECT item_id, count(*) documents FROM excerpts JOIN documents ON contains(' ' || {_PLAIN.format('text')} || ' ', ' ' || excerpt || ' ') GROUP BY 1")
+@query(f"""WITH quotes AS (SELECT item_id, {_PLAIN.format('text')} excerpt FROM benchmark) SELECT item_id, count(*) documents FROM quotes
+    JOIN documents ON excerpt <> '' AND contains(' ' || {_PLAIN.format('text')} || ' ', ' ' || excerpt || ' ') GROUP BY 1""")
 def citation_quotation_match(p):
-    """Which of forty policy excerpts the documents quote; the excerpts are a fixed small list."""
-    plain = F.trim(F.regexp_replace("text", r"[\x09-\x0D\x20]+", " "))
-    excerpts = p.raw("benchmark").where("item_id < 40").select("item_id", F.array_join(F.slice(F.split(plain, " "), 1, 8), " ").alias("excerpt"))
-    few = [(r["item_id"], r["excerpt"]) for r in excerpts.collect()]
-    hits = F.filter(F.array(*[F.struct(F.lit(i).cast("long").alias("item_id"), F.lit(e).alias("e")) for i, e in few]), lambda x: F.col("padded").contains(F.concat(F.lit(" "), x["e"], F.lit(" "))))
-    docs = p.raw("documents").select(F.concat(F.lit(" "), plain, F.lit(" ")).alias("padded"))
-    return docs.select(F.explode(hits).alias("x")).groupBy("x.item_id").agg(F.count(F.lit(1)).alias("documents"))
+    return corpus.quotations(p.raw("documents"), p.raw("benchmark")).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
 _CLAIMS = "claims AS (SELECT doc_id claim_id, CASE WHEN doc_id % 4 = 0 THEN 'no ids' ELSE 'see [ev' || (doc_id % 9) || '] and [ev' || (doc_id % 5) || '] and [x:' || (doc_id % 3) || ']' END txt FROM documents)"
