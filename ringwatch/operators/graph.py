@@ -91,7 +91,7 @@ def first_wins(new: DataFrame, old: DataFrame, key: str, order: str) -> DataFram
 
 def fold(pack: Pack, pivot: str, subject: str, rows: DataFrame, hop: int, param_hash: str) -> Pack:
     """The pack after a hop. ``rows`` are in the pivot's order and at most its limit."""
-    order = Window.orderBy(F.lit(1))  # at most 200 rows
+    order = Window.orderBy(*[F.col(c) for c in rows.columns])  # at most 200 rows; a pivot's rows are set by its limit, their order by their values
     numbered = rows.withColumn("_row", F.row_number().over(order))
     out = {}
     for name, key, structs in zip(("nodes", "edges", "events"), ("node_id", "edge_id", "event_id"), mapped(pivot, subject), strict=True):
@@ -140,11 +140,13 @@ def investigate(platform, subject: str, kind: str, budget: int, limit: int = 25,
 def frontier(platform, nodes: DataFrame, limit: int = 25) -> DataFrame:
     """One hop of infrastructure overlap from all entities at once: the best ``limit`` peers of each.
 
-    The set-based form of the loop: holders are counted for each value before values meet subjects.
+    The set-based form of the loop: holders are counted for each value before values meet subjects, and no subject needs more
+    than the first ``limit`` holders of a value besides itself.
     """
     hints = platform.infra_hint.groupBy("subject_id", "subject_kind", "signal_type", "signal_value").agg(F.count(F.lit(1)).alias("n"))
     own = hints.join(nodes.select(F.col("node_id").alias("subject_id")), "subject_id", "left_semi").select("signal_type", "signal_value", F.col("subject_id").alias("source_id"), F.col("n").alias("own"))
-    peers = own.join(hints, ["signal_type", "signal_value"]).where("subject_id <> source_id")
+    first = hints.withColumn("_n", F.dense_rank().over(Window.partitionBy("signal_type", "signal_value").orderBy("subject_id"))).where(F.col("_n") <= limit + 1).drop("_n")
+    peers = own.join(first, ["signal_type", "signal_value"]).where("subject_id <> source_id")
     order = Window.partitionBy("source_id").orderBy("signal_type", "subject_id", "signal_value")
     return peers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("source_id", F.col("subject_id").alias("peer_id"), "signal_type", "signal_value", (F.col("own") * F.col("n")).alias("hint_count"))
 

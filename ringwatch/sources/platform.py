@@ -62,15 +62,15 @@ _VIEWS = {
         SELECT concat('hint_ip_', c_custkey) hint_id, 'account' subject_kind, concat('acct_', c_custkey) subject_id,
                'shared_ip_bucket' signal_type, concat('nat_', c_nationkey) signal_value,
                {base} + (c_custkey % 30) * {day} observed_ms
-        FROM {customer} WHERE c_custkey % 15 = 4
+        FROM {customer}
         UNION ALL
         SELECT concat('hint_dev_', c_custkey), 'account', concat('acct_', c_custkey), 'shared_device',
                concat('dev_', c_custkey % 10), {base} + (c_custkey % 13) * {day}
-        FROM {customer} WHERE c_custkey % 25 IN (1, 2)
+        FROM {customer}
         UNION ALL
         SELECT concat('hint_up_', s_suppkey), 'channel', concat('chan_', s_suppkey), 'shared_upload_pattern',
                concat('up_', s_nationkey), {base} + (s_suppkey % 5) * {day}
-        FROM {supplier} WHERE s_suppkey % 5 = 0""",
+        FROM {supplier}""",
 }
 _SEALED = """
     SELECT 'video' entity_kind, concat('vid_', p_partkey) entity_id,
