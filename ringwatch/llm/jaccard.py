@@ -100,11 +100,6 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return flat[new], upto[place + per] - upto[place]
 
 
-def separate(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """The sets one by one."""
-    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-
-
 def set_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums, modulo 2**64, of the values of each set; 0 for an empty one."""
     out, some = np.zeros(len(sizes), _U), np.flatnonzero(sizes)
@@ -206,14 +201,13 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, scheme: Scheme, laden: bool)
 
 
 def describe(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
-    """doc_id, set size, 128-bit set hash, odd sketch, spare segments of the two schemes, and signatures."""
+    """doc_id, set size, 128-bit set hash, odd sketch and spare segments of the two schemes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in merged(batches, "text", 2 << 20):
             flat, sizes = shingle_sets(batch.column("text"), words)
-            keys, of, spares = signatures(flat, sizes, scheme, False)
+            _, _, spares = signatures(flat, sizes, scheme, False)
             one, two = (pa.array(set_sums(mixed(flat ^ _U(c)), sizes).view(np.int64), mask=sizes == 0) for _, c in _HASHES)
-            offsets = pa.array(np.searchsorted(of, np.arange(len(sizes) + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
@@ -223,12 +217,11 @@ def describe(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
                     odd_sketches(flat, sizes),
                     pa.array(spares[:, 0], pa.int32()),
                     pa.array(spares[:, 1], pa.int32()),
-                    pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
                 ],
-                names=["doc_id", "n_shingles", "h1", "h2", "sketch", "spare_even", "spare_odd", "sigs"],
+                names=["doc_id", "n_shingles", "h1", "h2", "sketch", "spare_even", "spare_odd"],
             )
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, spare_even int, spare_odd int, sigs array<long>")
+    return docs.mapInArrow(rows, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, spare_even int, spare_odd int")
 
 
 def _as_known(batch: pa.RecordBatch, words: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -239,31 +232,34 @@ def _as_known(batch: pa.RecordBatch, words: int) -> tuple[pa.Array, np.ndarray,
     return batch.column("doc_id").cast(pa.int64()).filter(pa.array(ok)), flat[np.repeat(ok, sizes)], sizes[ok]
 
 
-def again(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
-    """(doc_id, sigs) in the second index, for laden sets."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in merged(batches, "text", 1 << 20):
-            ids, flat, sizes = _as_known(batch, words)
-            keys, of, _ = signatures(flat, sizes, scheme, True)
-            offsets = pa.array(np.searchsorted(of, np.arange(len(sizes) + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))], names=["doc_id", "sigs"])
-
-    return docs.mapInArrow(emit, "doc_id long, sigs array<long>")
-
-
-def index(signed: DataFrame) -> DataFrame:
-    """(sig, doc_id, centre) of (doc_id, sigs), for signatures that at least two rows share.
+def index(docs: DataFrame, words: int, scheme: Scheme, laden: bool) -> DataFrame:
+    """(sig, h1, centre) of the distinct sets, named by the first half of their hash, for signatures that at least two share.
 
-    Spark sorts the signatures (and spills); a task then streams them and holds one batch.
+    Should two sets have the same name, both are proposed wherever it stands. Spark sorts the signatures (and spills); a task then streams
+    them, passes repeats of a set over and holds one batch.
     """
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in merged(batches, "text", 2 << 20):
+            _, flat, sizes = _as_known(batch, words) if laden else (None, *shingle_sets(batch.column("text"), words))
+            name = set_sums(mixed(flat), sizes)
+            new = np.zeros(len(sizes), bool)
+            new[np.unique(name, return_index=True)[1]] = True
+            flat, sizes, name = flat[np.repeat(new, sizes)], sizes[new], name[new]
+            keys, of, _ = signatures(flat, sizes, scheme, laden)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(name[of].view(np.int64))], names=["sig", "h1"])
+
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, centre, waits = None, 0, False  # the run that the batch before ended in; whether its only row is still to come
+        # The run that the batch before ended in, its first and last set, and whether its only row is still to come.
+        last, centre, end, waits = None, 0, 0, False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, doc = batch.column("sig").to_numpy(), batch.column("doc_id").to_numpy()
+            sig, doc = batch.column("sig").to_numpy(), batch.column("h1").to_numpy()
+            new = np.append(last is None or (sig[0], doc[0]) != (last, end), (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))
+            sig, doc = sig[new], doc[new]
+            if not len(sig):
+                continue
             starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             sizes = np.diff(np.append(starts, len(sig)))
             lead, multi = np.repeat(doc[starts], sizes), np.repeat(sizes > 1, sizes)
@@ -271,12 +267,12 @@ def index(signed: DataFrame) -> DataFrame:
             if goes_on:
                 lead[: sizes[0]], multi[: sizes[0]] = centre, True
                 if waits:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (last, centre, centre)], names=["sig", "doc_id", "centre"])
-            last, centre, waits = int(sig[-1]), int(lead[-1]), not multi[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[multi]) for x in (sig, doc, lead)], names=["sig", "doc_id", "centre"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (last, centre, centre)], names=["sig", "h1", "centre"])
+            last, centre, end, waits = int(sig[-1]), int(lead[-1]), int(doc[-1]), not multi[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[multi]) for x in (sig, doc, lead)], names=["sig", "h1", "centre"])
 
-    rows = signed.select("doc_id", F.explode("sigs").alias("sig")).select("sig", "doc_id")
-    return saved(rows.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(shared, "sig long, doc_id long, centre long"), "shared")
+    rows = docs.mapInArrow(emit, "sig long, h1 long")
+    return saved(rows.repartition("sig").sortWithinPartitions("sig", "h1").mapInArrow(shared, "sig long, h1 long, centre long"), "shared")
 
 
 def close(pairs: DataFrame, known: DataFrame, scheme: Scheme) -> DataFrame:
@@ -481,7 +477,7 @@ def proposals(rows: DataFrame, rep: DataFrame, scheme: Scheme) -> DataFrame:
 
 def mixed_buckets(shared: DataFrame, label: DataFrame) -> DataFrame:
     """Rows of the signatures whose documents lie in several components, one row a component's document."""
-    named = shared.select("sig", "doc_id").join(label, "doc_id")
+    named = shared.select("sig", "h1").join(label, "h1")
     sizes = named.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.approx_count_distinct("component").alias("parts"))
     return saved(named.join(sizes.where("least <> most"), "sig").select("sig", "doc_id", "component", "parts"), "mixed")
 
@@ -495,17 +491,19 @@ def _matched(docs: DataFrame, words: int, scheme: Scheme) -> tuple[DataFrame, ..
     facts = saved(classes(one, ["h1", "h2"], "doc_id"), "known")
     # One row for each class; equal rows of its smallest document have equal sketches and signatures.
     least = facts.where("doc_id = class_id and n_shingles > 0").select("doc_id", "h1", "h2")
-    rep = sets.join(least, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
+    rep = sets.join(least, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "n_shingles", "h1", "sketch").dropDuplicates(["doc_id"])
     rep = saved(rep, "classes")
 
     # Round one: each class against the centre of its bucket.
-    shared = index(sets.join(least, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "sigs"))
-    star = shared.where("centre <> doc_id").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    shared = index(docs, words, scheme, False)
+    named = lambda c: rep.select("h1", F.col("doc_id").alias(c))
+    star = shared.where("centre <> h1").select("centre", "h1").distinct()
+    star = star.join(named("b"), "h1").drop("h1").withColumnRenamed("centre", "h1").join(named("a"), "h1").select("a", "b")
     found, elements = verify(close(star, rep, scheme), docs, least, words, scheme)
     parts = components(found)
 
     # Round two: what still lies in different components of a bucket.
-    label = rep.select("doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    label = rep.select("doc_id", "h1").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "h1", F.coalesce("component", "doc_id").alias("component"))
     open_ = mixed_buckets(shared, label)
     crowded = open_.where(F.col("parts") > CROWD)
     odd = F.col("sig").bitwiseAND(1) == 1
@@ -513,7 +511,7 @@ def _matched(docs: DataFrame, words: int, scheme: Scheme) -> tuple[DataFrame, ..
     laden = saved(lost.join(facts, "doc_id").where("odd > spare_odd or even > spare_even").select("doc_id", "h1", "h2"), "laden")
     rows = open_.where(F.col("parts") <= CROWD).select("sig", "doc_id", "component")
     if not laden.isEmpty():
-        rows = rows.unionByName(mixed_buckets(index(again(docs.join(laden, "doc_id"), words, scheme)), label).select("sig", "doc_id", "component"))
+        rows = rows.unionByName(mixed_buckets(index(docs.join(laden, "doc_id"), words, scheme, True), label).select("sig", "doc_id", "component"))
     more, others = verify(proposals(rows.distinct(), rep, scheme), docs, least, words, scheme)
     if not more.isEmpty():
         found = found.unionByName(more)
