@@ -22,10 +22,13 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each group linked by 0.8 of their 5-word shingles, in order of doc_id (null last).
 
-    Each row has a key of its own, so rows with one doc_id or a null one are compared as any others.
-    Rows without words are no copies of others, save repeats of one doc_id.
+    Each row has a key of its own (its doc_id, where none is null or repeated), so rows with one doc_id or a null one are compared as any others.
+    Rows without words are no copies of others, save repeats of one doc_id. No rows give no rows; of rows alike in all columns one stays.
     """
-    keyed = saved(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        keyed = docs.withColumn("_key", F.col("doc_id"))
+    else:
+        keyed = saved(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
     groups = jaccard.groups(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
     empty = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
     row = groups.select(F.col("doc_id").alias("_key"), "component_id", "n_shingles").join(keyed.select("_key", "doc_id", F.xxhash64(*docs.columns).alias("_hash"), F.xxhash64("text").alias("_text")), "_key")
