@@ -10,7 +10,7 @@ Training uses at most ``LABELLED`` labelled and ``POOL`` unlabelled documents, t
 their ids: a bounded sample, and the only rows that reach the driver. Scoring covers all documents.
 
 Nulls: a null text is empty, a null language or source is a value of its own; labels whose quality is
-null are unused. Repeated rows are scored alike. An empty table gives no rows. Without labels of both
+null are unused. Repeated rows are scored alike, and so are ties. A very long text is scored whole. An empty table gives no rows. Without labels of both
 kinds every document scores the prior (1.0 without any label) and is accepted. Extra columns are ignored.
 """
 
@@ -71,7 +71,10 @@ class Logistic:
     """Ridge logistic regression on standardized features, by Newton steps."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3.0):
-        self.mean, self.scale = x.mean(axis=0, dtype=float), np.maximum(x.std(axis=0, dtype=float), 1e-3)
+        parts = range(0, len(x), 2048)
+        self.mean = sum(x[a : a + 2048].sum(axis=0, dtype=float) for a in parts) / max(1, len(x))
+        square = sum(((x[a : a + 2048] - self.mean) ** 2).sum(axis=0) for a in parts) / max(1, len(x))
+        self.scale = np.maximum(np.sqrt(square), 1e-3)
         width = x.shape[1] + 1
         self.w = np.zeros(width)
         penalty = np.full(width, ridge)
@@ -163,15 +166,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Views | None:
     chosen = marked.where("quality is not null").orderBy(*order).limit(LABELLED).unionByName(marked.where("quality is null").orderBy(*order).limit(POOL))
     # At most LABELLED + POOL ids.
     sample = _plain(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(extract, "doc_id long, quality int, a binary, b binary")
-    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
-    known, pool = [r for r in rows if r["quality"] is not None], [r for r in rows if r["quality"] is None]
-    y = np.array([int(r["quality"] >= 1) for r in known])
+    # Arrow batches, not rows of objects, reach the driver.
+    got = sample.toArrow().sort_by("doc_id")
+    ids, quality = got["doc_id"].to_numpy(), got["quality"].to_numpy(zero_copy_only=False).astype(float)
+    labelled = ~np.isnan(quality)
+    y = (quality[labelled] >= 1).astype(int)
     if len(set(y.tolist())) < 2:
         return None
-    stack = lambda part, k, width: np.frombuffer(b"".join(r[k] for r in part), "<f4").reshape(len(part), -1) if part else np.zeros((0, width), "<f4")
-    a, b = stack(known, "a", 0), stack(known, "b", 0)
-    held = np.array([zlib.crc32(b"held%d" % r["doc_id"]) % 4 == 0 for r in known])
-    return Views(a, b, y, held, stack(pool, "a", a.shape[1]), stack(pool, "b", b.shape[1]))
+    width = {c: len(got[c][0].as_py()) // 4 for c in ("a", "b")}
+    full = {c: np.empty((len(ids), width[c]), np.float32) for c in width}
+    for c, x in full.items():
+        at = 0
+        for chunk in got[c].chunks:
+            for v in chunk:
+                x[at] = np.frombuffer(v.as_buffer(), "<f4")
+                at += 1
+    del got, sample
+    a, b, pool_a, pool_b = full["a"][labelled], full["b"][labelled], full["a"][~labelled], full["b"][~labelled]
+    del full
+    held = np.array([zlib.crc32(b"held%d" % d) % 4 == 0 for d in ids[labelled].tolist()])
+    return Views(a, b, y, held, pool_a, pool_b)
 
 
 def _judge(docs: DataFrame, labels: DataFrame):
