@@ -61,13 +61,14 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Arr
     space = SPACE[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
-    start = ~space
+    start, end = ~space, ~space
     start[1:] &= space[:-1] | edge[1:-1]
+    end[:-1] &= space[1:] | edge[1:-1]
     at = np.flatnonzero(start)
-    solid = np.flatnonzero(~space)
-    first = np.searchsorted(solid, at)
-    lengths = np.diff(np.append(first, len(solid)))
-    encoded = strings(LOWER[raw[solid]] if lower else raw[solid], lengths).dictionary_encode()
+    lengths = np.flatnonzero(end) - at + 1
+    del start, end, edge
+    solid = raw[~space]
+    encoded = strings(LOWER[solid] if lower else solid, lengths).dictionary_encode()
     return encoded.indices.to_numpy(), encoded.dictionary, np.diff(np.searchsorted(at, offsets))
 
 
