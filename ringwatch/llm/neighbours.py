@@ -9,9 +9,11 @@ residual and ``c`` its code's unit vector, the inner product with a query ``q``
 exponentially in epsilon squared. Both scalars are kept with the code. The rotated query is rounded to ``LEVELS`` bits a
 coordinate, so that ``<c, q>`` is counted from packed bits alone (one population count for each bit of a coordinate); the rounding widens the bound.
 
-Cells are stored in blocks of at most about ``block`` codes, and their queries in blocks too; a block of codes meets a block of queries in one task.
-A query's candidates are those whose upper bound reaches its k-th best lower bound, in a block and then over all blocks.
-Only for those are the vectors fetched, by joins on the id, for the exact product in double precision.
+Cells are stored in blocks of at most about ``block`` codes (fewer for long vectors, ``BLOCK_BYTES``) with their vectors beside them, and their
+queries in blocks too; a block of codes meets a block of queries in one row, dealt by cell and both blocks, so a cell that holds a third of all rows is
+many rows. There a query's candidates are those whose upper bound reaches its k-th best lower bound; only for those is the exact product
+taken, in double precision and in the order of the components. A block gives at most k rows a query, which lose none of its k nearest;
+the nearest over all blocks follow.
 
 Nulls: vectors that are null, empty, zero, of another length than most, or that hold a null or non-finite
 component take no part, as do null ids. Repeated rows with one id count once, with the least of their vectors. Ties go to the smaller id. With
@@ -28,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ringwatch.llm.common import salt, saved
+from ringwatch.llm.common import salt, saved, small_batches
 
 BITS, LEVELS = 256, 6
 #: Vectors that centres are learnt from, vectors a cell has on average, cells at most, cells a query visits.
 SAMPLE, CELL, CELLS, PROBES = 20_000, 2048, 16_384, 24
+#: Vectors and queries of a block take about this much, in double precision.
+BLOCK_BYTES = 4 << 20
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -95,7 +99,10 @@ def visits(asked: DataFrame, middle: np.ndarray, probes: int) -> DataFrame:
 
 
 def encode(vectors: DataFrame, middle: np.ndarray, bits: int, seed: int) -> DataFrame:
-    """(cell, block, ids, code, length, fit): blocks of codes, with the length of each residual and its <c, o>."""
+    """(cell, block, ids, code, length, fit, vectors): blocks of codes, with the length of each residual, its <c, o> and the vectors.
+
+    Vectors that single precision holds exactly are kept in it.
+    """
     dim = middle.shape[1]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +110,10 @@ def encode(vectors: DataFrame, middle: np.ndarray, bits: int, seed: int) -> Data
         held: dict[tuple[int, int], list] = {}
 
         def done(key: tuple[int, int]) -> pa.RecordBatch:
-            columns = [np.concatenate(x).tobytes() for x in zip(*held.pop(key), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()) for k in key] + [pa.array([c], pa.binary()) for c in columns], names=["cell", "block", "ids", "code", "length", "fit"])
+            *columns, v = [np.concatenate(x) for x in zip(*held.pop(key), strict=True)]
+            short = v.astype(np.float32)
+            columns = [c.tobytes() for c in (*columns, short if (short == v).all() else v)]
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()) for k in key] + [pa.array([c], pa.binary()) for c in columns], names=["cell", "block", "ids", "code", "length", "fit", "vectors"])
 
         last = None
         for batch in batches:  # sorted by cell and block
@@ -119,13 +128,13 @@ def encode(vectors: DataFrame, middle: np.ndarray, bits: int, seed: int) -> Data
                 key = (int(cell[a]), int(block[a]))
                 if last not in (None, key):
                     yield done(last)
-                held.setdefault(key, []).append((ids[a:b], code[a:b], length[a:b], fit[a:b]))
+                held.setdefault(key, []).append((ids[a:b], code[a:b], length[a:b], fit[a:b], v[a:b]))
                 last = key
         if last is not None:
             yield done(last)
 
     dealt = vectors.repartition("cell", "block").sortWithinPartitions("cell", "block")
-    return dealt.mapInArrow(pack, "cell int, block int, ids binary, code binary, length binary, fit binary")
+    return dealt.mapInArrow(pack, "cell int, block int, ids binary, code binary, length binary, fit binary, vectors binary")
 
 
 def products(words: np.ndarray, ones: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, float]:
@@ -145,35 +154,46 @@ def products(words: np.ndarray, ones: np.ndarray, turned: np.ndarray) -> tuple[n
     return got / np.sqrt(bits), float(np.abs(turned - (low + step * whole)).sum() / np.sqrt(bits))
 
 
-def estimated(codes: DataFrame, queries: DataFrame, middle: np.ndarray, bits: int, k: int, seed: int, epsilon: float) -> DataFrame:
-    """(query_id, vec_id, low, high): candidates of each query in each block, with bounds of their products."""
+def nearest(ids: np.ndarray, v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k of ``ids`` with the largest exact products, and those. Components are added in their order, so equal vectors tie."""
+    score = np.add.accumulate(v * q, axis=1)[:, -1]
+    best = np.lexsort((ids, -score))[:k]
+    return ids[best], score[best]
+
+
+def compared(pairs: DataFrame, middle: np.ndarray, bits: int, k: int, seed: int, epsilon: float) -> DataFrame:
+    """(query_id, vec_id, score): at most k rows of each query in each block, chosen by bounds and then by exact products."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(middle.shape[1], bits, seed)
+        turn, dim = rotation(middle.shape[1], bits, seed), middle.shape[1]
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                words = np.ascontiguousarray(np.frombuffer(row["code"], np.uint64).reshape(len(ids), -1).T)
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                ids, length, fit = (np.frombuffer(row[c].as_buffer(), t) for c, t in (("ids", np.int64), ("length", float), ("fit", float)))
+                n = len(ids)
+                words = np.ascontiguousarray(np.frombuffer(row["code"].as_buffer(), np.uint64).reshape(n, -1).T)
+                v = row["vectors"].as_buffer()
+                v = np.frombuffer(v, np.float32 if len(v) == 4 * n * dim else float).reshape(n, dim)
                 ones = np.bitwise_count(words).sum(axis=0, dtype=np.int32)
-                length, fit = np.frombuffer(row["length"]), np.frombuffer(row["fit"])
                 slack = epsilon * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * length / np.sqrt(max(bits - 1, 1))
-                out = []
-                for qid, q in zip(row["query_ids"], np.frombuffer(row["vectors"]).reshape(len(row["query_ids"]), -1), strict=True):
+                out, cell = [], row["cell"].as_py()
+                for qid, q in zip(row["query_ids"].as_py(), np.frombuffer(row["asked"].as_buffer()).reshape(-1, dim), strict=True):
                     got, off = products(words, ones, q @ turn)
-                    guess = q @ middle[row["cell"]] + got * length / fit
+                    guess = q @ middle[cell] + got * length / fit
                     error = np.sqrt(q @ q) * slack + off * length / fit + 1e-9 * np.abs(guess)
                     other = ids != qid
                     low = np.where(other, guess - error, -np.inf)
-                    floor = np.partition(low, -k)[-k] if len(ids) > k else -np.inf
+                    floor = np.partition(low, -k)[-k] if n > k else -np.inf
                     at = np.flatnonzero((guess + error >= floor) & other)
-                    out.append((np.full(len(at), qid), ids[at], low[at], (guess + error)[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "low", "high"])
+                    best, score = nearest(ids[at], v[at].astype(float), q, k)
+                    out.append((np.full(len(best), qid), best, score))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
-    return codes.join(queries, "cell").repartition("cell", "block", "query_block").mapInArrow(compare, "query_id long, vec_id long, low double, high double")
+    return pairs.mapInArrow(compare, "query_id long, vec_id long, score double")
 
 
 def gathered(queries: DataFrame) -> DataFrame:
-    """(cell, query_block, query_ids, vectors): the queries that visit a cell, in blocks."""
+    """(cell, query_block, query_ids, asked): the queries that visit a cell, in blocks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,14 +201,15 @@ def gathered(queries: DataFrame) -> DataFrame:
             v, ids = _matrix(batch.column("v")), batch.column("query_id").to_numpy()
             starts = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]))) if len(ids) else []
             for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
-                yield pa.RecordBatch.from_pydict({"cell": pa.array([cell[a]], pa.int32()), "query_block": pa.array([block[a]], pa.int32()), "query_ids": pa.array([ids[a:b]], pa.list_(pa.int64())), "vectors": [v[a:b].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"cell": pa.array([cell[a]], pa.int32()), "query_block": pa.array([block[a]], pa.int32()), "query_ids": pa.array([ids[a:b]], pa.list_(pa.int64())), "asked": [v[a:b].tobytes()]})
 
     dealt = queries.repartition("cell", "query_block").sortWithinPartitions("cell", "query_block")
-    return dealt.mapInArrow(pack, "cell int, query_block int, query_ids array<long>, vectors binary")
+    return dealt.mapInArrow(pack, "cell int, query_block int, query_ids array<long>, asked binary")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, epsilon: float = 3.0, block: int = 8192, probes: int = PROBES, cell: int = CELL) -> DataFrame:
     """The k nearest of every row for which ``is_query`` holds, nearest first."""
+    small_batches(vectors.sparkSession)
     rows = saved(usable(vectors), "vectors")
     total = rows.count()
     if not total:
@@ -198,20 +219,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, eps
     middle = centres(np.stack(sample.to_list()), n_cells, seed)
     bits = max(BITS, -(-middle.shape[1] // 64) * 64)
 
+    block = max(k + 1, min(block, BLOCK_BYTES // (8 * middle.shape[1])))
+
     # One row a cell, of which there are at most CELLS; a cell with many vectors or queries has several blocks.
     placed = saved(assigned(rows, middle), "cells")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    codes = encode(placed.join(F.broadcast(sizes), "cell").withColumn("block", salt([F.col("vec_id")], F.col("parts"))), middle, bits, seed)
     asked = saved(visits(rows.where(is_query).select("vec_id", "v"), middle, probes), "visits")
-    crowds = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / 512).alias("parts"))
-    queries = gathered(asked.join(F.broadcast(crowds), "cell").withColumn("query_block", salt([F.col("query_id")], F.col("parts"))))
-
-    found = saved(estimated(codes, queries, middle, bits, k, seed, epsilon), "candidates")
-    by_low = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    floor = found.select("query_id", "low", F.row_number().over(by_low).alias("n")).where(F.col("n") == k).select("query_id", F.col("low").alias("floor"))
-    left = found.join(floor, "query_id", "left").where("floor is null or high >= floor").select("query_id", "vec_id")
-    one = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    products_ = F.zip_with("v", "q", lambda a, b: a * b)
-    exact = left.join(rows, "vec_id").join(one, "query_id").select("query_id", "vec_id", F.aggregate(products_, F.lit(0.0), lambda a, b: a + b).alias("score"))
+    sizes, crowds = (F.broadcast(x.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))) for x, name in ((placed, "parts"), (asked, "query_parts")))
+    codes = encode(placed.join(sizes, "cell").withColumn("block", salt([F.col("vec_id")], F.col("parts"))), middle, bits, seed)
+    queries = gathered(asked.join(crowds, "cell").withColumn("query_block", salt([F.col("query_id")], F.col("query_parts"))))
+    # Both sides are dealt by the pair of blocks, not by the cell.
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts).cast("int") - 1))
+    codes = codes.join(crowds, "cell").withColumn("query_block", every("query_parts")).drop("query_parts")
+    queries = queries.join(sizes, "cell").withColumn("block", every("parts")).drop("parts")
+    pairs = codes.join(queries.hint("shuffle_merge"), ["cell", "block", "query_block"])
+
+    found = compared(pairs, middle, bits, k, seed, epsilon)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
