@@ -12,8 +12,9 @@ coordinate, so that ``<c, q>`` is counted from packed bits alone (one population
 Cells are stored in blocks of at most about ``block`` codes (fewer for long vectors, ``BLOCK_BYTES``) with their vectors beside them, and their
 queries in blocks too; a block of codes meets a block of queries in one row, dealt by cell and both blocks, so a cell that holds a third of all rows is
 many rows. There a query's candidates are those whose upper bound reaches its k-th best lower bound; only for those is the exact product
-taken, in double precision and in the order of the components. A block gives at most k rows a query, which lose none of its k nearest;
-the nearest over all blocks follow.
+taken, in double precision and in the order of the components. A block gives at most k rows a query, which lose none of its k nearest.
+A query meets its first cell before the others; its k-th best product there is a floor that candidates in other cells must reach, too.
+The nearest over all blocks follow.
 
 Nulls: vectors that are null, empty, zero, of another length than most, or that hold a null or non-finite
 component take no part, as do null ids. Repeated rows with one id count once, with the least of their vectors. Ties go to the smaller id. With
@@ -85,17 +86,18 @@ def assigned(rows: DataFrame, middle: np.ndarray) -> DataFrame:
     return rows.mapInArrow(cell, "vec_id long, v array<double>, cell int")
 
 
-def visits(asked: DataFrame, middle: np.ndarray, probes: int) -> DataFrame:
-    """(cell, query_id, v): the cells each query visits."""
+def visits(asked: DataFrame, middle: np.ndarray, first: int, last: int) -> DataFrame:
+    """(cell, query_id, v, floor): the cells each query visits, from place ``first`` on to before ``last``."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = np.argsort(-(_matrix(batch.column("v")) @ middle.T), axis=1, kind="stable")[:, :probes]
+                near = np.argsort(-(_matrix(batch.column("v")) @ middle.T), axis=1, kind="stable")[:, first:last]
                 row = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column("vec_id").take(row), batch.column("v").take(row)], names=["cell", "query_id", "v"])
+                columns = [batch.column(c).take(row) for c in ("vec_id", "v", "floor")]
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), *columns], names=["cell", "query_id", "v", "floor"])
 
-    return asked.mapInArrow(cells, "cell int, query_id long, v array<double>")
+    return asked.select("vec_id", "v", "floor").mapInArrow(cells, "cell int, query_id long, v array<double>, floor double")
 
 
 def encode(vectors: DataFrame, middle: np.ndarray, bits: int, seed: int) -> DataFrame:
@@ -177,15 +179,16 @@ def compared(pairs: DataFrame, middle: np.ndarray, bits: int, k: int, seed: int,
                 ones = np.bitwise_count(words).sum(axis=0, dtype=np.int32)
                 slack = epsilon * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * length / np.sqrt(max(bits - 1, 1))
                 out, cell = [], row["cell"].as_py()
-                for qid, q in zip(row["query_ids"].as_py(), np.frombuffer(row["asked"].as_buffer()).reshape(-1, dim), strict=True):
+                for qid, q, least in zip(row["query_ids"].as_py(), np.frombuffer(row["asked"].as_buffer()).reshape(-1, dim), row["floors"].as_py(), strict=True):
                     got, off = products(words, ones, q @ turn)
                     guess = q @ middle[cell] + got * length / fit
                     error = np.sqrt(q @ q) * slack + off * length / fit + 1e-9 * np.abs(guess)
                     other = ids != qid
                     low = np.where(other, guess - error, -np.inf)
-                    floor = np.partition(low, -k)[-k] if n > k else -np.inf
+                    floor = max(least, np.partition(low, -k)[-k]) if n > k else least
                     at = np.flatnonzero((guess + error >= floor) & other)
                     best, score = nearest(ids[at], v[at].astype(float), q, k)
+                    best, score = best[score >= least], score[score >= least]
                     out.append((np.full(len(best), qid), best, score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
@@ -193,18 +196,18 @@ def compared(pairs: DataFrame, middle: np.ndarray, bits: int, k: int, seed: int,
 
 
 def gathered(queries: DataFrame) -> DataFrame:
-    """(cell, query_block, query_ids, asked): the queries that visit a cell, in blocks."""
+    """(cell, query_block, query_ids, asked, floors): the queries that visit a cell, in blocks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, block = batch.column("cell").to_numpy(), batch.column("query_block").to_numpy()
-            v, ids = _matrix(batch.column("v")), batch.column("query_id").to_numpy()
+            v, ids, floors = _matrix(batch.column("v")), batch.column("query_id").to_numpy(), batch.column("floor").to_numpy()
             starts = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]))) if len(ids) else []
             for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
-                yield pa.RecordBatch.from_pydict({"cell": pa.array([cell[a]], pa.int32()), "query_block": pa.array([block[a]], pa.int32()), "query_ids": pa.array([ids[a:b]], pa.list_(pa.int64())), "asked": [v[a:b].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"cell": pa.array([cell[a]], pa.int32()), "query_block": pa.array([block[a]], pa.int32()), "query_ids": pa.array([ids[a:b]], pa.list_(pa.int64())), "asked": [v[a:b].tobytes()], "floors": pa.array([floors[a:b]], pa.list_(pa.float64()))})
 
     dealt = queries.repartition("cell", "query_block").sortWithinPartitions("cell", "query_block")
-    return dealt.mapInArrow(pack, "cell int, query_block int, query_ids array<long>, asked binary")
+    return dealt.mapInArrow(pack, "cell int, query_block int, query_ids array<long>, asked binary, floors array<double>")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, epsilon: float = 3.0, block: int = 8192, probes: int = PROBES, cell: int = CELL) -> DataFrame:
@@ -222,17 +225,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, eps
     block = max(k + 1, min(block, BLOCK_BYTES // (8 * middle.shape[1])))
 
     # One row a cell, of which there are at most CELLS; a cell with many vectors or queries has several blocks.
+    parts = lambda df, name: F.broadcast(df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name)))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     placed = saved(assigned(rows, middle), "cells")
-    asked = saved(visits(rows.where(is_query).select("vec_id", "v"), middle, probes), "visits")
-    sizes, crowds = (F.broadcast(x.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))) for x, name in ((placed, "parts"), (asked, "query_parts")))
-    codes = encode(placed.join(sizes, "cell").withColumn("block", salt([F.col("vec_id")], F.col("parts"))), middle, bits, seed)
-    queries = gathered(asked.join(crowds, "cell").withColumn("query_block", salt([F.col("query_id")], F.col("query_parts"))))
-    # Both sides are dealt by the pair of blocks, not by the cell.
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts).cast("int") - 1))
-    codes = codes.join(crowds, "cell").withColumn("query_block", every("query_parts")).drop("query_parts")
-    queries = queries.join(sizes, "cell").withColumn("block", every("parts")).drop("parts")
-    pairs = codes.join(queries.hint("shuffle_merge"), ["cell", "block", "query_block"])
-
-    found = compared(pairs, middle, bits, k, seed, epsilon)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    sizes = parts(placed, "parts")
+    codes = saved(encode(placed.join(sizes, "cell").withColumn("block", salt([F.col("vec_id")], F.col("parts"))), middle, bits, seed), "codes")
+
+    def met(asked: DataFrame, first: int, last: int) -> DataFrame:
+        """What queries find in their cells. Both sides are dealt by the pair of blocks, not by the cell."""
+        going = saved(visits(asked, middle, first, last), "visits")
+        crowds = parts(going, "query_parts")
+        queries = gathered(going.join(crowds, "cell").withColumn("query_block", salt([F.col("query_id")], F.col("query_parts"))))
+        queries = queries.join(sizes, "cell").withColumn("block", every("parts")).drop("parts")
+        pairs = codes.join(crowds, "cell").withColumn("query_block", every("query_parts")).drop("query_parts")
+        return compared(pairs.join(queries.hint("shuffle_merge"), ["cell", "block", "query_block"]), middle, bits, k, seed, epsilon)
+
+    def top(found: DataFrame) -> DataFrame:
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asked = rows.where(is_query).select("vec_id", "v")
+    near = saved(top(met(asked.withColumn("floor", F.lit(float("-inf"))), 0, 1)), "nearest")
+    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    asked = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    return top(near.drop("rank").unionByName(met(asked, 1, probes)))
