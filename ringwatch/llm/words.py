@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are no part of a word of letters and digits: all of ASCII but 0-9, A-Z and a-z.
+MARK = np.ones(256, bool)
+MARK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 #: Lower-cases A-Z only.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -53,12 +56,12 @@ def strings(raw: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Words (lower-cased): index of each into the distinct words, those, words per text."""
+def split_words(texts: pa.Array, lower: bool = True, between: np.ndarray = SPACE) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words (lower-cased): index of each into the distinct words, those, words per text. ``between`` marks the bytes between words."""
     raw, offsets = utf8(texts)
     if not len(raw):
         return np.zeros(0, np.int32), pa.array([], pa.large_binary()), np.zeros(len(texts), np.int64)
-    space = SPACE[raw]
+    space = between[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     start, end = ~space, ~space
