@@ -60,20 +60,16 @@ def counted(docs: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda n, x: n + x), F.lit(0).cast("long"))).drop("_p")
 
 
-def _vote(against: Column, favour: Column) -> Column:
-    return F.when(against, -1).when(favour, 1).otherwise(0)
-
-
-#: Rules by name: each reads the counts of one text.
+#: Rules by name: what makes each vote against and for a text, in terms of its counts.
 RULES = {
-    "long_enough": _vote(F.col("n_words") < 20, F.col("n_words") >= 100),
-    "few_symbols": _vote(100 * F.col("n_symbols") > 10 * F.col("n_words"), 100 * F.col("n_symbols") <= F.col("n_words")),
-    "few_repeats": _vote(100 * F.col("n_repeat_words") > 20 * F.col("n_words"), (F.col("n_repeat_words") == 0) & (F.col("n_words") >= 20)),
-    "lines_differ": _vote(100 * F.col("n_dup_lines") > 20 * F.col("n_lines"), (F.col("n_dup_lines") == 0) & (F.col("n_lines") >= 3)),
-    "few_capitals": _vote(100 * F.col("n_capitals") > 30 * F.col("word_chars"), 100 * F.col("n_capitals") <= 10 * F.col("word_chars")),
-    "few_cries": _vote(100 * F.col("n_cries") > 20 * F.col("n_words"), 100 * F.col("n_cries") <= 2 * F.col("n_words")),
-    "pairs_differ": _vote(100 * F.col("n_pairs") < 40 * (F.col("n_words") - 1), (100 * F.col("n_pairs") >= 70 * (F.col("n_words") - 1)) & (F.col("n_words") >= 20)),
-    "word_length": _vote((F.col("word_chars") > 12 * F.col("n_words")) | (F.col("word_chars") < 3 * F.col("n_words")), (F.col("word_chars") <= 9 * F.col("n_words")) & (F.col("word_chars") >= 4 * F.col("n_words"))),
+    "long_enough": ("n_words < 20", "n_words >= 100"),
+    "few_symbols": ("100 * n_symbols > 10 * n_words", "100 * n_symbols <= n_words"),
+    "few_repeats": ("100 * n_repeat_words > 20 * n_words", "n_repeat_words = 0 AND n_words >= 20"),
+    "lines_differ": ("100 * n_dup_lines > 20 * n_lines", "n_dup_lines = 0 AND n_lines >= 3"),
+    "few_capitals": ("100 * n_capitals > 30 * word_chars", "100 * n_capitals <= 10 * word_chars"),
+    "few_cries": ("100 * n_cries > 20 * n_words", "100 * n_cries <= 2 * n_words"),
+    "pairs_differ": ("100 * n_pairs < 40 * (n_words - 1)", "100 * n_pairs >= 70 * (n_words - 1) AND n_words >= 20"),
+    "word_length": ("word_chars > 12 * n_words OR word_chars < 3 * n_words", "word_chars BETWEEN 4 * n_words AND 9 * n_words"),
 }
 _VOTES = [f"v_{r}" for r in RULES]
 
@@ -110,7 +106,8 @@ def fitted(votes: DataFrame, rounds: int = ROUNDS) -> Model:
 
 def judged(docs: DataFrame) -> DataFrame:
     """Every document's counts, votes, posterior ``quality``, base_failed and kept."""
-    votes = saved(counted(docs).withColumns({f"v_{r}": rule.cast("int") for r, rule in RULES.items()}), "votes")
+    votes = {f"v_{r}": F.when(F.expr(no), -1).when(F.expr(yes), 1).otherwise(0) for r, (no, yes) in RULES.items()}
+    votes = saved(counted(docs).withColumns(votes), "votes")
     failed = (F.col("n_words") < LEAST) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     out = votes.withColumn("quality", fitted(votes).posterior()).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ringwatch.llm import fingerprint, jaccard, lm, neighbours, packing, pii, quality, sharding, tokenfile, unigram
+from ringwatch.llm import fingerprint, jaccard, lm, neighbours, packing, pii, quality, resample, rules, sharding, tokenfile, unigram
 from ringwatch.llm.registry import BYTE_BPE, PII_KEY, PIECES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `group` string, rank int, shard int, length int, start string, component string, _bucket int"
@@ -38,6 +38,8 @@ OPERATORS = {
     "jaccard": lambda d, _: jaccard.join(d, 4, 85),
     "packing": lambda d, _: packing.pack(d, BYTE_BPE),
     "lm": lambda d, _: lm.score(d),
+    "resample": lambda d, _: resample.resample(d, d.limit(3), 50),
+    "rules": lambda d, _: rules.judged(d),
 }
 
 
@@ -54,7 +56,7 @@ def test_no_rows(empty, labels, name):
     assert OPERATORS[name](empty, labels).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["shards", "tokens", "fingerprints", "pieces", "pii", "quality"])
+@pytest.mark.parametrize("name", ["shards", "tokens", "fingerprints", "pieces", "pii", "quality", "resample", "rules"])
 def test_repeated_rows_stay(docs, labels, name):
     few = docs.where("doc_id IN (4, 5, 10)")
     assert OPERATORS[name](few.unionByName(few), labels).count() == 6
@@ -62,7 +64,7 @@ def test_repeated_rows_stay(docs, labels, name):
 
 def test_null_ids(spark, docs, labels):
     odd = docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.where("doc_id = 1"))
-    for name in ("shards", "tokens", "fingerprints", "pieces", "pii", "packing", "quality"):
+    for name in ("shards", "tokens", "fingerprints", "pieces", "pii", "packing", "quality", "resample", "rules"):
         assert OPERATORS[name](odd, labels).count() == 2, name
     for name in ("jaccard", "lm"):
         assert OPERATORS[name](odd, labels).count() == 1, name

@@ -43,7 +43,7 @@ def library():
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_shards_are_even_and_keep_groups(spark, texts):
