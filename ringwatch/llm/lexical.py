@@ -8,8 +8,9 @@ widths, so a block's reach and bound are known without reading it.
 
 A query meets a segment so: the pointers of all its terms move over the heads alone (shallow moves); where they stand, the sum
 of w * greatest impact bounds every document up to the next end of a block. Documents in stretches whose bound is below the threshold (the
-k-th best score so far, or a floor from other segments) are skipped with their blocks. Blocks that hold a document above it
-are decompressed, once for all queries; the documents of highest bound come first, so that the threshold rises
+k-th best score so far, or a floor from other segments) are skipped with their blocks. Then the terms move deep, the rarest first:
+blocks that hold a document still above the threshold are decompressed, once for all queries, and the impact found takes the place of the block's greatest in
+the document's bound. Documents with the highest bounds are scored first now and then, so that the threshold rises
 early. No skipped document can be among the k best, ties included, so results are exact.
 
 Queries are asked in blocks of about ``ITEMS``; the driver holds the terms of one such block. A sixteenth of the segments is searched first; the k-th
@@ -37,7 +38,7 @@ BLOCK, ITEMS = 128, 256
 #: Bytes of text in a segment.
 SEGMENT = 8 << 20
 _HEAD = np.dtype([("end", "<u4"), ("peak", "<u4"), ("gaps", "u1"), ("counts", "u1")])
-#: Documents scored before the threshold is looked at again; later turns are four times as large.
+#: Documents scored at a time to raise the threshold.
 TURN = 64
 
 
@@ -188,6 +189,11 @@ class Postings:
         self.worth[run] = impact(tf, self.m[self.doc[run]])
         self.open[b] = True
 
+    def bounds(self, docs: np.ndarray) -> np.ndarray:
+        """The greatest impact of the block that each of ``docs`` (in order) falls in; 0 after the last."""
+        block = np.searchsorted(self.end, docs)
+        return np.append(self.peak, 0)[block]
+
     def worths(self, docs: np.ndarray) -> np.ndarray:
         """Impacts in ``docs`` (in order); 0 where the term does not occur."""
         block = np.searchsorted(self.end, docs)
@@ -205,23 +211,21 @@ def best(terms: list[tuple[int, Postings]], ids: np.ndarray, k: int, floor: int)
         np.add.at(bound, p.first, w * p.peak)
         np.add.at(bound, p.end + 1, -w * p.peak)
     bound = np.cumsum(bound)[:-1]
-    low = max(floor, 1)
-    left = np.flatnonzero(bound >= low)
-    left = left[np.argsort(-bound[left], kind="stable")]
-    doc, score, turn = np.zeros(0, np.int64), np.zeros(0, np.int64), TURN
-    while len(left):
-        now, left, turn = np.sort(left[:turn]), left[turn:], 4 * turn
-        total = np.zeros(len(now), np.int64)
-        for w, p in terms:
-            total += w * p.worths(now)
-        doc, score = np.append(doc, now), np.append(score, total)
-        keep = np.flatnonzero(score >= low)
-        keep = keep[np.lexsort((ids[doc[keep]], -score[keep]))[:k]]
-        doc, score = doc[keep], score[keep]
-        if len(doc) == k:
-            low = max(low, int(score[-1]))
-            left = left[: np.searchsorted(-bound[left], -low, side="right")]
-    return ids[doc], score
+    low, turn = max(floor, 1), max(TURN, k)
+    docs = np.flatnonzero(bound >= low)
+    bound = bound[docs]
+    for i, (w, p) in enumerate(sorted(terms, key=lambda t: len(t[1].doc))):
+        if i % 4 == 0 and len(docs) > 2 * turn:  # the most promising documents raise the threshold
+            some = np.sort(docs[np.argpartition(-bound, turn)[:turn]])
+            total = sum(w_ * p_.worths(some) for w_, p_ in terms)
+            low = max(low, int(np.partition(total, turn - k)[turn - k]))
+            keep = bound >= low
+            docs, bound = docs[keep], bound[keep]
+        bound = bound + w * (p.worths(docs) - p.bounds(docs))
+        keep = bound >= low
+        docs, bound = docs[keep], bound[keep]
+    order = np.lexsort((ids[docs], -bound))[:k]
+    return ids[docs[order]], bound[order]
 
 
 def asked(items: DataFrame) -> DataFrame:

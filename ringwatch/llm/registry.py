@@ -121,6 +121,9 @@ _SEARCH = rf"""WITH
     SELECT * FROM r WHERE rank <= 10"""
 
 
+_QUOTED = rules.MARKS.replace("'", "''")
+
+
 def _weak_supervision() -> str:
     """The counts, the votes, and each round of the estimates as one common table of one row."""
     a, b = "100 * {0} > {1} * {2}", "100 * {0} <= {1} * {2}"
@@ -130,7 +133,7 @@ def _weak_supervision() -> str:
         (a.format("n_repeat_words", 20, "n_words"), "n_repeat_words = 0 AND n_words >= 20"),
         (a.format("n_dup_lines", 20, "n_lines"), "n_dup_lines = 0 AND n_lines >= 3"),
         (a.format("n_capitals", 30, "word_chars"), b.format("n_capitals", 10, "word_chars")),
-        (a.format("n_cries", 20, "n_words"), b.format("n_cries", 2, "n_words")),
+        (a.format("n_marks", 12, "word_chars"), b.format("n_marks", 6, "word_chars")),
         ("100 * n_pairs < 40 * (n_words - 1)", "100 * n_pairs >= 70 * (n_words - 1) AND n_words >= 20"),
         ("word_chars > 12 * n_words OR word_chars < 3 * n_words", "word_chars <= 9 * n_words AND word_chars >= 4 * n_words"),
     ]
@@ -150,7 +153,7 @@ def _weak_supervision() -> str:
     twice AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) nx FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) c FROM e) WHERE c > 1),
     rep AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8))) r FROM twice GROUP BY 1),
     c AS (SELECT doc_id, len(ws) n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT word_chars, length(text) - length(translate(text, '{rules.SYMBOLS}', '')) n_symbols,
-        length(text) - length(translate(text, '{rules.CAPITALS}', '')) n_capitals, length(text) - length(translate(text, '!', '')) n_cries, len(ls) n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines,
+        length(text) - length(translate(text, '{rules.CAPITALS}', '')) n_capitals, length(text) - length(translate(text, '{_QUOTED}', '')) n_marks, len(ls) n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines,
         len(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) n_pairs, coalesce(r, 0)::BIGINT n_repeat_words FROM g LEFT JOIN rep USING (doc_id)),
     v AS (SELECT *, {votes} FROM c),
     patterns AS MATERIALIZED (SELECT {names}, count(*) n FROM v GROUP BY ALL),
