@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwatch.operators import corpus, dataquality, evalset, evaluation, graph, ledger, measurement, pivots, textguard, triage
+from ringwatch.operators import corpus, dataquality, evalset, evaluation, graph, investigation, ledger, measurement, pivots, textguard, triage
 from ringwatch.plans.oracle import with_views
 from ringwatch.sources.platform import Platform
 
@@ -508,20 +508,62 @@ def ring_membership(p):
     return graph.rings(p.labels).groupBy("ring_id", "threat_class", "entity_kind").agg(F.count(F.lit(1)).alias("members"))
 
 
-def _ring_nodes(p):
-    """Stand-in packs: a ring's entities, found in hops by a hash of their ids; the least id is the seed."""
-    members = graph.rings(p.labels).select("ring_id", "entity_kind", "entity_id").distinct()
-    hop = F.conv(F.substring(F.md5("entity_id"), 1, 4), 16, 10).cast("int") % 30
-    return members, members.select("ring_id", F.col("entity_id").alias("node_id"), hop.alias("hop_index")), members.groupBy("ring_id").agg(F.min("entity_id").alias("node_id"))
+#: Pivots of every possible subject, cut to 25 rows, and the waves of all rings' investigations over them.
+_WAVES = 4
+_EXPLORED = f"""members AS (SELECT DISTINCT ring_id, threat_class, entity_kind, entity_id FROM sealed_labels WHERE ring_id IS NOT NULL),
+    home AS (SELECT m.ring_id, m.entity_id, v.channel_id FROM members m JOIN video v ON m.entity_id = v.video_id UNION ALL
+        SELECT m.ring_id, m.entity_id, v.channel_id FROM members m JOIN comment c ON m.entity_id = c.comment_id JOIN video v ON v.video_id = c.video_id),
+    seeds AS (SELECT ring_id seed, channel_id node_id FROM (SELECT *, row_number() OVER (PARTITION BY ring_id ORDER BY entity_id, channel_id) r FROM home) WHERE r = 1),
+    al AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY weight DESC, account_id, relation) "row" FROM (SELECT channel_id subject, account_id, 'owner' relation, 1 weight FROM channel
+        UNION ALL SELECT v.channel_id, c.account_id, 'commenter', count(*) FROM comment c JOIN video v USING (video_id) GROUP BY ALL)),
+    en AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC, account_id, target_id, kind) "row" FROM (
+        SELECT v.channel_id subject, e.account_id, 'video' target_kind, e.video_id target_id, e.kind, count(*) n FROM engagement_event e JOIN video v USING (video_id) GROUP BY ALL
+        UNION ALL SELECT channel_id, account_id, 'channel', channel_id, kind, count(*) FROM engagement_event WHERE channel_id IS NOT NULL GROUP BY ALL)),
+    ih AS (SELECT DISTINCT subject_id, subject_kind, signal_type, signal_value FROM infra_hint),
+    io AS (SELECT o.subject_id subject, h.subject_id node_id, h.subject_kind kind, row_number() OVER (PARTITION BY o.subject_id ORDER BY signal_type, h.subject_id, signal_value, h.subject_kind) "row"
+        FROM ih o JOIN ih h USING (signal_type, signal_value) WHERE o.subject_id <> h.subject_id),
+    mv AS (SELECT account_id, 'device_fingerprint_hint' field, device_fingerprint_hint v FROM account_meta UNION ALL SELECT account_id, 'signup_ip_bucket', signup_ip_bucket FROM account_meta),
+    sm AS (SELECT o.account_id subject, h.account_id node_id, row_number() OVER (PARTITION BY o.account_id ORDER BY field, h.account_id) "row" FROM mv o JOIN mv h USING (field, v) WHERE o.account_id <> h.account_id),
+    results AS (SELECT 'account_link' pivot_kind, subject, "row", account_id node_id, 'account' kind FROM al WHERE "row" <= 25 UNION ALL SELECT 'engagement_edge', subject, "row", account_id, 'account' FROM en WHERE "row" <= 25
+        UNION ALL SELECT 'engagement_edge', subject, "row", target_id, 'video' FROM en WHERE "row" <= 25 AND target_kind = 'video' UNION ALL SELECT 'infra_overlap', subject, "row", node_id, kind FROM io WHERE "row" <= 25
+        UNION ALL SELECT 'shared_metadata', subject, "row", node_id, 'account' FROM sm WHERE "row" <= 25),
+    offers(kind, pivot_kind, turn) AS (VALUES {", ".join(f"('{k}', '{p}', {i})" for k, o in graph.OFFERS.items() for i, p in enumerate(o))}),
+    n0 AS (SELECT seed, node_id, 'channel' kind, 0 hop_index FROM seeds), """ + ", ".join(f"""w{k} AS (SELECT * FROM (SELECT seed, pivot_kind, node_id subject, row_number() OVER (PARTITION BY seed ORDER BY hop_index, node_id, turn) hop_index FROM n{k} JOIN offers USING (kind)) WHERE hop_index <= 20),
+    n{k + 1} AS (SELECT seed, node_id, any_value(kind) kind, min(hop_index)::INTEGER hop_index FROM (SELECT * FROM n0 UNION ALL SELECT seed, r.node_id, r.kind, hop_index FROM w{k} JOIN results r USING (pivot_kind, subject)) GROUP BY 1, 2)""" for k in range(_WAVES))
+_RECOVERED = _EXPLORED + f""", others AS (SELECT DISTINCT ring_id, entity_kind, entity_id FROM members WHERE (ring_id, entity_id) NOT IN (SELECT (seed, node_id) FROM seeds)),
+    recovered AS (SELECT o.ring_id, (SELECT min(threat_class) FROM members m WHERE m.ring_id = o.ring_id) threat_class, budget, count(*) members, count(*) FILTER (entity_kind IN ('account', 'channel', 'video')) reachable,
+        count(*) FILTER (hop_index <= budget) found FROM others o CROSS JOIN (VALUES (5), (10), (20)) b(budget) LEFT JOIN n{_WAVES} n ON n.seed = o.ring_id AND n.node_id = o.entity_id GROUP BY 1, 2, 3),
+    shares AS (SELECT *, found / members recovery, coalesce(found / nullif(reachable, 0), 0) of_reachable FROM recovered)"""
 
 
-@query("""WITH m AS (SELECT DISTINCT ring_id, entity_kind, entity_id FROM sealed_labels WHERE ring_id IS NOT NULL), o AS (SELECT *, ('0x' || substr(md5(entity_id), 1, 4))::BIGINT % 30 hop FROM m
-    WHERE (ring_id, entity_id) NOT IN (SELECT (ring_id, min(entity_id)) FROM m GROUP BY ring_id))
-    SELECT ring_id, budget, count(*) members, count(*) FILTER (entity_kind IN ('account', 'channel', 'video')) reachable, count(*) FILTER (hop <= budget) found, count(*) FILTER (hop <= budget) / count(*) recovery
-    FROM o, (VALUES (5), (10), (20)) b(budget) GROUP BY 1, 2""")
+def _explored(p):
+    seeds = investigation.ring_seeds(p)
+    return seeds, *investigation.explore(p, seeds)
+
+
+def _recovered(p):
+    seeds, nodes, _ = _explored(p)
+    return investigation.recovered(nodes, graph.rings(p.labels), seeds)
+
+
+@query(f"WITH {_EXPLORED} SELECT * FROM n{_WAVES}")
+def investigation_nodes(p):
+    return _explored(p)[1]
+
+
+@query(f"""WITH {_EXPLORED} SELECT seed, w.hop_index::INTEGER hop_index, w.pivot_kind, w.subject, count(DISTINCT "row") row_count FROM w{_WAVES - 1} w LEFT JOIN results r USING (pivot_kind, subject) GROUP BY ALL""")
+def investigation_hops(p):
+    return _explored(p)[2]
+
+
+@query(f"WITH {_RECOVERED} SELECT * FROM shares")
 def ring_recovery_at_k(p):
-    members, nodes, seeds = _ring_nodes(p)
-    return graph.recovery(nodes, members, seeds)
+    return _recovered(p)
+
+
+@query(f"WITH {_RECOVERED} SELECT threat_class, budget, count(*) cases, round(avg(recovery), 9) recovery, round(avg(of_reachable), 9) of_reachable FROM shares GROUP BY 1, 2")
+def ring_recovery_by_class(p):
+    return investigation.mean_recovery(_recovered(p)).withColumns({c: F.round(c, 9) for c in ("recovery", "of_reachable")})
 
 
 @query("""WITH n AS (SELECT subject_id, subject_kind, signal_type, signal_value, count(*) n FROM infra_hint GROUP BY ALL), r AS (SELECT o.subject_id source_id, h.subject_id peer_id, signal_type, signal_value, o.n * h.n hint_count,
