@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ringwatch.sources.platform import DAY_MS
+from ringwatch.sources.scratch import stored
 
 #: Severity of each signal, and of what aggravates a flagged channel.
 SEVERITY = {"link_domain_reuse": 1.0, "shared_device": 0.8, "shared_ip_bucket": 0.6, "template_reuse": 0.5, "shared_upload_pattern": 0.4}
@@ -61,29 +62,46 @@ def own_signals(channels: DataFrame, hints: DataFrame) -> DataFrame:
     return subjects.join(counted, "subject_id").groupBy("channel_id", "signal_type", "signal_value").agg(F.sum("n").alias("n"))
 
 
+def shared_by(commenters_: DataFrame, hints: DataFrame) -> DataFrame:
+    """Signal values that at least two of the distinct (channel_id, account_id) of a channel share."""
+    held = hints.select(F.col("subject_id").alias("account_id"), "signal_type", "signal_value").distinct()
+    return commenters_.join(held, "account_id").groupBy("channel_id", "signal_type", "signal_value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COORDINATION_FLOOR)
+
+
 def inbound_signals(comments: DataFrame, videos: DataFrame, hints: DataFrame) -> DataFrame:
     """Signal values that at least two distinct commenters of a channel share."""
-    held = hints.select(F.col("subject_id").alias("account_id"), "signal_type", "signal_value").distinct()
-    return commenters(comments, videos).join(held, "account_id").groupBy("channel_id", "signal_type", "signal_value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COORDINATION_FLOOR)
+    return shared_by(commenters(comments, videos), hints)
 
 
 def _values(own: DataFrame, inbound: DataFrame) -> DataFrame:
     return own.select("channel_id", "signal_type", "signal_value").unionByName(inbound.select("channel_id", "signal_type", "signal_value")).distinct()
 
 
+def holder_bits(hints: DataFrame) -> DataFrame:
+    """(signal_type, signal_value, bucket, bits): who holds each value, as bitmaps of 32,768 holders each.
+
+    Holders are numbered in order of their ids within the partition of their hash, so a task that is run again gives the same numbers.
+    """
+    held = hints.select("signal_type", "signal_value", "subject_id").distinct()
+    numbers = hints.select("subject_id").distinct().sortWithinPartitions("subject_id").withColumn("_n", F.monotonically_increasing_id())
+    held = held.join(numbers, "subject_id").withColumn("bucket", F.bitmap_bucket_number("_n"))
+    return held.groupBy("signal_type", "signal_value", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("bits"))
+
+
 def spread(channels: DataFrame, own: DataFrame, inbound: DataFrame, hints: DataFrame) -> DataFrame:
     """Distinct other holders of any of the channel's values, as a share of the cap.
 
-    Holders are counted once for each distinct set of values; a channel then subtracts itself and its owner, if they are among them.
+    The holders of a value are a few bitmaps, however many they are; those of a set of values are the bitmaps' union, counted once for each distinct
+    set. A channel then subtracts itself and its owner, if they are among them.
     """
-    held = hints.select("signal_type", "signal_value", "subject_id").distinct()
     values = _values(own, inbound)
     sets = values.groupBy("channel_id").agg(F.sort_array(F.collect_list(F.struct("signal_type", "signal_value"))).alias("values"))
     sets = sets.withColumn("set_id", F.sha2(F.to_json("values"), 256))
     each = sets.groupBy("set_id").agg(F.first("values").alias("values")).select("set_id", F.explode("values").alias("v")).select("set_id", "v.*")
-    total = each.join(held, ["signal_type", "signal_value"]).groupBy("set_id").agg(F.count_distinct("subject_id").alias("all"))
+    union = each.join(holder_bits(hints), ["signal_type", "signal_value"]).groupBy("set_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    total = union.groupBy("set_id").agg(F.sum(F.bitmap_count("bits")).alias("all"))
     selves = channels.select("channel_id", F.explode(F.array_distinct(F.array("channel_id", "account_id"))).alias("subject_id"))
-    mine = selves.join(held, "subject_id").join(values, ["channel_id", "signal_type", "signal_value"]).groupBy("channel_id").agg(F.count_distinct("subject_id").alias("mine"))
+    mine = selves.join(hints.select("signal_type", "signal_value", "subject_id"), "subject_id").join(values, ["channel_id", "signal_type", "signal_value"]).groupBy("channel_id").agg(F.count_distinct("subject_id").alias("mine"))
     peers = sets.select("channel_id", "set_id").join(total, "set_id").join(channels.select("channel_id"), "channel_id").join(mine, "channel_id", "left")
     peers = peers.select("channel_id", (F.col("all") - F.coalesce("mine", F.lit(0))).alias("peer_entities")).where("peer_entities > 0")
     return peers.withColumn("spread", F.least(F.lit(1.0), F.col("peer_entities") / SPREAD_CAP))
@@ -97,45 +115,62 @@ def recidivism(own: DataFrame, inbound: DataFrame, hints: DataFrame) -> DataFram
     return out.withColumn("recidivism", F.least(F.lit(1.0), F.greatest(F.lit(0), F.col("pattern_days") - 1) / RECIDIVISM_CAP))
 
 
-def severe(channels: DataFrame, videos: DataFrame, comments: DataFrame, hints: DataFrame) -> DataFrame:
-    """Every channel with a signal of its own, coordinated commenters or templates, and its severity."""
-    own, inbound = own_signals(channels, hints), inbound_signals(comments, videos, hints)
-    kinds = lambda df, name: df.groupBy("channel_id").agg(F.array_sort(F.collect_set("signal_type")).alias(name))
-    df = channels.select("channel_id", "account_id")
-    for part in (kinds(own, "own_kinds"), kinds(inbound, "inbound_kinds"), undisclosed(videos), templated(comments, videos)):
-        df = df.join(part, "channel_id", "left")
-    none = F.array().cast("array<string>")
-    df = df.fillna({"undisclosed_videos": 0, "templated_comments": 0}).withColumn("kinds", F.array_union(F.coalesce("own_kinds", none), F.coalesce("inbound_kinds", none)))
-    df = df.where((F.size("kinds") > 0) | (F.col("templated_comments") > 0))
-    parts = [F.when(F.array_contains("kinds", k), F.lit(w)).otherwise(F.lit(0.0)) for k, w in SEVERITY.items()]
-    parts += [F.when(F.col("undisclosed_videos") > 0, UNDISCLOSED).otherwise(0.0), F.when(F.col("templated_comments") > 0, TEMPLATED).otherwise(0.0)]
-    return df.select("channel_id", "account_id", F.greatest(*parts).alias("severity_class"), "undisclosed_videos", "templated_comments")
-
-
-def scored(df: DataFrame, channels: DataFrame, videos: DataFrame, comments: DataFrame, hints: DataFrame) -> DataFrame:
-    """The rows of ``severe`` with the other components, which are worked out for these channels, videos and comments."""
-    own, inbound = own_signals(channels, hints), inbound_signals(comments, videos, hints)
-    for part in (velocity(comments, videos), spread(channels, own, inbound, hints), recidivism(own, inbound, hints)):
-        df = df.join(part, "channel_id", "left")
-    zero = {c: 0 for c in ("undisclosed_videos", "templated_comments", "comment_count", "burst_comments", "peer_entities", "pattern_days")}
-    return df.fillna(zero | {c: 0.0 for c in ("velocity", "spread", "recidivism")}).select("channel_id", "account_id", *WEIGHTS, *zero)
+class Signals:
+    """What several components share, worked out once and stored: who comments where, own and inbound signal values."""
+
+    def __init__(self, channels: DataFrame, videos: DataFrame, comments: DataFrame, hints: DataFrame):
+        self.channels, self.videos, self.comments, self.hints = channels, videos, comments, hints
+        said = on_channels(comments, videos).groupBy("channel_id", "account_id").agg(F.count("template_id").alias("templated"))
+        self.said = stored(said, "commenters")
+        self.own = stored(own_signals(channels, hints), "own")
+        self.inbound = stored(shared_by(self.said, hints), "inbound")
+
+    def severe(self) -> DataFrame:
+        """Every channel with a signal of its own, coordinated commenters or templates, and its severity."""
+        kinds = lambda df, name: df.groupBy("channel_id").agg(F.array_sort(F.collect_set("signal_type")).alias(name))
+        copies = self.said.groupBy("channel_id").agg(F.sum("templated").alias("templated_comments"))
+        df = self.channels.select("channel_id", "account_id")
+        for part in (kinds(self.own, "own_kinds"), kinds(self.inbound, "inbound_kinds"), undisclosed(self.videos), copies):
+            df = df.join(part, "channel_id", "left")
+        none = F.array().cast("array<string>")
+        df = df.fillna({"undisclosed_videos": 0, "templated_comments": 0}).withColumn("kinds", F.array_union(F.coalesce("own_kinds", none), F.coalesce("inbound_kinds", none)))
+        df = df.where((F.size("kinds") > 0) | (F.col("templated_comments") > 0))
+        parts = [F.when(F.array_contains("kinds", k), F.lit(w)).otherwise(F.lit(0.0)) for k, w in SEVERITY.items()]
+        parts += [F.when(F.col("undisclosed_videos") > 0, UNDISCLOSED).otherwise(0.0), F.when(F.col("templated_comments") > 0, TEMPLATED).otherwise(0.0)]
+        return df.select("channel_id", "account_id", F.greatest(*parts).alias("severity_class"), "undisclosed_videos", "templated_comments")
+
+    def scored(self, df: DataFrame, few: DataFrame | None = None) -> DataFrame:
+        """The rows of ``severe`` with the other components, worked out for the channels of ``few`` alone (or for all)."""
+        only = (lambda x: x.join(few, "channel_id", "left_semi")) if few is not None else (lambda x: x)
+        channels, own, inbound = only(self.channels), only(self.own), only(self.inbound)
+        for part in (velocity(self.comments, only(self.videos)), spread(channels, own, inbound, self.hints), recidivism(own, inbound, self.hints)):
+            df = df.join(part, "channel_id", "left")
+        zero = {c: 0 for c in ("undisclosed_videos", "templated_comments", "comment_count", "burst_comments", "peer_entities", "pattern_days")}
+        return df.fillna(zero | {c: 0.0 for c in ("velocity", "spread", "recidivism")}).select("channel_id", "account_id", *WEIGHTS, *zero)
 
 
 def flagged(channels: DataFrame, videos: DataFrame, comments: DataFrame, hints: DataFrame) -> DataFrame:
     """Every flagged channel and its components."""
-    return scored(severe(channels, videos, comments, hints), channels, videos, comments, hints)
+    signals = Signals(channels, videos, comments, hints)
+    return signals.scored(signals.severe())
+
+
+def clamped(limit: object) -> int:
+    """A queue's limit: what was asked for within 1 and the ceiling, the ceiling where that is no positive whole number."""
+    return min(limit, QUEUE) if isinstance(limit, int) and not isinstance(limit, bool) and limit > 0 else QUEUE
 
 
 def cases(channels: DataFrame, videos: DataFrame, comments: DataFrame, hints: DataFrame, limit: int = QUEUE) -> DataFrame:
     """``queue`` of all flagged channels: the cut needs severity only, so the rest is worked out for the cases alone."""
-    top = severe(channels, videos, comments, hints).orderBy(F.desc("severity_class"), "channel_id").limit(limit)
+    signals = Signals(channels, videos, comments, hints)
+    top = stored(signals.severe().orderBy(F.desc("severity_class"), "channel_id").limit(clamped(limit)), "cases")
     few = F.broadcast(top.select("channel_id"))  # at most `limit` rows
-    return queue(scored(top, channels.join(few, "channel_id", "left_semi"), videos.join(few, "channel_id", "left_semi"), comments, hints), limit)
+    return queue(signals.scored(top, few), limit)
 
 
 def queue(found: DataFrame, limit: int = QUEUE) -> DataFrame:
     """The most severe channels, numbered in that order."""
-    top = found.orderBy(F.desc("severity_class"), "channel_id").limit(limit)
+    top = found.orderBy(F.desc("severity_class"), "channel_id").limit(clamped(limit))
     order = Window.orderBy(F.desc("severity_class"), "channel_id")  # at most `limit` rows
     return top.withColumn("case_id", F.format_string("case-%04d", F.row_number().over(order) - 1))
 

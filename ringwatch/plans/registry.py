@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ringwatch.operators import corpus, dataquality, evalset, evaluation, graph, investigation, ledger, measurement, pivots, textguard, triage
 from ringwatch.plans.oracle import with_views
 from ringwatch.sources.platform import Platform
+from ringwatch.sources.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -290,22 +291,24 @@ _ADD = lambda x: " + ".join(f"coalesce(max(CASE WHEN band = '{b}' THEN {x} END),
 
 
 def _sample(p):
-    frame = _frame(p)
-    rows = measurement.strata(frame).collect()  # five rows
-    return measurement.draw(frame, {r["band"]: -(-r["size"] // 20) for r in rows}, "s1")
+    """The frame, written once, its strata and the sample."""
+    frame = stored(_frame(p), "frame")
+    known = stored(measurement.strata(frame), "strata")
+    return known, measurement.draw(frame, {r["band"]: -(-r["size"] // 20) for r in known.collect()}, "s1")  # five rows
 
 
 def _calls(p):
-    return measurement.panel(_sample(p), _RATERS, "s2")
+    return measurement.panel(_sample(p)[1], _RATERS, "s2")
 
 
 def _stratified(p):
-    return measurement.stratified(_calls(p), measurement.strata(_frame(p)))
+    known, sample = _sample(p)
+    return measurement.stratified(measurement.panel(sample, _RATERS, "s2"), known)
 
 
 @query(f"WITH {_DRAWN} SELECT * FROM drawn")
 def sample_stratified_hash(p):
-    return _sample(p)
+    return _sample(p)[1]
 
 
 @query(f"WITH {_CALLS} SELECT * FROM calls")
