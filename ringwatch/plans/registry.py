@@ -620,6 +620,17 @@ def ledger_head(p):
     return ledger.heads(_chain(p), "session")
 
 
+@query(f"""{_CHAIN}, ends AS (SELECT session, max(seq) last FROM chain GROUP BY 1) SELECT session, CASE WHEN session % 3 = 0 THEN last ELSE last + 1 END entries,
+    CASE WHEN session % 3 = 1 AND last >= 2 THEN 'broken_chain' WHEN session % 3 = 0 THEN 'head_mismatch' ELSE 'intact' END outcome, CASE WHEN session % 3 = 1 AND last >= 2 THEN 'entry_hash_mismatch' END reason FROM ends""")
+def ledger_anchor_compare(p):
+    """Against the heads of the whole ledger: a third of the sessions lost their last entry, a third had one forged."""
+    chain = stored(_chain(p), "chain")
+    last = chain.groupBy("session").agg(F.max("seq").alias("last"))
+    cut = chain.join(last, "session").where("NOT (session % 3 = 0 AND seq = last)")
+    forged = F.when((F.col("session") % 3 == 1) & (F.col("seq") == 2), "forged").otherwise(F.col("payload_digest"))
+    return ledger.anchored(cut.withColumn("payload_digest", forged), ledger.heads(chain, "session"), "session")
+
+
 @query(f"WITH e AS ({_DUCK_ENTRY}) SELECT event_type, count(e.seq) n FROM (SELECT unnest([{', '.join(repr(e) for e in ledger.EVENTS)}]) event_type) LEFT JOIN e USING (event_type) GROUP BY 1")
 def ledger_event_counts(p):
     return ledger.event_counts(_entries(p))
@@ -647,6 +658,18 @@ def activation_bad_rollbacks(p):
     return ledger.bad_rollbacks(_activations(p))
 
 
+#: Each conversation as a log of its own: some lack an entry, some run backwards for a moment.
+_LOG = """SELECT conv_id log, turn seq, 'task_' || (turn % 2) task, md5(role || (turn % 3)) content_digest, CASE WHEN turn % 4 = 3 THEN 'rollback' ELSE 'activate' END action,
+    '2024-01-01T00:' || lpad(CAST(turn % 60 - CASE WHEN length(text) % 7 = 0 AND turn > 0 THEN 1 ELSE 0 END AS {s}), 2, '0') || ':' || lpad(CAST(length(text) % 60 AS {s}), 2, '0') timestamp_ist FROM {t} WHERE NOT (conv_id % 5 = 0 AND turn = 1)"""
+
+
+@query(f"""WITH a AS ({_LOG.format(s="VARCHAR", t="conversations")}), o AS (SELECT *, row_number() OVER w - 1 pos, lag(timestamp_ist) OVER w before FROM a WINDOW w AS (PARTITION BY log ORDER BY seq, timestamp_ist))
+    SELECT * FROM (SELECT log, seq, CASE WHEN seq <> pos THEN 'seq_gap' WHEN timestamp_ist < before THEN 'moves_back_in_time' WHEN action = 'rollback' AND NOT EXISTS (
+        SELECT 1 FROM a b WHERE b.log = o.log AND b.task = o.task AND b.content_digest = o.content_digest AND b.seq < o.seq) THEN 'rollback_to_unknown' END code FROM o) WHERE code IS NOT NULL""")
+def activation_log_faults(p):
+    return ledger.log_faults(p.spark.sql(_LOG.format(s="STRING", t="{conversations}"), conversations=p.raw("conversations")), "log")
+
+
 # --- text ---------------------------------------------------------------------------------------
 
 #: Records that match, beside the documents, which don't.
