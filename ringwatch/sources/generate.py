@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ringwatch.operators.measurement import uniform
 from ringwatch.sources.platform import BASE_MS, DAY_MS
+from ringwatch.sources.threats import plant_all
 
 #: Sizes and Poisson means at scale 1.
 ACCOUNTS, CHANNELS = 400, 50
@@ -45,8 +46,8 @@ def _children(parents: DataFrame, key: str, seed: str, mean: float) -> DataFrame
     return parents.select(key, F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))).alias("_i"))
 
 
-def build(spark: SparkSession, seed: int, scale: int = 1, rings: int = 7) -> dict[str, DataFrame]:
-    """The six views and ``sealed_labels``."""
+def build(spark: SparkSession, seed: int, scale: int = 1, rings: int = 7, threats: bool = True) -> dict[str, DataFrame]:
+    """The six views and ``sealed_labels``: comment rings, and with ``threats`` the other six kinds."""
     s = str(seed)
     pick = lambda what, count, *keys: F.floor(uniform(f"{s}:{what}", *keys) * count).cast("long")
     n_accounts, n_channels = ACCOUNTS * scale, CHANNELS * scale
@@ -105,7 +106,8 @@ def build(spark: SparkSession, seed: int, scale: int = 1, rings: int = 7) -> dic
     of_accounts, of_comments = members.select(F.col("account_id").alias("entity_id"), ring_id.alias("ring")), planted.select(F.col("comment_id").alias("entity_id"), F.col("_ring").alias("ring"))
     none = of_accounts.limit(0)
     sealed = labels("account", accounts, "account_id", of_accounts).unionByName(labels("channel", channels, "channel_id", none)).unionByName(labels("video", videos, "video_id", none)).unionByName(labels("comment", comments, "comment_id", of_comments))
-    return {"account_meta": accounts, "channel": channels, "video": videos, "comment": comments, "engagement_event": events, "infra_hint": hints, "sealed_labels": sealed}
+    views = {"account_meta": accounts, "channel": channels, "video": videos, "comment": comments, "engagement_event": events, "infra_hint": hints, "sealed_labels": sealed}
+    return plant_all(views, seed) if threats else views
 
 
 def _by_video():
