@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringwatch.operators.draws import inverted, with_distribution
 from ringwatch.operators.measurement import uniform
 
 #: The gate's tolerances.
@@ -47,15 +48,19 @@ def paired(incumbent: DataFrame, candidate: DataFrame) -> DataFrame:
 def recall_deltas(pairs: DataFrame, replicates: int, seed: str, alpha: float = 0.05) -> DataFrame:
     """Observed change of each class's recall and its paired bootstrap interval.
 
-    A class's differences are -1, 0 or 1, so a replicate is a multinomial draw over three counts: as many
-    hash-uniform trials as the class has items.
+    A class's differences are -1, 0 or 1, so a replicate is a multinomial draw over three counts: the ups are binomial, and given
+    them so are the downs. Both are drawn by inversion, a row for each replicate and class; a distribution is worked out once for each count of ups.
     """
     d = F.when(F.col("after") == F.col("truth"), 1).otherwise(0) - F.when(F.col("before") == F.col("truth"), 1).otherwise(0)
     counts = pairs.groupBy(F.col("truth").alias("threat_class")).agg(F.count(F.lit(1)).alias("n"), F.count_if(d == 1).alias("up"), F.count_if(d == -1).alias("down"))
-    trials = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("trial", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    u = uniform(seed, F.col("threat_class"), F.col("replicate"), F.col("trial")) * F.col("n")
-    sums = trials.groupBy("threat_class", "n", "up", "down", "replicate").agg(F.sum(F.when(u < F.col("up"), 1).when(u < F.col("up") + F.col("down"), -1).otherwise(0)).alias("s"))
-    out = sums.withColumn("x", F.col("s") / F.col("n")).groupBy("threat_class", "n", "up", "down")
+    first = with_distribution(counts.withColumn("p", F.col("up") / F.col("n")), "n", "p").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    ups = first.select("threat_class", "n", "up", "down", "replicate", inverted(uniform(f"{seed}:up", F.col("threat_class"), F.col("replicate"))).alias("ups"))
+    rest = ups.select("threat_class", "n", "up", "down", "ups").distinct().withColumn("left", F.col("n") - F.col("ups"))
+    rest = rest.withColumn("p", F.when(F.col("n") > F.col("up"), F.col("down") / (F.col("n") - F.col("up"))).otherwise(0.0))
+    known = with_distribution(rest, "left", "p").select("threat_class", "ups", "low", "upto")
+    downs = inverted(uniform(f"{seed}:down", F.col("threat_class"), F.col("replicate")))
+    sums = ups.join(known, ["threat_class", "ups"]).withColumn("x", (F.col("ups") - downs) / F.col("n"))
+    out = sums.groupBy("threat_class", "n", "up", "down")
     return out.agg(F.expr(f"percentile(x, {alpha / 2})").alias("low"), F.expr(f"percentile(x, {1 - alpha / 2})").alias("high")).select("threat_class", F.col("n").alias("support"), ((F.col("up") - F.col("down")) / F.col("n")).alias("delta"), "low", "high")
 
 

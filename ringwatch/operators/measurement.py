@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ringwatch.operators.draws import inverted, with_distribution
 from ringwatch.sources.platform import DAY_MS
 
 #: Strata in their fixed order.
@@ -157,12 +158,11 @@ def estimate(rows: DataFrame) -> DataFrame:
 def bootstrap(rows: DataFrame, replicates: int, seed: str) -> DataFrame:
     """95% percentile interval of the stratified bootstrap.
 
-    Resampling a band's n calls with k successes gives Binomial(n, k/n) successes, drawn as n hash-uniform
-    trials for each replicate and band.
+    Resampling a band's n calls with k successes gives Binomial(n, k/n) successes, drawn by inversion: a row for each replicate and band.
     """
-    trials = rows.where("n > 0").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("trial", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    hit = uniform(seed, F.col("replicate"), F.col("band"), F.col("trial")) < F.col("k") / F.col("n")
-    counts = trials.groupBy("replicate", "band", "share", "n").agg(F.count_if(hit).alias("hits"))
+    known = with_distribution(rows.where("n > 0").withColumn("p", F.col("k") / F.col("n")), "n", "p")
+    draws = known.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    counts = draws.select("replicate", "band", "share", "n", inverted(uniform(seed, F.col("replicate"), F.col("band"))).alias("hits"))
     by = lambda b: F.coalesce(F.max(F.when(F.col("band") == b, F.col("share") * F.col("hits") / F.col("n"))), F.lit(0.0))
     means = counts.groupBy("replicate").agg(sum((by(b) for b in BANDS[1:]), by(BANDS[0])).alias("x"))
     return means.agg(F.expr("percentile(x, 0.025)").alias("low"), F.expr("percentile(x, 0.975)").alias("high"), F.count(F.lit(1)).alias("replicates"))
@@ -176,38 +176,102 @@ def width_ratio(rows: DataFrame) -> DataFrame:
     return rows.agg(F.sum(with_).alias("a"), F.sum(without).alias("b")).select(F.when(F.col("a") > 0, F.sqrt(F.col("b") / F.col("a"))).alias("ratio"))
 
 
+def pilot_plan(frame: DataFrame, known: DataFrame, total: int, pilot: int, seed: str, raters: list[tuple[str, float, float]]) -> dict[str, int]:
+    """Optimal allocation by the rates of a proportional pilot."""
+    sizes = sizes_of(known)
+    tried = stratified(panel(draw(frame, proportional(sizes, pilot), f"{seed}:pilot"), raters, f"{seed}:pilot-panel"), known)
+    return neyman(sizes, {r["band"]: r["k"] / r["n"] if r["n"] else 0.0 for r in tried.collect()}, total)  # five rows
+
+
+def sizes_of(known: DataFrame) -> dict[str, int]:
+    found = {r["band"]: r["size"] for r in known.collect()}  # five rows
+    return {b: found[b] for b in BANDS}
+
+
 def measure(frame: DataFrame, total: int, seed: str, pilot: int = 0, raters: list[tuple[str, float, float]] | None = None) -> DataFrame:
     """Pilot, allocation, draw, panel and estimate in one; without a pilot the allocation is proportional."""
     raters = raters or [("expert", 1.0, 1.0)]
     known = strata(frame)
-    sizes = {r["band"]: r["size"] for r in known.collect()}  # five rows
-    sizes = {b: sizes[b] for b in BANDS}
-    plan = proportional(sizes, total)
-    if pilot:
-        tried = stratified(panel(draw(frame, proportional(sizes, pilot), f"{seed}:pilot"), raters, f"{seed}:pilot-panel"), known)
-        plan = neyman(sizes, {r["band"]: r["k"] / r["n"] if r["n"] else 0.0 for r in tried.collect()}, total)
+    plan = pilot_plan(frame, known, total, pilot, seed, raters) if pilot else proportional(sizes_of(known), total)
     return estimate(stratified(panel(draw(frame, plan, f"{seed}:sample"), raters, f"{seed}:panel"), known))
 
 
-def curve_sizes(frame: DataFrame, sizes: list[int], seed: str) -> DataFrame:
-    """Half width of the interval and validity for each number of draws."""
-    rows = [measure(frame, n, f"{seed}:{n}").select(F.lit(n).alias("draws"), ((F.col("high") - F.col("low")) / 2).alias("half_width"), "estimate", "valid") for n in sizes]
-    return reduce(DataFrame.unionByName, rows)
+def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`estimate` of every grid point at once; ``rows`` have the keys beside the bands' size, n, k and share."""
+    p = F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0)
+    v = F.when(F.col("n") > 1, F.col("share") * F.col("share") * (1 - F.col("n") / F.col("size")) * p * (1 - p) / (F.col("n") - 1)).otherwise(0.0)
+    by = lambda x, b: F.coalesce(F.max(F.when(F.col("band") == b, x)), F.lit(0.0))
+    add = lambda x: sum((by(x, b) for b in BANDS[1:]), by(x, BANDS[0]))
+    out = rows.groupBy(*keys).agg(add(F.col("share") * p).alias("estimate"), F.sqrt(add(v)).alias("standard_error"), F.sum("n").alias("drawn"))
+    low, high = F.col("estimate") - Z * F.col("standard_error"), F.col("estimate") + Z * F.col("standard_error")
+    return out.select(*keys, "estimate", "standard_error", F.greatest(F.lit(0.0), low).alias("low"), F.least(F.lit(1.0), high).alias("high"), "drawn")
+
 
+def grid_draw(frame: DataFrame, plans: DataFrame, keys: list[str], seed: str) -> DataFrame:
+    """The views of every grid point: ``plans`` have the keys, band and n. A view's place in its band does not depend on the grid, so it is worked out once.
 
-def curve_raters(frame: DataFrame, total: int, specificities: list[float], panels: list[int], seed: str) -> DataFrame:
-    """Bias of the estimate for each rater quality and panel size, on the same draw."""
-    known = strata(frame)
-    sizes = {r["band"]: r["size"] for r in known.collect()}  # five rows
-    sample = draw(frame, proportional({b: sizes[b] for b in BANDS}, total), f"{seed}:sample")
-    real = frame.agg((F.count_if("violative") / F.count(F.lit(1))).alias("truth"))
-    rows = []
-    for spec in specificities:
-        for size in panels:
-            calls = panel(sample, [(f"r{i}", spec, spec) for i in range(size)], f"{seed}:{spec}")
-            row = estimate(stratified(calls, known)).crossJoin(F.broadcast(real))  # one row each
-            rows.append(row.select(F.lit(spec).alias("specificity"), F.lit(size).alias("panel"), "estimate", (F.col("estimate") - F.col("truth")).alias("bias"), ((F.col("truth") >= F.col("low")) & (F.col("truth") <= F.col("high"))).alias("covered")))
-    return reduce(DataFrame.unionByName, rows)
+    Hash slices keep their own least first, so no band is ever gathered whole in one task.
+    """
+    most = F.broadcast(plans.groupBy("band").agg(F.max("n").alias("_most")))  # one row a band
+    marked = frame.join(most, "band").withColumn("_u", uniform(seed, F.col("view_id"))).withColumn("_part", F.pmod(F.xxhash64("view_id"), F.lit(64)))
+    few = marked.withColumn("_r", F.row_number().over(Window.partitionBy("band", "_part").orderBy("_u", "view_id"))).where("_r <= _most")
+    whole = Window.partitionBy("band").orderBy("_u", "view_id")  # at most 64 times the draws
+    placed = few.withColumn("_r", F.row_number().over(whole)).where("_r <= _most").select("view_id", "band", "violative", "_r")
+    return placed.join(F.broadcast(plans), "band").where("_r <= n").drop("_r", "n")  # a few rows a grid point
+
+
+def grid_rows(calls: DataFrame, known: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Draws and calls of each band of each grid point beside the band's size and share."""
+    got = calls.groupBy(*keys, "band").agg(F.count(F.lit(1)).alias("n"), F.count_if("call").alias("k"))
+    share = known.select("band", "size", (F.col("size") / F.sum("size").over(Window.partitionBy(F.lit(0)))).alias("share"))  # five rows
+    return grid.crossJoin(F.broadcast(share)).join(got, [*keys, "band"], "left").fillna(0, ["n", "k"])  # five rows a grid point
+
+
+def curve_sizes(frame: DataFrame, known: DataFrame, sizes: list[int], seed: str) -> DataFrame:
+    """Half width of the interval for each number of draws, of one proportional order of the views, in one plan."""
+    spark, held = frame.sparkSession, sizes_of(known)
+    plans = spark.createDataFrame([(n, b, k) for n in sizes for b, k in proportional(held, n).items()], "draws int, band string, n long")
+    calls = grid_draw(frame, plans, ["draws"], seed).withColumn("call", F.col("violative"))
+    rows = grid_rows(calls, known, plans.select("draws").distinct(), ["draws"])
+    return estimates(rows, ["draws"]).select("draws", ((F.col("high") - F.col("low")) / 2).alias("half_width"), "estimate", "drawn")
+
+
+def curve_raters(frame: DataFrame, known: DataFrame, total: int, specificities: list[float], panels: list[int], seed: str) -> DataFrame:
+    """Bias of the estimate for each rater quality and panel size, on the same draw: a row a view, quality and panel."""
+    spark = frame.sparkSession
+    plans = spark.createDataFrame(list(proportional(sizes_of(known), total).items()), "band string, n long")
+    grid = spark.createDataFrame([(s, n) for s in specificities for n in panels], "specificity double, panel int")
+    sample = grid_draw(frame, plans, [], seed).crossJoin(F.broadcast(grid))  # a stated grid
+    right = F.when(F.col("violative"), F.col("specificity")).otherwise(1 - F.col("specificity"))
+    votes = F.size(F.filter(F.sequence(F.lit(1), F.col("panel")), lambda r: uniform(f"{seed}:panel", F.col("view_id"), F.col("specificity").cast("decimal(6,4)"), r) < right))
+    calls = sample.withColumn("call", votes * 2 > F.col("panel"))
+    keys = ["specificity", "panel"]
+    found = estimates(grid_rows(calls, known, grid, keys), keys)
+    real = F.broadcast(known.agg((F.sum("hits") / F.sum("size")).alias("truth")))  # one row
+    out = found.crossJoin(real)
+    return out.select(*keys, "estimate", (F.col("estimate") - F.col("truth")).alias("bias"), ((F.col("truth") >= F.col("low")) & (F.col("truth") <= F.col("high"))).alias("covered"))
+
+
+def curve_scopes(frames: dict[str, DataFrame], shares: int, seed: str) -> DataFrame:
+    """Estimates of each scope's frame from its own proportional sample of one in ``shares``, in one plan."""
+    every = reduce(DataFrame.unionByName, [f.withColumn("label", F.lit(k)) for k, f in frames.items()])
+    sizes = every.groupBy("label", "band").agg(F.count(F.lit(1)).alias("size"))
+    order = Window.partitionBy("label", "band", "_part").orderBy("_u", "view_id")
+    marked = every.join(F.broadcast(sizes), ["label", "band"]).withColumn("_most", F.ceil(F.col("size") / shares))  # a row a scope and band
+    marked = marked.withColumn("_u", uniform(seed, F.col("view_id"))).withColumn("_part", F.pmod(F.xxhash64("view_id"), F.lit(64)))
+    few = marked.withColumn("_r", F.row_number().over(order)).where("_r <= _most")
+    whole = Window.partitionBy("label", "band").orderBy("_u", "view_id")  # at most 64 times the draws
+    got = few.withColumn("_r", F.row_number().over(whole)).where("_r <= _most").groupBy("label", "band").agg(F.count(F.lit(1)).alias("n"), F.count_if("violative").alias("k"))
+    share = sizes.withColumn("share", F.col("size") / F.sum("size").over(Window.partitionBy("label")))  # five rows a scope
+    return estimates(share.join(got, ["label", "band"]), ["label"]).select("label", "estimate", "low", "high", "drawn")
+
+
+def stratum_lines(rows: DataFrame) -> DataFrame:
+    """The stratum table as text, a line a band in their order: name, size, draws, calls, share and rate."""
+    p = F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0)
+    place = F.array_position(F.array(*map(F.lit, BANDS)), F.col("band"))
+    line = F.format_string("%-10s %10d %8d %6d  %.4f  %.4f", "band", "size", "n", "k", F.round(F.col("share"), 4), F.round(p, 4))
+    return rows.select(place.alias("place"), line.alias("line"))
 
 
 def minutes(steps: DataFrame, cases: int, variation: float = 0.5) -> DataFrame:

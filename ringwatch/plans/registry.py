@@ -333,40 +333,104 @@ def estimate_stratified(p):
     return measurement.estimate(_stratified(p))
 
 
-_BOOT = 200
+_BOOT = 2000
 
 
-@query(f"""WITH {_ROWS}, t AS (SELECT replicate, band, share, n, count(*) FILTER (('0x' || substr(md5('b1:' || replicate || ':' || band || ':' || trial), 1, 8))::BIGINT / 4294967296.0::DOUBLE < k / n) hits
-    FROM (SELECT *, unnest(range(1, n + 1)) trial FROM (SELECT *, unnest(range(1, {_BOOT + 1})) replicate FROM strat WHERE n > 0)) GROUP BY ALL),
+def _lf(x: str) -> str:
+    """ln(x!) as in :mod:`ringwatch.operators.draws`."""
+    y = f"({x} + 8.0::DOUBLE)"
+    product = " * ".join(f"({x} + {i}.0::DOUBLE)" for i in range(1, 9))
+    return f"(({y} + 0.5::DOUBLE) * ln({y}) - {y} + 0.9189385332046727::DOUBLE + 1 / (12 * {y}) - 1 / (360 * {y} * {y} * {y}) + 1 / (1260 * {y} * {y} * {y} * {y} * {y}) - ln({product}))"
+
+
+def _cdf(source: str, n: str) -> str:
+    """``source`` with the low end and the distribution function of Binomial(n, p)."""
+    reach = f"9 * sqrt({n}::DOUBLE * p * (1 - p)) + 10"
+    chance = f"CASE WHEN p <= 0 OR p >= 1 THEN 1.0::DOUBLE ELSE exp({_lf(f'{n}::DOUBLE')} - {_lf('j::DOUBLE')} - {_lf(f'({n} - j)::DOUBLE')} + j * ln(p) + ({n} - j) * ln(1 - p)) END"
+    return f"""(SELECT *, list_transform(range(1, len(chances) + 1), lambda i: list_sum(chances[1:i])) upto FROM (SELECT *, list_transform(range(low, high + 1), lambda j: {chance}) chances FROM (
+        SELECT *, CASE WHEN p <= 0 OR p >= 1 THEN round({n} * p)::BIGINT ELSE greatest(0, floor({n} * p - ({reach})))::BIGINT END low, CASE WHEN p <= 0 OR p >= 1 THEN round({n} * p)::BIGINT ELSE least({n}, ceil({n} * p + {reach}))::BIGINT END high FROM {source})))"""
+
+
+def _at(u: str) -> str:
+    return f"least(low + len(list_filter(upto, lambda c: c <= {u})), high)"
+
+
+def _uniform(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"""WITH {_ROWS}, known AS MATERIALIZED {_cdf("(SELECT *, k / n p FROM strat WHERE n > 0)", "n")},
+    t AS (SELECT replicate, band, share, n, {_at("u")} hits FROM (SELECT *, {_uniform("'b1:' || replicate || ':' || band")} u FROM (SELECT *, unnest(range(1, {_BOOT + 1})) replicate FROM known))),
     m AS (SELECT replicate, {_ADD('share * hits / n')} x FROM t GROUP BY 1)
     SELECT round(quantile_cont(x, 0.025), 10) low, round(quantile_cont(x, 0.975), 10) high, count(*) replicates FROM m""")
 def bootstrap_interval(p):
     return measurement.bootstrap(_stratified(p), _BOOT, "b1").withColumns({c: F.round(c, 10) for c in ("low", "high")})
 
 
+@query(f"WITH {_ROWS}, v AS (SELECT sum({_V}) a, sum(CASE WHEN n > 0 THEN share * share * {_P} * (1 - {_P}) / n ELSE 0 END) b FROM strat) SELECT round(CASE WHEN a > 0 THEN sqrt(b / a) END, 9) ratio FROM v")
+def bootstrap_width_ratio(p):
+    return measurement.width_ratio(_stratified(p)).select(F.round("ratio", 9).alias("ratio"))
+
+
+@query(f"""WITH {_ROWS} SELECT list_position([{', '.join(repr(b) for b in measurement.BANDS)}], band)::BIGINT place, printf('%-10s %10d %8d %6d  %.4f  %.4f', band, size, n, k, round(share, 4), round({_P}, 4)) line FROM strat""")
+def stratum_table(p):
+    return measurement.stratum_lines(_stratified(p))
+
+
+def _frames(p):
+    return {s: stored(_frame(p, s), f"frame-{s}") for s in _TRUTHS}
+
+
+#: A proportional sample of ``total`` by largest remainders (no band here is out of bounds), and estimates of each point of a grid.
+def _estimates(keys: str) -> str:
+    return f"""SELECT {keys}, {_ADD(f'share * {_P}')} estimate, sqrt({_ADD(_V)}) se, sum(n)::BIGINT drawn FROM cells GROUP BY {keys}"""
+
+
+_LOW, _HIGH = (f"{g}({e}::DOUBLE, estimate {sign} 1.959963984540054::DOUBLE * se)" for g, e, sign in (("greatest", 0, "-"), ("least", 1, "+")))
+_SCOPES = " UNION ALL ".join(f"(WITH {_FRAME.format(t)} SELECT '{k}' label, * FROM frame)" for k, t in _TRUTHS.items())
+
+
+@query(f"""WITH every AS ({_SCOPES}), sizes AS (SELECT label, band, count(*) size FROM every GROUP BY ALL),
+    got AS (SELECT label, band, count(*) n, count(*) FILTER (violative) k FROM (SELECT e.*, size, row_number() OVER (PARTITION BY label, band ORDER BY {_uniform("'c1:' || view_id")}, view_id) r FROM every e JOIN sizes USING (label, band)) WHERE r <= ceil(size / 10) GROUP BY ALL),
+    cells AS (SELECT *, size / sum(size) OVER (PARTITION BY label) share FROM sizes JOIN got USING (label, band)), e AS ({_estimates("label")})
+    SELECT label, round(estimate, 10) estimate, round({_LOW}, 10) low, round({_HIGH}, 10) high, drawn FROM e""")
 def curve_scope(p):
     """Estimates of the three scopes, each from its own proportional sample of a tenth."""
-    out = None
-    for scope in ("baseline", "expanded", "hosted"):
-        frame = _frame(p, scope)
-        row = measurement.measure(frame, max(20, frame.count() // 10), f"curve:{scope}").select(F.lit(scope).alias("label"), "estimate", "low", "high")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return measurement.curve_scopes(_frames(p), 10, "c1").withColumns({c: F.round(c, 10) for c in ("estimate", "low", "high")})
 
 
-query()(curve_scope)
+def _drawn(p):
+    frame = stored(_frame(p), "frame")
+    return frame, stored(measurement.strata(frame), "strata")
+
+
+#: Whole shares of ``total`` by largest remainder; every band keeps its least and its size in the given tables, which a test checks.
+_PLAN = """plan AS (SELECT draws, band, size, hits, floor(x + 1e-9::DOUBLE)::BIGINT + CASE WHEN row_number() OVER (PARTITION BY draws ORDER BY x - floor(x + 1e-9::DOUBLE) DESC, place) <= draws - sum(floor(x + 1e-9::DOUBLE)) OVER (PARTITION BY draws) THEN 1 ELSE 0 END n
+    FROM (SELECT *, list_position(['lowest', 'low', 'middle', 'highest', 'no_score'], band) place, draws * (size::DOUBLE / sum(size) OVER (PARTITION BY draws)) x FROM strata, totals) WHERE size > 0)"""
+_PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY {u}, view_id) r FROM frame)"
 
 
+@query(f"""WITH {_STRATA.format(_TRUTHS['expanded'])}, totals(draws) AS (VALUES (200), (400), (800)), {_PLAN}, {_PLACED.format(u=_uniform("'n1:' || view_id"))},
+    cells AS (SELECT draws, p.band, any_value(p.size) size, any_value(p.size) / any_value(w.total) share, count(view_id) n, count(view_id) FILTER (violative) k FROM plan p JOIN (SELECT sum(size)::BIGINT total FROM strata) w ON true
+        LEFT JOIN placed f ON f.band = p.band AND f.r <= p.n GROUP BY 1, 2), e AS ({_estimates("draws")})
+    SELECT draws, round(({_HIGH} - {_LOW}) / 2, 10) half_width, round(estimate, 10) estimate, drawn FROM e""")
 def curve_sample_size(p):
-    return measurement.curve_sizes(_frame(p), [50, 100, 200], "n1")
+    return measurement.curve_sizes(*_drawn(p), [200, 400, 800], "n1").withColumns({c: F.round(c, 10) for c in ("half_width", "estimate")})
+
+
+_RIGHT = "CASE WHEN violative THEN specificity ELSE 1 - specificity END"
 
 
+@query(f"""WITH {_STRATA.format(_TRUTHS['expanded'])}, totals(draws) AS (VALUES (400)), {_PLAN}, {_PLACED.format(u=_uniform("'q1:' || view_id"))},
+    grid AS (SELECT s::DOUBLE specificity, n::INTEGER panel FROM (VALUES (0.9), (0.99)) a(s), (VALUES (1), (3)) b(n)),
+    calls AS (SELECT specificity, panel, f.band, 2 * len(list_filter(range(1, panel + 1), lambda x: {_uniform("'q1:panel:' || view_id || ':' || specificity::DECIMAL(6,4) || ':' || x")} < {_RIGHT})) > panel AS call FROM placed f JOIN plan p ON f.band = p.band AND f.r <= p.n, grid),
+    cells AS (SELECT g.specificity, g.panel, p.band, any_value(p.size) size, any_value(p.size) / any_value(w.total) share, count(c.call) n, count(*) FILTER (c.call) k FROM plan p JOIN (SELECT sum(size)::BIGINT total FROM strata) w ON true CROSS JOIN grid g
+        LEFT JOIN calls c ON c.band = p.band AND c.specificity = g.specificity AND c.panel = g.panel GROUP BY 1, 2, 3), e AS ({_estimates("specificity, panel")}), tr AS (SELECT sum(hits) / sum(size) truth FROM strata)
+    SELECT specificity, panel, round(estimate, 10) estimate, round(estimate - truth, 10) bias, truth >= {_LOW} AND truth <= {_HIGH} covered FROM e, tr""")
 def curve_rater_quality(p):
-    return measurement.curve_raters(_frame(p), 150, [0.9, 0.99], [1, 3], "q1")
+    return measurement.curve_raters(*_drawn(p), 400, [0.9, 0.99], [1, 3], "q1").withColumns({c: F.round(c, 10) for c in ("estimate", "bias")})
 
 
-query()(curve_sample_size)
-query()(curve_rater_quality)
 _STEPS = [
     ("triage and case selection", 4.0, 1.0), ("evidence gathering", 25.0, 8.0), ("memo drafting", 20.0, 7.0), ("citation and policy verification", 8.0, 3.0),
     ("human decision and sign-off", 3.0, 3.0),
@@ -420,14 +484,15 @@ def eval_macro_f1(p):
 _PAIRS = f"pairs AS (SELECT {_TRUE} truth, {_BEFORE} before, {_AFTER} after FROM documents JOIN labels USING (doc_id))"
 _DELTAS = f"""{_PAIRS}, d AS (SELECT truth, CASE WHEN coalesce(after = truth, false) THEN 1 ELSE 0 END - CASE WHEN coalesce(before = truth, false) THEN 1 ELSE 0 END d FROM pairs),
     c AS (SELECT truth threat_class, count(*) n, count(*) FILTER (d = 1) up, count(*) FILTER (d = -1) down FROM d GROUP BY 1),
-    t AS (SELECT *, unnest(range(1, n + 1)) trial FROM (SELECT *, unnest(range(1, 101)) replicate FROM c)),
-    s AS (SELECT threat_class, n, up, down, replicate, sum(CASE WHEN u < up THEN 1 WHEN u < up + down THEN -1 ELSE 0 END) / n x
-        FROM (SELECT *, ('0x' || substr(md5('e1:' || threat_class || ':' || replicate || ':' || trial), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n u FROM t) GROUP BY threat_class, n, up, down, replicate),
+    f AS MATERIALIZED {_cdf("(SELECT *, up / n p FROM c)", "n")},
+    ups AS (SELECT threat_class, n, up, down, replicate, {_at("u")} ups FROM (SELECT *, {_uniform("'e1:up:' || threat_class || ':' || replicate")} u FROM (SELECT *, unnest(range(1, {_BOOT + 1})) replicate FROM f))),
+    g AS MATERIALIZED {_cdf("(SELECT DISTINCT threat_class, ups, n - ups rest, CASE WHEN n > up THEN down / (n - up) ELSE 0 END p FROM ups)", "rest")},
+    s AS (SELECT threat_class, n, up, down, (ups - {_at("u")}) / n x FROM (SELECT *, {_uniform("'e1:down:' || threat_class || ':' || replicate")} u FROM ups JOIN (SELECT threat_class, ups, low, high, upto FROM g) USING (threat_class, ups))),
     deltas AS (SELECT threat_class, n support, (up - down) / n delta, round(quantile_cont(x, 0.025), 10) low, round(quantile_cont(x, 0.975), 10) high FROM s GROUP BY threat_class, n, up, down)"""
 
 
 def _deltas(p):
-    found = evaluation.recall_deltas(evaluation.paired(_items(p, _BEFORE), _items(p, _AFTER)), 100, "e1")
+    found = evaluation.recall_deltas(evaluation.paired(_items(p, _BEFORE), _items(p, _AFTER)), _BOOT, "e1")
     return found.withColumns({c: F.round(c, 10) for c in ("low", "high")})
 
 
