@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,28 +55,67 @@ PATTERNS = {
 BREAKS = "\x0b\x0c\x1c\x1d\x1e\x85  "
 
 
+#: What a text must hold for a family to match at all: any of the alternatives, of each alternative some literal of every group. Texts are folded first.
+NEEDED = {
+    "instruction_override": [(("ignore", "disregard", "forget", "override", "bypass"), ("instruction", "prompt", "rule", "direction", "guideline"))],
+    "role_marker": [((":",), ("system", "assistant", "user", "developer")), (("<|",), ("|>",)), (("inst]",),), (("#",), ("instruction", "system prompt"))],
+    "tool_call_mimicry": [(("<",), ("function_calls", "invoke", "tool_use", "tool_call", "antml:")), (("tool_call",),), (('"',), ("tool", "function"), (":",))],
+    "delimiter_escape": [(("---",), ("begin", "end")), (("<",), ("data", "document", "case", "content", "context"), (">",)), (("```", '"""'),)],
+    "exfiltration": [
+        (("reveal", "print", "repeat", "show", "output", "dump", "leak"), ("prompt", "instructions", "configuration", "api", "credentials", "secret")),
+        (("://",), ("send", "post", "upload", "exfiltrate", "forward")),
+    ],
+    "authority_claim": [
+        (("you",), ("are",), ("now",)), (("from",), ("now",), ("on",)), (("act",), ("as",)), (("pretend",),), (("new", "updated"), ("instruction",)), (("developer",), ("mode",)), (("admin",), ("override",)),
+        (("official", "authorized", "approved"), ("request", "instruction", "override"), ("from",)),
+    ],
+    "encoded_payload": [(("base64", "rot13", "hex"), ("decode", "encoded", ":")), (("data:text/",),)],
+}
+
+
+def _any(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts)
+
+
+def screened(records: DataFrame) -> DataFrame:
+    """``records`` with ``_may``, an array that tells for each family whether its pattern can match.
+
+    Case is folded as the patterns' matching does (long s, dotless i and the Kelvin sign included), so no match is lost.
+    """
+    df = records.withColumn("_folded", F.replace(F.lower(F.upper("text")), F.lit("\u0307"), F.lit("")))
+    has = lambda literal: F.col("_folded").contains(literal)
+    may = [_any([reduce(lambda a, b: a & b, [_any([has(x) for x in group]) for group in alternative]) for alternative in NEEDED[k]]) for k in PATTERNS]
+    return df.withColumn("_may", F.array(*may)).drop("_folded")
+
+
+def _pattern(family: str) -> Column:
+    return F.lit(f"(?iuU){PATTERNS[family]}")
+
+
 def counts(records: DataFrame) -> DataFrame:
-    """Matches of each family in each record, in JVM expressions."""
-    found = [F.size(F.regexp_extract_all("text", F.lit(f"(?iuU){p}"), F.lit(0))).cast("long").alias(k) for k, p in PATTERNS.items()]
-    return records.select("record_id", *found)
+    """Matches of each family in each record, in JVM expressions; a pattern runs only over texts that hold its literals."""
+    each = [F.when(F.get("_may", i), F.size(F.regexp_extract_all("text", _pattern(k), F.lit(0)))).otherwise(0).cast("long").alias(k) for i, k in enumerate(PATTERNS)]
+    return screened(records).select("record_id", *each)
 
 
 def scan(records: DataFrame) -> DataFrame:
-    """Every non-empty match: record, family, offset and length in characters, and its text."""
-
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rules = [(k, re.compile(p, re.IGNORECASE)) for k, p in PATTERNS.items()]
-        for frame in frames:
-            rows = [
-                (r, k, m.start(), m.end() - m.start(), m.group())
-                for r, t in zip(frame["record_id"], frame["text"], strict=True)
-                for k, rule in rules
-                for m in rule.finditer(t or "")
-                if m.end() > m.start()
-            ]
-            yield pd.DataFrame(rows, columns=["record_id", "pattern_id", "offset", "length", "matched_text"])
-
-    return records.select("record_id", "text").mapInPandas(find, "record_id string, pattern_id string, offset int, length int, matched_text string")
+    """Every match: record, family, offset and length in characters, and its text.
+
+    What stands between the matches tells their offsets: a match begins after all pieces and matches before it. Only records with a match reach the window
+    that adds these lengths up.
+    """
+    df = screened(records.select("record_id", "text")).where(F.array_contains("_may", True)).withColumn("_row", F.monotonically_increasing_id())
+    found = []
+    for i, k in enumerate(PATTERNS):
+        hits = F.when(F.get("_may", i), F.regexp_extract_all("text", _pattern(k), F.lit(0)))
+        gaps = F.transform(F.split("text", f"(?iuU){PATTERNS[k]}", -1), lambda x: F.length(x))
+        found.append(F.when(F.size(hits) > 0, F.struct(F.lit(k).alias("pattern_id"), hits.alias("hits"), gaps.alias("gaps"))))
+    each = df.select("_row", "record_id", F.explode(F.array_compact(F.array(*found))).alias("f"))
+    cells = F.transform("f.hits", lambda x, i: F.struct(F.get(F.col("f.gaps"), i).alias("gap"), x.alias("matched_text")))
+    rows = each.select("_row", "record_id", "f.pattern_id", F.posexplode(cells).alias("_i", "m")).withColumn("length", F.length("m.matched_text"))
+    order = Window.partitionBy("_row", "pattern_id").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum(F.col("m.gap") + F.col("length")).over(order)
+    return rows.select("record_id", "pattern_id", (upto - F.col("length")).cast("int").alias("offset"), "length", F.col("m.matched_text").alias("matched_text"))
 
 
 def merged(signals: DataFrame) -> DataFrame:

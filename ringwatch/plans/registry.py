@@ -760,31 +760,33 @@ def firewall_family_counts(p):
     return textguard.counts(_records(p)).agg(*[F.sum(k).alias(k) for k in textguard.PATTERNS])
 
 
-_SPANS = "spans(record_id, pattern_id, \"offset\", \"length\") AS (SELECT 'r' || (doc_id % 100), 'p' || (doc_id % 7), (doc_id * 37 % 1000)::INTEGER, (5 + doc_id % 40)::INTEGER FROM documents)"
-
-
-@query(f"""WITH {_SPANS}, o AS (SELECT *, max("offset" + "length") OVER (PARTITION BY record_id ORDER BY "offset", "length" DESC, pattern_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach FROM spans),
-    i AS (SELECT *, sum(CASE WHEN "offset" <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY record_id ORDER BY "offset", "length" DESC, pattern_id ROWS UNBOUNDED PRECEDING) g, row_number() OVER (PARTITION BY record_id ORDER BY "offset", "length" DESC, pattern_id) f FROM o)
-    SELECT record_id, min("offset") AS start, max("offset" + "length") AS "end", arg_min(pattern_id, f) pattern_id FROM i GROUP BY record_id, g""")
-def firewall_span_merge(p):
-    d = F.col("doc_id")
-    spans = p.raw("documents").select(F.concat(F.lit("r"), d % 100).alias("record_id"), F.concat(F.lit("p"), d % 7).alias("pattern_id"), (d * 37 % 1000).cast("int").alias("offset"), (5 + d % 40).cast("int").alias("length"))
-    return textguard.merged(spans)
+#: Matches with their offsets: what stands between them tells where they are.
+_SCAN = _RECORDS + ", hits AS (" + " UNION ALL ".join(f"SELECT record_id, '{k}' pattern_id, regexp_extract_all(text, {_sql_text('(?i)' + x)}) h, string_split_regex(text, {_sql_text('(?i)' + x)}) g FROM records" for k, x in textguard.PATTERNS.items()) + """),
+    spans AS (SELECT record_id, pattern_id, (list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in h[1:i - 1]]), 0))::INTEGER "offset", length(h[i])::INTEGER "length", h[i] matched_text FROM (SELECT *, unnest(range(1, len(h) + 1)) i FROM hits))"""
+_MERGED = """, o AS (SELECT *, max("offset" + "length") OVER (PARTITION BY record_id ORDER BY "offset", "length" DESC, pattern_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach FROM spans),
+    i AS (SELECT *, sum(CASE WHEN "offset" <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY record_id ORDER BY "offset", "length" DESC, pattern_id ROWS UNBOUNDED PRECEDING) grp, row_number() OVER (PARTITION BY record_id ORDER BY "offset", "length" DESC, pattern_id) f FROM o),
+    merged AS (SELECT record_id, min("offset") AS start, max("offset" + "length") AS "end", arg_min(pattern_id, f) pattern_id FROM i GROUP BY record_id, grp)"""
 
 
+@query(f"WITH {_SCAN} SELECT * FROM spans")
 def firewall_scan(p):
     return textguard.scan(_records(p))
 
 
+@query(f"WITH {_SCAN}{_MERGED} SELECT * FROM merged")
+def firewall_span_merge(p):
+    return textguard.merged(textguard.scan(_records(p)))
+
+
+@query(f"""WITH {_SCAN}{_MERGED}, cuts AS (SELECT record_id, list({{'s': start, 'e': "end", 'p': pattern_id}} ORDER BY start) c FROM merged GROUP BY 1),
+    src AS (SELECT 'doc_' || doc_id record_id, source, text FROM documents UNION ALL SELECT record_id, 'planted', text FROM records WHERE record_id LIKE 'planted%')
+    SELECT record_id, source, CASE WHEN c IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(c) + 1), lambda k: substr(text, CASE WHEN k = 1 THEN 1 ELSE c[k - 1].e + 1 END, c[k].s - CASE WHEN k = 1 THEN 0 ELSE c[k - 1].e END) || '[redacted:' || c[k].p || ':n0]'), '') || substr(text, c[len(c)].e + 1) END AS text
+    FROM src LEFT JOIN cuts USING (record_id)""")
 def firewall_redact(p):
     r = _records(p)
     return textguard.redact(r, textguard.merged(textguard.scan(r)), "n0")
 
 
-query()(firewall_scan)
-query()(firewall_redact)
-
-
 @query(f"WITH {_RECORDS}, d AS (SELECT * FROM records UNION ALL SELECT * FROM records WHERE record_id LIKE 'planted%') SELECT record_id, count(*) n FROM d GROUP BY 1 HAVING count(*) > 1")
 def firewall_duplicate_records(p):
     r = _records(p)
