@@ -189,19 +189,35 @@ class Postings:
         self.worth[run] = impact(tf, self.m[self.doc[run]])
         self.open[b] = True
 
-    def bounds(self, docs: np.ndarray) -> np.ndarray:
-        """The greatest impact of the block that each of ``docs`` (in order) falls in; 0 after the last."""
-        block = np.searchsorted(self.end, docs)
-        return np.append(self.peak, 0)[block]
+    def refined(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of ``docs`` (in order): the greatest impact of the block it falls in (0 after the last), and its own (0 where the term does not occur)."""
+        cuts = docs.searchsorted(self.end, side="right")
+        counts = cuts.copy()
+        counts[1:] -= cuts[:-1]
+        for b in ((counts > 0) & ~self.open).nonzero()[0].tolist():
+            self.unpack(b)
+        peaks, own = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+        peaks[: cuts[-1]] = self.peak.repeat(counts)
+        if not len(docs):
+            return peaks, own
+        if len(self.doc) <= len(docs):  # the shorter list is looked up in the longer
+            at = np.minimum(docs.searchsorted(self.doc), len(docs) - 1)
+            hit = docs[at] == self.doc
+            own[at[hit]] = self.worth[hit]
+        else:
+            at = np.minimum(self.doc.searchsorted(docs), len(self.doc) - 1)
+            hit = self.doc[at] == docs
+            own[hit] = self.worth[at[hit]]
+        return peaks, own
 
     def worths(self, docs: np.ndarray) -> np.ndarray:
-        """Impacts in ``docs`` (in order); 0 where the term does not occur."""
-        block = np.searchsorted(self.end, docs)
-        here = block < len(self.end)
-        for b in np.unique(block[here & ~np.append(self.open, True)[block]]).tolist():
-            self.unpack(b)
-        at = np.minimum(np.searchsorted(self.doc, docs), len(self.doc) - 1)
-        return np.where(here & (self.doc[at] == docs), self.worth[at], 0)
+        """Impacts in a few ``docs``; 0 where the term does not occur."""
+        block = self.end.searchsorted(docs)
+        for b in set(block.tolist()):
+            if b < len(self.open) and not self.open[b]:
+                self.unpack(b)
+        at = np.minimum(self.doc.searchsorted(docs), len(self.doc) - 1)
+        return np.where(self.doc[at] == docs, self.worth[at], 0)
 
 
 def best(terms: list[tuple[int, Postings]], ids: np.ndarray, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,13 +231,14 @@ def best(terms: list[tuple[int, Postings]], ids: np.ndarray, k: int, floor: int)
     docs = np.flatnonzero(bound >= low)
     bound = bound[docs]
     for i, (w, p) in enumerate(sorted(terms, key=lambda t: len(t[1].doc))):
-        if i % 4 == 0 and len(docs) > 2 * turn:  # the most promising documents raise the threshold
+        if i in (0, len(terms) // 4, len(terms) // 2) and len(docs) > 2 * turn:  # the most promising documents raise the threshold
             some = np.sort(docs[np.argpartition(-bound, turn)[:turn]])
             total = sum(w_ * p_.worths(some) for w_, p_ in terms)
             low = max(low, int(np.partition(total, turn - k)[turn - k]))
             keep = bound >= low
             docs, bound = docs[keep], bound[keep]
-        bound = bound + w * (p.worths(docs) - p.bounds(docs))
+        peaks, own = p.refined(docs)
+        bound = bound + w * (own - peaks)
         keep = bound >= low
         docs, bound = docs[keep], bound[keep]
     order = np.lexsort((ids[docs], -bound))[:k]
@@ -244,9 +261,9 @@ def asked(items: DataFrame) -> DataFrame:
     return saved(each.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("int")), "terms")
 
 
-def found(segments: DataFrame, terms: DataFrame, queries: dict[int, list[tuple[str, int]]], k: int, floors: dict[int, int]) -> DataFrame:
-    """(number, doc_id, score): the best k of every query in each of ``segments``."""
-    met = segments.join(F.broadcast(terms), "term", "left_semi").unionByName(segments.where("term is null"))
+def found(segments: DataFrame, terms: DataFrame, queries: dict[int, list[tuple[str, int]]], k: int, floors: dict[int, int], tasks: int) -> DataFrame:
+    """(number, doc_id, score): the best k of every query in each of ``segments``, which are dealt to ``tasks`` (few bytes, much work)."""
+    met = segments.join(F.broadcast(terms), "term", "left_semi").unionByName(segments.where("term is null")).repartition(tasks, "segment")
 
     def search(rows: pa.Table) -> pa.Table:
         term = rows.column("term").to_pylist()
@@ -278,15 +295,16 @@ def search(index: Index, items: DataFrame, k: int) -> DataFrame:
     df = saved(index.segments.where("term is not null").select("term", "df").join(wanted, "term").groupBy("term").agg(F.sum("df").alias("df")), "frequencies")
     known, parts = terms.join(df, "term"), []
     first = F.pmod(F.xxhash64("segment"), F.lit(16)) == 0
+    tasks = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.segments.where("term is null").count() // 4)
     for block in sorted(r["block"] for r in terms.select("block").distinct().collect()):
         queries: dict[int, list[tuple[str, int]]] = {}
         for r in known.where(F.col("block") == block).orderBy("number", "term").collect():
             if w := weight(index.n, r["df"]):
                 queries.setdefault(r["number"], []).append((r["term"], w))
         own = terms.where(F.col("block") == block).select("term").distinct()
-        some = saved(found(index.segments.where(first), own, queries, k, {}), "found")
+        some = saved(found(index.segments.where(first), own, queries, k, {}, tasks), "found")
         floors = {r["number"]: r["score"] for r in top(some, k).where(F.col("rank") == k).collect()}
-        parts += [some, saved(found(index.segments.where(~first), own, queries, k, floors), "found")]
+        parts += [some, saved(found(index.segments.where(~first), own, queries, k, floors, tasks), "found")]
     if not parts:
         return items.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     rows = parts[0]
