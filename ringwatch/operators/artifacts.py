@@ -6,6 +6,7 @@ import csv
 import io
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,23 +25,34 @@ def rounded(x: Column, places: int) -> Column:
     The fraction times 10 ** places is taken as an exact sum of two doubles (a product and its error), so a tie is told from a near tie. The
     result is put together as a decimal and read back as the nearest double. Infinite, NaN and null values stay.
     """
-    scale = float(10**places)
-    size = F.abs(x)
-    whole = F.floor(size)
-    part = size - whole
-    product = part * scale
-    high = part * _SPLIT - (part * _SPLIT - part)
-    low = part - high
+    scale, whole, part = float(10**places), "whole", "part"
     s_high = scale * _SPLIT - (scale * _SPLIT - scale)
     s_low = scale - s_high
-    error = ((high * s_high - product) + high * s_low + low * s_high) + low * s_low
-    floor = F.floor(product)
-    rest = product - floor
-    odd = (floor if places else floor + whole) % 2 == 1
-    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd)))
-    near = floor + F.when(up, 1).otherwise(0)
-    digits = near.cast(f"decimal({places + 2},0)") / F.lit(10**places).cast(f"decimal({places + 1},0)")
-    back = (F.when(size < _WHOLE, whole).cast("decimal(16,0)") + digits.cast(f"decimal({places + 2},{places})")).cast("double")
+
+    def split(size: Column) -> Column:
+        low = F.floor(F.when(size < _WHOLE, size).otherwise(0.0))
+        return F.struct(low.alias(whole), (size - low).alias(part))
+
+    def multiplied(v: Column) -> Column:
+        high = v[part] * _SPLIT - (v[part] * _SPLIT - v[part])
+        return F.struct(v[whole], v[part], (v[part] * scale).alias("product"), high.alias("high"), (v[part] - high).alias("low"))
+
+    def exact(v: Column) -> Column:
+        error = ((v["high"] * s_high - v["product"]) + v["high"] * s_low + v["low"] * s_high) + v["low"] * s_low
+        return F.struct(v[whole], v["product"], error.alias("error"), F.floor(v["product"]).alias("floor"))
+
+    def near(v: Column) -> Column:
+        rest = v["product"] - v["floor"]
+        odd = (v["floor"] if places else v["floor"] + v[whole]) % 2 == 1
+        up = (rest > 0.5) | ((rest == 0.5) & ((v["error"] > 0) | ((v["error"] == 0) & odd)))
+        digits = (v["floor"] + F.when(up, 1).otherwise(0)).cast(f"decimal({places + 2},0)") / F.lit(10**places).cast(f"decimal({places + 1},0)")
+        return (v[whole].cast("decimal(16,0)") + digits.cast(f"decimal({places + 2},{places})")).cast("double")
+
+    def then(v: Column, f: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(v), f), 0)  # a name for v, so that the expression does not grow with every use of it
+
+    size = F.abs(x)
+    back = then(then(then(then(size, split), multiplied), exact), near)
     plain = x.isNull() | F.isnan(x) | (size >= _WHOLE)
     return F.when(plain, x).otherwise(F.when(x < 0, -back).otherwise(back))
 

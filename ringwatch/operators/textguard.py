@@ -82,7 +82,7 @@ def screened(records: DataFrame) -> DataFrame:
 
     Case is folded as the patterns' matching does (long s, dotless i and the Kelvin sign included), so no match is lost.
     """
-    df = records.withColumn("_folded", F.replace(F.lower(F.upper("text")), F.lit("\u0307"), F.lit("")))
+    df = records.withColumn("_folded", F.translate(F.lower("text"), "\u017f\u0131\u0307", "si"))
     has = lambda literal: F.col("_folded").contains(literal)
     may = [_any([reduce(lambda a, b: a & b, [_any([has(x) for x in group]) for group in alternative]) for alternative in NEEDED[k]]) for k in PATTERNS]
     return df.withColumn("_may", F.array(*may)).drop("_folded")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ringwatch.operators import corpus, dataquality, evalset, evaluation, graph, investigation, ledger, measurement, pivots, textguard, triage
+from ringwatch.operators import artifacts, corpus, dataquality, evalset, evaluation, graph, investigation, ledger, measurement, pivots, textguard, triage
 from ringwatch.plans.oracle import with_views
 from ringwatch.sources.platform import Platform
 from ringwatch.sources.scratch import stored
@@ -506,9 +507,18 @@ def eval_detectable_drop(p):
     return evaluation.detectable(_deltas(p))
 
 
-@query(f"WITH {_DELTAS} SELECT CASE WHEN delta < -0.25 THEN 'recall_regression' ELSE 'recall_not_excluded' END code, threat_class subject, low AS value FROM deltas WHERE low < -0.25 UNION ALL SELECT 'unparseable', 'all', 2::DOUBLE")
+def _macro(rule: str, name: str) -> str:
+    inner = f"{_ITEMS.format(_TRUE, rule)}, {_METRICS}"
+    return f"{name} AS (WITH {inner} SELECT avg(f1) f, (SELECT count(*) FROM items WHERE predicted IS NULL) lost FROM metrics WHERE support > 0)"
+
+
+@query(f"""WITH {_DELTAS}, {_macro(_AFTER, "old")}, {_macro(_BEFORE, "new")} SELECT CASE WHEN delta < -0.25 THEN 'recall_regression' ELSE 'recall_not_excluded' END code, threat_class subject, low AS value FROM deltas WHERE low < -0.25
+    UNION ALL SELECT 'macro_f1_regression', 'all', round(new.f - old.f, 9) FROM old, new WHERE old.f - new.f > 0.10 UNION ALL SELECT 'unparseable', 'all', lost::DOUBLE FROM new WHERE lost > 0""")
 def gate_breaches(p):
-    return evaluation.breaches(_deltas(p), 0.5, 0.5, 2)
+    """The candidate is the weaker rule here, so the gate has something to refuse."""
+    macro = lambda rule: evaluation.macro_f1(evaluation.class_metrics(_items(p, rule), _CLASSES)).first()["macro_f1"]  # noqa: E731  one number
+    lost = _items(p, _BEFORE).where("predicted IS NULL").count()
+    return evaluation.breaches(_deltas(p), macro(_AFTER), macro(_BEFORE), lost).withColumn("value", F.round("value", 9))
 
 
 @query(f"{_metrics_sql(_BEFORE)} SELECT threat_class, support FROM metrics")
@@ -566,9 +576,18 @@ def evidence_timeline(p):
     return _pack(p).events
 
 
-@query("SELECT 'none' code, 'none' subject WHERE false")
+@query(f"""WITH {_HOPS}, lost AS (SELECT DISTINCT node_id FROM raw WHERE kind = 'account' AND right(node_id, 1) = '3'), twice AS (SELECT DISTINCT node_id FROM raw WHERE kind = 'video' AND right(node_id, 1) = '1'),
+    ev AS (SELECT 'ev:engagement:' || account_id || ':' || target_id || ':' || kind event_id, account_id node_id FROM h2 UNION ALL SELECT 'ev:signal:' || peer_id || ':' || signal_type || ':' || signal_value, peer_id FROM h3)
+    SELECT 'loose_source_id' code, edge_id subject FROM edges WHERE source_id IN (SELECT node_id FROM lost) UNION ALL SELECT 'loose_target_id', edge_id FROM edges WHERE target_id IN (SELECT node_id FROM lost)
+    UNION ALL SELECT DISTINCT 'loose_event', event_id FROM ev WHERE node_id IN (SELECT node_id FROM lost) UNION ALL SELECT 'duplicate_id', node_id FROM twice UNION ALL SELECT 'hop_gap', '3'""")
 def pack_integrity_violations(p):
-    return graph.violations(_pack(p))
+    """The evidence pack after damage: accounts gone, videos doubled, the record of one hop lost."""
+    made = _pack(p)
+    pack = graph.Pack(*[stored(x, "pack") for x in (made.nodes, made.edges, made.events, made.provenance)])
+    gone = (F.col("kind") == "account") & F.col("node_id").endswith("3")
+    twice = pack.nodes.where((F.col("kind") == "video") & F.col("node_id").endswith("1"))
+    damaged = graph.Pack(pack.nodes.where(~gone).unionByName(twice), pack.edges, pack.events, pack.provenance.where("hop_index <> 2"))
+    return graph.violations(damaged)
 
 
 @query("""SELECT ring_id, threat_class, entity_kind, count(*) members FROM (SELECT DISTINCT ring_id, threat_class, entity_kind, entity_id FROM sealed_labels WHERE ring_id IS NOT NULL) GROUP BY ALL""")
@@ -858,13 +877,16 @@ def citation_quotation_match(p):
     return corpus.quotations(p.raw("documents"), p.raw("benchmark")).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
-_CLAIMS = "claims AS (SELECT doc_id claim_id, CASE WHEN doc_id % 4 = 0 THEN 'no ids' ELSE 'see [ev' || (doc_id % 9) || '] and [ev' || (doc_id % 5) || '] and [x:' || (doc_id % 3) || ']' END txt FROM documents)"
+#: A claim a hop: what it asked about and one account, which the pack may lack; every fourth cites nothing.
+_CLAIMS = _EXPLORED + f""", hops AS (SELECT DISTINCT seed, hop_index, subject FROM w{_WAVES - 1}),
+    claims AS (SELECT seed || ':' || hop_index claim_id, seed, CASE WHEN hop_index % 4 = 0 THEN 'no ids' ELSE 'asked about [' || subject || '] beside [acct_' || (hop_index * 37 % 100) || ']' END txt FROM hops)"""
 
 
 def _claims(p):
-    d = F.col("doc_id")
-    text = F.when(d % 4 == 0, "no ids").otherwise(F.concat(F.lit("see [ev"), d % 9, F.lit("] and [ev"), d % 5, F.lit("] and [x:"), d % 3, F.lit("]")))
-    return p.raw("documents").select(d.alias("claim_id"), text.alias("text"))
+    _, nodes, hops = _explored(p)
+    n = F.col("hop_index")
+    text = F.when(n % 4 == 0, "no ids").otherwise(F.concat(F.lit("asked about ["), "subject", F.lit("] beside [acct_"), (n * 37) % 100, F.lit("]")))
+    return nodes, hops.select(F.concat_ws(":", "seed", n).alias("claim_id"), "seed", text.alias("text"))
 
 
 _IDS = r"list_sort(list_distinct(regexp_extract_all(txt, '\[([A-Za-z0-9._:-]+)\]', 1)))"
@@ -872,14 +894,92 @@ _IDS = r"list_sort(list_distinct(regexp_extract_all(txt, '\[([A-Za-z0-9._:-]+)\]
 
 @query(f"WITH {_CLAIMS} SELECT claim_id, array_to_string({_IDS}, ',') ids FROM claims")
 def citation_ids(p):
-    return _claims(p).select("claim_id", F.array_join(corpus.cited(F.col("text")), ",").alias("ids"))
+    return _claims(p)[1].select("claim_id", F.array_join(corpus.cited(F.col("text")), ",").alias("ids"))
 
 
-@query(f"""WITH {_CLAIMS}, i AS (SELECT claim_id, {_IDS} ids, list_filter({_IDS}, lambda x: x LIKE 'ev%' AND right(x, 1)::INTEGER >= 6 OR x = 'x:2') lost FROM claims)
-    SELECT claim_id, CASE WHEN len(ids) = 0 THEN 'no_evidence_cited' WHEN len(lost) > 0 THEN 'unresolvable_evidence_id' ELSE 'verified' END code, array_to_string(lost, ',') unresolved FROM i""")
+@query(f"""WITH {_CLAIMS}, each AS (SELECT claim_id, seed, unnest({_IDS}) id FROM claims), lost AS (SELECT claim_id, list_sort(list(id)) lost FROM each WHERE NOT EXISTS (SELECT 1 FROM n{_WAVES} n WHERE n.seed = each.seed AND n.node_id = id) GROUP BY 1)
+    SELECT claim_id, CASE WHEN len({_IDS}) = 0 THEN 'no_evidence_cited' WHEN lost IS NOT NULL THEN 'unresolvable_evidence_id' ELSE 'verified' END code, coalesce(array_to_string(lost, ','), '') unresolved FROM claims LEFT JOIN lost USING (claim_id)""")
 def claim_verification(p):
-    known = F.explode(F.array(*[F.lit(f"ev{i}") for i in range(6)], F.lit("x:0"), F.lit("x:1"))).alias("evidence_id")
-    return corpus.claims(_claims(p), p.raw("documents").select(F.col("doc_id").alias("claim_id"), known))
+    nodes, claims = _claims(p)
+    claims = stored(claims, "claims")
+    return corpus.claims(claims, claims.select("claim_id", "seed").join(nodes, "seed").select("claim_id", F.col("node_id").alias("evidence_id")))
+
+
+#: What a model might say of the ranked queue: every third line cites the case ranked before, every fifth nothing; a draft for each case, some of them faulty.
+
+
+def _said(p):
+    """The ranked cases, and one output with a line a case."""
+    cases = stored(triage.ranked(_cases(p)), "ranked")
+    before = F.lag("case_id").over(Window.orderBy("rank"))  # at most 25 rows
+    line = F.concat(F.col("case_id"), F.lit(": priority of this case rests on "), F.when(F.col("rank") % 5 == 0, F.lit("nothing")).otherwise(F.concat(F.lit("["), F.when(F.col("rank") % 3 == 0, before).otherwise(F.col("case_id")), F.lit(":spread]"))))
+    lines = cases.select("rank", line.alias("line"))
+    return cases, lines.agg(F.lit(1).alias("output_id"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query(f"""WITH {_QUEUE} SELECT case_id, CASE WHEN rank % 5 = 0 THEN 'no_evidence_cited' WHEN rank % 3 = 0 THEN 'unresolvable_evidence_id' ELSE 'verified' END code,
+    CASE WHEN rank % 3 = 0 AND rank % 5 <> 0 THEN before || ':spread' ELSE '' END unresolved FROM (SELECT *, lag(case_id) OVER (ORDER BY rank) before FROM ranked)""")
+def rationale_verification(p):
+    cases, said = _said(p)
+    return corpus.rationale_checks(cases, corpus.rationale_lines(said), list(triage.WEIGHTS))
+
+
+_QUOTE = "array_to_string(string_split((SELECT min_by(text, item_id) FROM bench), ' ')[1:{}], ' ')"
+
+
+@query(f"""WITH bench AS (SELECT item_id, {_PLAIN.format("text")} AS text FROM benchmark), {_QUEUE} SELECT case_id memo_id, f.place::INTEGER place, f.code FROM ranked, (VALUES
+    (0, 'unresolvable_evidence_id', 2), (1, 'phantom_anchor', 3), (1, 'excerpt_too_short', 4), (-1, 'lacks_redress', 5)) f(place, code, m) WHERE rank % f.m = 0 AND NOT (f.m = 4 AND rank % 3 = 0)""")
+def memo_verification(p):
+    """A draft a case: every second cites another case's spread, every third an unknown anchor, every fourth too short an excerpt, every fifth names no redress."""
+    cases = stored(triage.ranked(_cases(p)), "ranked")
+    plain = p.raw("benchmark").select("item_id", F.trim(F.regexp_replace("text", r"[\x09-\x0D\x20]+", " ")).alias("text"))
+    clause = plain.agg(F.min_by("text", "item_id").alias("text")).select(F.lit("a1").alias("anchor_id"), "text")
+    r, w = F.col("rank"), F.split("text", " ")
+    fact = F.concat(F.lit("FACT: spread is high ["), F.when(r % 2 == 0, F.concat("case_id", F.lit("x"))).otherwise(F.col("case_id")), F.lit(":spread]"))
+    ground = F.concat(F.lit("GROUND: anchor="), F.when(r % 3 == 0, "a9").otherwise("a1"), F.lit(" | excerpt="), F.array_join(F.slice(w, F.lit(1), F.when(r % 4 == 0, 3).otherwise(6)), " "), F.lit(" | we rely on this"))
+    text = F.concat_ws("\n", fact, ground, F.lit("MEASURE: removal"), F.when(r % 5 != 0, F.lit("REDRESS: appeal within six months")))
+    drafts = cases.crossJoin(F.broadcast(clause)).select(F.col("case_id").alias("memo_id"), text.alias("text"))  # one row
+    evidence = cases.select(F.col("case_id").alias("memo_id"), F.concat("case_id", F.lit(":spread")).alias("evidence_id"))
+    return corpus.memo_faults(drafts.select("memo_id"), corpus.draft_lines(drafts), evidence, clause)
+
+
+_TRIES = """SELECT conv_id memo_id, turn attempt, CASE WHEN turn % 4 = 3 THEN 'verified' ELSE 'rejected' END outcome, {} flags FROM {}"""
+
+
+@query(f"""WITH a AS ({_TRIES.format("CASE WHEN turn % 4 = 3 THEN []::VARCHAR[] WHEN conv_id % 2 = 0 THEN ['f' || (conv_id % 3)] ELSE ['f' || (conv_id % 3), 'g' || turn % 2] END", "conversations")})
+    SELECT memo_id, count(*) FILTER (outcome <> 'verified') rejected_attempts, (SELECT count(DISTINCT f) FROM (SELECT unnest(flags) f FROM a b WHERE b.memo_id = a.memo_id)) distinct_defects,
+    count(DISTINCT CASE WHEN len(flags) > 0 THEN list_sort(flags)::VARCHAR END) > 1 OR (count(*) FILTER (len(flags) > 0) > 0 AND count(*) FILTER (outcome = 'verified') > 0) revised FROM a GROUP BY memo_id""")
+def memo_attempts(p):
+    flags = "CASE WHEN turn % 4 = 3 THEN CAST(array() AS array<string>) WHEN conv_id % 2 = 0 THEN array(concat('f', conv_id % 3)) ELSE array(concat('f', conv_id % 3), concat('g', turn % 2)) END"
+    return corpus.attempt_summary(p.spark.sql(_TRIES.format(flags, "{conversations}"), conversations=p.raw("conversations")))
+
+
+_PLAIN_TITLE = "trim(regexp_replace(" + "replace(" * 6 + "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)" + "".join(f", '{a}', '{b}')" for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&"))) + r", '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_PLAIN_TITLE} title FROM pages")
+def page_titles(p):
+    return corpus.titles(p.raw("pages"))
+
+
+# --- artifacts ----------------------------------------------------------------------------------
+
+
+@query(f"WITH {_QUEUE} SELECT case_id, " + ", ".join(f"printf('%.{d}f', {c})::DOUBLE {c}_{d}" for c in (*triage.WEIGHTS, "priority") for d in (4, 6)) + " FROM ranked")
+def artifact_scores(p):
+    return triage.ranked(_cases(p)).select("case_id", *[artifacts.rounded(F.col(c), d).alias(f"{c}_{d}") for c in (*triage.WEIGHTS, "priority") for d in (4, 6)])
+
+
+@query("""SELECT event_id, '{"props":' || replace(props, ' ', '') || ',"type":"' || event_type || '","user":' || user_id || '}' canonical, sha256(canonical) digest FROM events""")
+def event_payload_digests(p):
+    raw = F.concat(F.lit('{ "user": '), "user_id", F.lit(', "type" :"'), "event_type", F.lit('",\n "props": '), "props", F.lit("}"))
+    return p.raw("events").select("event_id", artifacts.canonical_json(raw).alias("canonical"), artifacts.json_digest(raw).alias("digest"))
+
+
+@query("""SELECT account_id, '{' || CASE WHEN device_fingerprint_hint IS NULL THEN '' ELSE '"device_fingerprint_hint":"' || device_fingerprint_hint || '",' END || '"is_verified":"' || is_verified::VARCHAR || '","signup_ip_bucket":"' || signup_ip_bucket || '"}' attributes FROM account_meta""")
+def account_attributes(p):
+    a = p.account_meta
+    return a.select("account_id", F.to_json(artifacts.attributes({c: F.col(c) for c in ("device_fingerprint_hint", "is_verified", "signup_ip_bucket")})).alias("attributes"))
 
 
 # --- data quality -------------------------------------------------------------------------------
