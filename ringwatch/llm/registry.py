@@ -48,7 +48,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85).drop("n_links")
+    return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,9 @@ _JACCARD = """WITH RECURSIVE
     links AS (SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n_shingles + b.n_shingles - c)),
     near AS (SELECT x a, y b FROM links UNION ALL SELECT y, x FROM links),
     reach AS (SELECT a x, a y FROM near UNION SELECT r.x, n.b FROM reach r JOIN near n ON n.a = r.y),
-    least AS (SELECT x class_id, min(y) least FROM reach GROUP BY 1)
-    SELECT doc_id, n_shingles, coalesce(least, class_id) component_id, class_id FROM sizes LEFT JOIN least USING (class_id)"""
+    least AS (SELECT x class_id, min(y) least FROM reach GROUP BY 1),
+    degree AS (SELECT a class_id, count(*) n_links FROM near GROUP BY 1)
+    SELECT doc_id, n_shingles, coalesce(least, class_id) component_id, class_id, coalesce(n_links, 0) n_links FROM sizes LEFT JOIN least USING (class_id) LEFT JOIN degree USING (class_id)"""
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
