@@ -19,6 +19,12 @@ from ringwatch.operators.ledger import canonical
 RECOVERABLE, BUDGETS = ("account", "channel", "video"), (5, 10, 20)
 #: Which pivots each kind of entity offers, in order.
 OFFERS = {"channel": ("account_link", "engagement_edge", "infra_overlap"), "account": ("infra_overlap", "shared_metadata"), "video": (), "comment": ()}
+#: The order of each pivot's rows; a minus marks a descending column.
+ORDERS = {
+    "shared_metadata": ("metadata_field", "peer_account_id"), "temporal_correlation": ("posted_ms", "comment_id"), "engagement_edge": ("-event_count", "account_id", "target_id", "kind"),
+    "infra_overlap": ("signal_type", "peer_id", "signal_value", "peer_kind"), "account_link": ("-weight", "account_id", "relation"),
+}
+RELATIONS = ("owns", "linked_to", "published_on", "commented_on", "engaged_with", "shares_infra_signal", "shares_metadata")
 NODE = "node_id string, kind string, hop_index int"
 EDGE = "edge_id string, source_id string, target_id string, relation string, hop_index int"
 EVENT = "event_id string, kind string, node_id string, ts_ms long, hop_index int"
@@ -91,7 +97,7 @@ def first_wins(new: DataFrame, old: DataFrame, key: str, order: str) -> DataFram
 
 def fold(pack: Pack, pivot: str, subject: str, rows: DataFrame, hop: int, param_hash: str) -> Pack:
     """The pack after a hop. ``rows`` are in the pivot's order and at most its limit."""
-    order = Window.orderBy(*[F.col(c) for c in rows.columns])  # at most 200 rows; a pivot's rows are set by its limit, their order by their values
+    order = Window.orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.col(c) for c in ORDERS[pivot]])  # at most 200 rows
     numbered = rows.withColumn("_row", F.row_number().over(order))
     out = {}
     for name, key, structs in zip(("nodes", "edges", "events"), ("node_id", "edge_id", "event_id"), mapped(pivot, subject), strict=True):
@@ -106,14 +112,15 @@ def fold(pack: Pack, pivot: str, subject: str, rows: DataFrame, hop: int, param_
     return replace(pack, **out, provenance=pack.provenance.unionByName(entry))
 
 
-def execute(platform, pivot: str, subject: str, limit: int = 25) -> DataFrame:
-    """A pivot on a subject with the traversal's standing parameters."""
+def execute(platform, pivot: str, subject: str, limit: int = 25, anchor_ms: int = 0, hours: int = pivots.MAX_HOURS) -> DataFrame:
+    """A pivot on a subject with the traversal's standing parameters; the instant matters to ``temporal_correlation`` alone."""
     p = platform
     runs: dict[str, Callable[[], DataFrame]] = {
         "account_link": lambda: pivots.account_link(p.channel, p.comment, p.video, subject, 1, limit),
         "engagement_edge": lambda: pivots.engagement_edge(p.engagement_event, p.video, subject, "any", 1, limit),
         "infra_overlap": lambda: pivots.infra_overlap(p.infra_hint, subject, limit),
         "shared_metadata": lambda: pivots.shared_metadata(p.account_meta, subject, "any", limit),
+        "temporal_correlation": lambda: pivots.temporal_correlation(p.comment, p.video, subject, anchor_ms, hours, limit),
     }
     return runs[pivot]()
 
@@ -152,13 +159,14 @@ def frontier(platform, nodes: DataFrame, limit: int = 25) -> DataFrame:
 
 
 def violations(pack: Pack) -> DataFrame:
-    """Everything wrong with a pack: loose edges and events, self edges, gaps in hops, duplicate ids."""
+    """Everything wrong with a pack: loose edges and events, self edges, unknown relations, gaps in hops, duplicate ids."""
     ids = pack.nodes.select("node_id")
     loose = lambda side: pack.edges.join(ids, pack.edges[side] == ids["node_id"], "left_anti").select(F.lit(f"loose_{side}").alias("code"), F.col("edge_id").alias("subject"))
     twice = lambda df, key: df.groupBy(key).count().where("count > 1").select(F.lit("duplicate_id").alias("code"), F.col(key).alias("subject"))
     gaps = pack.provenance.agg(F.count(F.lit(1)).alias("n"), F.max("hop_index").alias("m")).where("n <> m + 1").select(F.lit("hop_gap").alias("code"), F.col("m").cast("string").alias("subject"))
     parts = [
         loose("source_id"), loose("target_id"), pack.events.join(ids, "node_id", "left_anti").select(F.lit("loose_event").alias("code"), F.col("event_id").alias("subject")),
+        pack.edges.where(~F.col("relation").isin(*RELATIONS)).select(F.lit("unknown_relation").alias("code"), F.col("edge_id").alias("subject")),
         pack.edges.where("source_id = target_id").select(F.lit("self_edge").alias("code"), F.col("edge_id").alias("subject")), twice(pack.nodes, "node_id"), twice(pack.edges, "edge_id"), gaps,
     ]
     out = parts[0]

@@ -595,6 +595,21 @@ def ring_membership(p):
     return graph.rings(p.labels).groupBy("ring_id", "threat_class", "entity_kind").agg(F.count(F.lit(1)).alias("members"))
 
 
+@query(f"""WITH {_HOPS}, h4 AS (SELECT c.account_id, video_id, comment_id, posted_ms FROM comment c JOIN video USING (video_id) WHERE channel_id = 'chan_5' AND posted_ms BETWEEN {ANCHOR_MS} - 604800000 AND {ANCHOR_MS} + 604800000 ORDER BY posted_ms, comment_id LIMIT 25),
+    h5 AS (SELECT p.account_id, f FROM (SELECT account_id, 'device_fingerprint_hint' f, device_fingerprint_hint v FROM account_meta UNION ALL SELECT account_id, 'signup_ip_bucket', signup_ip_bucket FROM account_meta) p
+        JOIN (SELECT 'device_fingerprint_hint' f, device_fingerprint_hint v FROM account_meta WHERE account_id = 'acct_5' UNION ALL SELECT 'signup_ip_bucket', signup_ip_bucket FROM account_meta WHERE account_id = 'acct_5') s USING (f, v) WHERE p.account_id <> 'acct_5' ORDER BY f, p.account_id LIMIT 25),
+    every AS (SELECT node_id, kind, hop_index FROM raw UNION ALL SELECT video_id, 'video', 4 FROM h4 UNION ALL SELECT account_id, 'account', 4 FROM h4 UNION ALL SELECT account_id, 'account', 5 FROM h5),
+    rows_(hop_index, n) AS (SELECT 0, 1 UNION ALL SELECT 1, count(*) FROM h1 UNION ALL SELECT 2, count(*) FROM h2 UNION ALL SELECT 3, count(*) FROM h3 UNION ALL SELECT 4, count(*) FROM h4 UNION ALL SELECT 5, count(*) FROM h5)
+    SELECT hop_index::INTEGER hop_index, n row_count, (SELECT count(*) FROM (SELECT node_id, min(hop_index) h FROM every GROUP BY 1) m WHERE m.h = rows_.hop_index) new_nodes FROM rows_""")
+def evidence_provenance(p):
+    """All five pivots on one channel and its owner: the rows of each hop, and how many entities it was the first to find."""
+    pack = _pack(p)
+    for hop, (pivot, subject) in enumerate((("temporal_correlation", CHANNEL), ("shared_metadata", "acct_5")), 4):
+        pack = graph.fold(pack, pivot, subject, graph.execute(p, pivot, subject, anchor_ms=ANCHOR_MS), hop, "")
+    new = stored(pack.nodes, "nodes").groupBy("hop_index").agg(F.count(F.lit(1)).alias("new_nodes"))
+    return pack.provenance.select("hop_index", "row_count").join(new, "hop_index", "left").fillna(0, ["new_nodes"])
+
+
 #: Pivots of every possible subject, cut to 25 rows, and the waves of all rings' investigations over them.
 _WAVES = 4
 _EXPLORED = f"""members AS (SELECT DISTINCT ring_id, threat_class, entity_kind, entity_id FROM sealed_labels WHERE ring_id IS NOT NULL),
