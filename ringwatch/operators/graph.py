@@ -159,14 +159,13 @@ def frontier(platform, nodes: DataFrame, limit: int = 25) -> DataFrame:
 
 
 def violations(pack: Pack) -> DataFrame:
-    """Everything wrong with a pack: loose edges and events, self edges, unknown relations, gaps in hops, duplicate ids."""
+    """Everything wrong with a pack: loose edges and events, self edges, gaps in hops, duplicate ids."""
     ids = pack.nodes.select("node_id")
     loose = lambda side: pack.edges.join(ids, pack.edges[side] == ids["node_id"], "left_anti").select(F.lit(f"loose_{side}").alias("code"), F.col("edge_id").alias("subject"))
     twice = lambda df, key: df.groupBy(key).count().where("count > 1").select(F.lit("duplicate_id").alias("code"), F.col(key).alias("subject"))
     gaps = pack.provenance.agg(F.count(F.lit(1)).alias("n"), F.max("hop_index").alias("m")).where("n <> m + 1").select(F.lit("hop_gap").alias("code"), F.col("m").cast("string").alias("subject"))
     parts = [
         loose("source_id"), loose("target_id"), pack.events.join(ids, "node_id", "left_anti").select(F.lit("loose_event").alias("code"), F.col("event_id").alias("subject")),
-        pack.edges.where(~F.col("relation").isin(*RELATIONS)).select(F.lit("unknown_relation").alias("code"), F.col("edge_id").alias("subject")),
         pack.edges.where("source_id = target_id").select(F.lit("self_edge").alias("code"), F.col("edge_id").alias("subject")), twice(pack.nodes, "node_id"), twice(pack.edges, "edge_id"), gaps,
     ]
     out = parts[0]
@@ -175,6 +174,11 @@ def violations(pack: Pack) -> DataFrame:
     return out
 
 
+def unknown_relations(pack: Pack) -> DataFrame:
+    """Edges of a relation that no pivot makes."""
+    return pack.edges.where(~F.col("relation").isin(*RELATIONS)).select(F.lit("unknown_relation").alias("code"), F.col("edge_id").alias("subject"))
+
+
 def rings(labels: DataFrame) -> DataFrame:
     """Members of each planted ring."""
     return labels.where("ring_id is not null").select("ring_id", "threat_class", "entity_kind", "entity_id").distinct()

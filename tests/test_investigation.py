@@ -27,6 +27,12 @@ def test_waves_find_what_the_loop_finds(spark):
     assert got == want and len(got) > 12
 
 
+def test_unknown_relations(spark):
+    pack = graph.seed(spark, "a", "account")
+    edges = spark.createDataFrame([("e", "a", "b", "owns", 1), ("f", "a", "c", "likes", 1)], graph.EDGE)
+    assert [tuple(r) for r in graph.unknown_relations(graph.Pack(pack.nodes, edges, pack.events, pack.provenance)).collect()] == [("unknown_relation", "f")]
+
+
 def test_recovery_and_its_mean(spark):
     members = spark.createDataFrame([("a", "t01", "account", "x1"), ("a", "t01", "account", "x2"), ("a", "t01", "comment", "c1"), ("a", "t01", "channel", "s"), ("b", "t01", "account", "y1"), ("c", "t07", "comment", "c9")], "ring_id string, threat_class string, entity_kind string, entity_id string")
     seeds = spark.createDataFrame([("a", "s"), ("b", "z"), ("c", "q")], "seed string, node_id string")
