@@ -411,25 +411,25 @@ _PLAN = """plan AS (SELECT draws, band, size, hits, floor(x + 1e-9::DOUBLE)::BIG
 _PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY {u}, view_id) r FROM frame)"
 
 
-@query(f"""WITH {_STRATA.format(_TRUTHS['expanded'])}, totals(draws) AS (VALUES (200), (400), (800)), {_PLAN}, {_PLACED.format(u=_uniform("'n1:' || view_id"))},
+@query(f"""WITH {_STRATA.format(_TRUTHS['expanded'])}, totals(draws) AS (VALUES (50), (100), (150)), {_PLAN}, {_PLACED.format(u=_uniform("'n1:' || view_id"))},
     cells AS (SELECT draws, p.band, any_value(p.size) size, any_value(p.size) / any_value(w.total) share, count(view_id) n, count(view_id) FILTER (violative) k FROM plan p JOIN (SELECT sum(size)::BIGINT total FROM strata) w ON true
         LEFT JOIN placed f ON f.band = p.band AND f.r <= p.n GROUP BY 1, 2), e AS ({_estimates("draws")})
     SELECT draws, round(({_HIGH} - {_LOW}) / 2, 10) half_width, round(estimate, 10) estimate, drawn FROM e""")
 def curve_sample_size(p):
-    return measurement.curve_sizes(*_drawn(p), [200, 400, 800], "n1").withColumns({c: F.round(c, 10) for c in ("half_width", "estimate")})
+    return measurement.curve_sizes(*_drawn(p), [50, 100, 150], "n1").withColumns({c: F.round(c, 10) for c in ("half_width", "estimate")})
 
 
 _RIGHT = "CASE WHEN violative THEN specificity ELSE 1 - specificity END"
 
 
-@query(f"""WITH {_STRATA.format(_TRUTHS['expanded'])}, totals(draws) AS (VALUES (400)), {_PLAN}, {_PLACED.format(u=_uniform("'q1:' || view_id"))},
+@query(f"""WITH {_STRATA.format(_TRUTHS['expanded'])}, totals(draws) AS (VALUES (150)), {_PLAN}, {_PLACED.format(u=_uniform("'q1:' || view_id"))},
     grid AS (SELECT s::DOUBLE specificity, n::INTEGER panel FROM (VALUES (0.9), (0.99)) a(s), (VALUES (1), (3)) b(n)),
     calls AS (SELECT specificity, panel, f.band, 2 * len(list_filter(range(1, panel + 1), lambda x: {_uniform("'q1:panel:' || view_id || ':' || specificity::DECIMAL(6,4) || ':' || x")} < {_RIGHT})) > panel AS call FROM placed f JOIN plan p ON f.band = p.band AND f.r <= p.n, grid),
     cells AS (SELECT g.specificity, g.panel, p.band, any_value(p.size) size, any_value(p.size) / any_value(w.total) share, count(c.call) n, count(*) FILTER (c.call) k FROM plan p JOIN (SELECT sum(size)::BIGINT total FROM strata) w ON true CROSS JOIN grid g
         LEFT JOIN calls c ON c.band = p.band AND c.specificity = g.specificity AND c.panel = g.panel GROUP BY 1, 2, 3), e AS ({_estimates("specificity, panel")}), tr AS (SELECT sum(hits) / sum(size) truth FROM strata)
     SELECT specificity, panel, round(estimate, 10) estimate, round(estimate - truth, 10) bias, truth >= {_LOW} AND truth <= {_HIGH} covered FROM e, tr""")
 def curve_rater_quality(p):
-    return measurement.curve_raters(*_drawn(p), 400, [0.9, 0.99], [1, 3], "q1").withColumns({c: F.round(c, 10) for c in ("estimate", "bias")})
+    return measurement.curve_raters(*_drawn(p), 150, [0.9, 0.99], [1, 3], "q1").withColumns({c: F.round(c, 10) for c in ("estimate", "bias")})
 
 
 _STEPS = [
