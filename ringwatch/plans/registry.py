@@ -143,12 +143,14 @@ def triage_inbound_coordination(p):
 
 @query(f"WITH {_OWN}, {_INBOUND}, {_VALUES}, {_SPREAD} SELECT * FROM spread")
 def triage_spread(p):
-    return triage.spread(p.channel, triage.own_signals(p.channel, p.infra_hint), triage.inbound_signals(p.comment, p.video, p.infra_hint), p.infra_hint)
+    s = triage.Signals(p.channel, p.video, p.comment, p.infra_hint)
+    return triage.spread(s.channels, s.own, s.inbound, s.hints)
 
 
 @query(f"WITH {_OWN}, {_INBOUND}, {_VALUES}, {_RECID} SELECT * FROM recid")
 def triage_recidivism(p):
-    return triage.recidivism(triage.own_signals(p.channel, p.infra_hint), triage.inbound_signals(p.comment, p.video, p.infra_hint), p.infra_hint)
+    s = triage.Signals(p.channel, p.video, p.comment, p.infra_hint)
+    return triage.recidivism(s.own, s.inbound, s.hints)
 
 
 @query(f"WITH {_BURST} SELECT * FROM bursts")
