@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder every executor shares (``spark.checkpoint.dir``).
 
-    Only when the session names no such folder (tests in one JVM) is a local one made.
+    A local one is made only where the session names none and runs in one JVM; a cluster without such a folder is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="ringwatch-"))
     return f"{base}/{label}-{uuid.uuid4().hex}"

@@ -1,8 +1,9 @@
 """Nearest neighbours by inner product: cells, randomly rotated one-bit codes, bounds, exact rerank.
 
 Vectors are dealt to cells by the nearest of at most ``CELLS`` centres, which are learnt from a bounded sample (``SAMPLE`` vectors of the
-least hashes); a query visits the cells whose centres have the largest inner product with it. Tables of up to ``PROBES`` cells are
-searched whole. In a cell each residual (vector less centre) is scaled to length one and turned by a random matrix with orthonormal rows into
+least hashes). A query visits its best cell first and then every cell that may hold a better vector: no product there exceeds that with the
+centre plus the query's length times the cell's radius. Cells below the query's k-th best so far are skipped, and lose nothing by it; where vectors
+have no clusters few cells are, and codes alone spare the work. In a cell each residual (vector less centre) is scaled to length one and turned by a random matrix with orthonormal rows into
 ``BITS`` or more coordinates (more than its own, which narrows the error); its code is the packed signs. With ``o`` the unit
 residual and ``c`` its code's unit vector, the inner product with a query ``q`` is estimated as ``<c, q> / <c, o>`` and errs by at most
 ``epsilon * sqrt((1 - <c, o>^2) / <c, o>^2) * |q| / sqrt(bits - 1)`` except with a probability that falls off
@@ -34,8 +35,8 @@ from pyspark.sql.window import Window
 from ringwatch.llm.common import salt, saved, small_batches
 
 BITS, LEVELS = 256, 6
-#: Vectors that centres are learnt from, vectors a cell has on average, cells at most, cells a query visits.
-SAMPLE, CELL, CELLS, PROBES = 20_000, 2048, 16_384, 24
+#: Vectors that centres are learnt from, vectors a cell has on average, cells at most.
+SAMPLE, CELL, CELLS = 20_000, 2048, 16_384
 #: Vectors and queries of a block take about this much, in double precision.
 BLOCK_BYTES = 4 << 20
 
@@ -74,28 +75,49 @@ def centres(sample: np.ndarray, count: int, seed: int) -> np.ndarray:
 
 
 def assigned(rows: DataFrame, middle: np.ndarray) -> DataFrame:
-    """Adds the cell of every vector."""
+    """Adds the cell of every vector, and how far the vector is from its centre."""
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = (middle * middle).sum(axis=1) / 2
         for batch in batches:
             if batch.num_rows:
-                near = (_matrix(batch.column("v")) @ middle.T - size).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(near, pa.int32())], names=["vec_id", "v", "cell"])
+                v = _matrix(batch.column("v"))
+                near = (v @ middle.T - size).argmax(axis=1)
+                away = np.sqrt(((v - middle[near]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(near, pa.int32()), pa.array(away)], names=["vec_id", "v", "cell", "away"])
 
-    return rows.mapInArrow(cell, "vec_id long, v array<double>, cell int")
+    return rows.mapInArrow(cell, "vec_id long, v array<double>, cell int, away double")
 
 
-def visits(asked: DataFrame, middle: np.ndarray, first: int, last: int) -> DataFrame:
-    """(cell, query_id, v, floor): the cells each query visits, from place ``first`` on to before ``last``."""
+def radii(placed: DataFrame, count: int) -> np.ndarray:
+    """Each cell's largest distance from its centre (one row a cell, of which there are at most CELLS); minus infinity for empty cells."""
+    out = np.full(count, -np.inf)
+    for row in placed.groupBy("cell").agg(F.max("away").alias("away")).collect():
+        out[row["cell"]] = row["away"]
+    return out
+
+
+def visits(asked: DataFrame, middle: np.ndarray, radius: np.ndarray, first: bool) -> DataFrame:
+    """(cell, query_id, v, floor): each query's first cell, or else all other cells where a product may reach its floor.
+
+    The first cell is the one, of those with vectors, whose centre has the largest product with the query.
+    """
+    held = np.isfinite(radius)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = np.argsort(-(_matrix(batch.column("v")) @ middle.T), axis=1, kind="stable")[:, first:last]
-                row = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
-                columns = [batch.column(c).take(row) for c in ("vec_id", "v", "floor")]
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), *columns], names=["cell", "query_id", "v", "floor"])
+                v, floor = _matrix(batch.column("v")), batch.column("floor").to_numpy(zero_copy_only=False)
+                got = np.where(held, v @ middle.T, -np.inf)
+                best = np.arange(len(middle)) == got.argmax(axis=1)[:, None]
+                reach = np.sqrt((v * v).sum(axis=1))[:, None] * np.where(held, radius, 0.0)
+                # A little more than the bound, for the rounding of both sides.
+                may = held & (got + reach + 1e-9 * (np.abs(got) + reach) >= floor[:, None])
+                query, at = np.nonzero(best if first else may & ~best)
+                for a in range(0, len(query), 4096):
+                    row = pa.array(query[a : a + 4096])
+                    columns = [batch.column(c).take(row) for c in ("vec_id", "v", "floor")]
+                    yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 4096], pa.int32()), *columns], names=["cell", "query_id", "v", "floor"])
 
     return asked.select("vec_id", "v", "floor").mapInArrow(cells, "cell int, query_id long, v array<double>, floor double")
 
@@ -210,7 +232,7 @@ def gathered(queries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(pack, "cell int, query_block int, query_ids array<long>, asked binary, floors array<double>")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, epsilon: float = 3.0, block: int = 8192, probes: int = PROBES, cell: int = CELL) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, epsilon: float = 3.0, block: int = 8192, cell: int = CELL) -> DataFrame:
     """The k nearest of every row for which ``is_query`` holds, nearest first."""
     small_batches(vectors.sparkSession)
     rows = saved(usable(vectors), "vectors")
@@ -228,12 +250,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, eps
     parts = lambda df, name: F.broadcast(df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name)))
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     placed = saved(assigned(rows, middle), "cells")
-    sizes = parts(placed, "parts")
+    sizes, radius = parts(placed, "parts"), radii(placed, len(middle))
     codes = saved(encode(placed.join(sizes, "cell").withColumn("block", salt([F.col("vec_id")], F.col("parts"))), middle, bits, seed), "codes")
 
-    def met(asked: DataFrame, first: int, last: int) -> DataFrame:
+    def met(asked: DataFrame, first: bool) -> DataFrame:
         """What queries find in their cells. Both sides are dealt by the pair of blocks, not by the cell."""
-        going = saved(visits(asked, middle, first, last), "visits")
+        going = saved(visits(asked, middle, radius, first), "visits")
         crowds = parts(going, "query_parts")
         queries = gathered(going.join(crowds, "cell").withColumn("query_block", salt([F.col("query_id")], F.col("query_parts"))))
         queries = queries.join(sizes, "cell").withColumn("block", every("parts")).drop("parts")
@@ -245,7 +267,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 7, eps
         return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     asked = rows.where(is_query).select("vec_id", "v")
-    near = saved(top(met(asked.withColumn("floor", F.lit(float("-inf"))), 0, 1)), "nearest")
+    near = saved(top(met(asked.withColumn("floor", F.lit(float("-inf"))), True)), "nearest")
     floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
     asked = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    return top(near.drop("rank").unionByName(met(asked, 1, probes)))
+    return top(near.drop("rank").unionByName(met(asked, False)))

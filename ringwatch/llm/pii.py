@@ -20,8 +20,9 @@ secret   quoted hexadecimal strings of 32 to 64 digits, case kept
 =======  ==============================================================================
 
 Nulls: a null text stays null with no findings. Rows are mapped one by one: repeated rows give
-repeated rows, an empty table none. Columns other than text stay as they are; clashing names
-are no issue, since the work columns start with ``_pii``.
+repeated rows, an empty table none; a very long text is searched whole. Columns other than text stay as they are, whatever
+their names: work columns get a name no column has, and where ``pii_kinds`` is taken the new column has an underscore more.
+A local part of one symbol has no other half, so its class is permuted as a whole, by the order of keyed hashes.
 """
 
 from __future__ import annotations
@@ -125,7 +126,9 @@ def feistel(kind: Column, symbols: Column, key: str) -> Column:
         moved_right = F.transform(right, lambda x, j: _mod(x, shift(i, j, left, F.get(radix, half + j)), F.get(radix, half + j)))
         return F.when(i % 2 == 0, F.concat(moved_left, right)).otherwise(F.concat(left, moved_right))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, turn)
+    alone = lambda v, r: F.get(F.array_sort(F.transform(F.sequence(F.lit(0), r - 1), lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit(key), kind, x.cast("string")), 256), x.alias("x")))), v)["x"]
+    single = F.transform(symbols, lambda s: alone(s["v"], s["r"]))
+    return F.when(F.size(symbols) == 1, single).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, turn))
 
 
 def _mod(x: Column, by: Column, radix: Column) -> Column:
@@ -156,16 +159,21 @@ def _written(kind: Column, m: Column, v: Column) -> Column:
     return reduce(lambda w, k: w.when(kind == k, by[k]), by, F.when(kind.isNull(), m))
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column is called so."""
+    return _free(name + "_", taken) if name.lower() in {c.lower() for c in taken} else name
+
+
 def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``column`` replaced; adds ``pii_kinds``, in text order."""
-    found = F.regexp_extract_all(F.col(column), F.lit(ANY), F.lit(0))
-    df = docs.withColumn("_pii", F.coalesce(found, F.array().cast("array<string>")))
-    df = df.withColumn("_pii_kind", F.transform("_pii", _kind))
-    df = df.withColumn("_pii_in", F.zip_with("_pii_kind", "_pii", _symbols))
-    df = df.withColumn("_pii_out", F.zip_with("_pii_kind", "_pii_in", lambda k, s: F.when(k.isNotNull(), feistel(k, s, key))))
-    df = df.withColumn("_pii_new", F.transform("_pii_out", lambda v, i: _written(F.get(F.col("_pii_kind"), i), F.get(F.col("_pii"), i), v)))
+    found, kind, given, drawn, new = (_free(c, docs.columns) for c in ("_pii", "_pii_kind", "_pii_in", "_pii_out", "_pii_new"))
+    df = docs.withColumn(found, F.coalesce(F.regexp_extract_all(F.col(column), F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
+    df = df.withColumn(kind, F.transform(found, _kind))
+    df = df.withColumn(given, F.zip_with(kind, found, _symbols))
+    df = df.withColumn(drawn, F.zip_with(kind, given, lambda k, s: F.when(k.isNotNull(), feistel(k, s, key))))
+    df = df.withColumn(new, F.transform(drawn, lambda v, i: _written(F.get(F.col(kind), i), F.get(F.col(found), i), v)))
     rest = F.split(F.col(column), ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(rest, F.col("_pii_new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    df = df.withColumn(column, F.when(F.size("_pii") > 0, joined).otherwise(F.col(column)))
-    df = df.withColumn("pii_kinds", F.filter("_pii_kind", lambda k: k.isNotNull()))
-    return df.drop("_pii", "_pii_kind", "_pii_in", "_pii_out", "_pii_new")
+    joined = F.array_join(F.flatten(F.zip_with(rest, F.col(new), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    df = df.withColumn(column, F.when(F.size(found) > 0, joined).otherwise(F.col(column)))
+    df = df.withColumn(_free("pii_kinds", docs.columns), F.filter(kind, lambda k: k.isNotNull()))
+    return df.drop(found, kind, given, drawn, new)

@@ -242,7 +242,7 @@ def test_segmentation_is_that_of_the_library(texts):
 
 @pytest.mark.parametrize("cell", [2048, 60])
 def test_neighbours_are_brute_force(spark, cell):
-    """In one cell and in 50, of which a query visits half."""
+    """In one cell and in 50."""
     rng = np.random.default_rng(5)
     v = (rng.standard_normal((12, 32))[rng.integers(0, 12, 3000)] + 0.6 * rng.standard_normal((3000, 32))).astype(np.float32)
     v[100:110] = v[100]
@@ -261,6 +261,26 @@ def test_neighbours_are_brute_force(spark, cell):
     assert same / 3000 >= 0.97
 
 
+def test_neighbours_without_clusters_lose_nothing_to_cells(spark):
+    """In 80 cells of vectors that have no clusters, few may be skipped; recall is that of the codes' bounds."""
+    v = np.random.default_rng(8).standard_normal((2400, 24))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, k=20, cell=30).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    s = v[::20] @ v.T
+    s[np.arange(120), np.arange(0, 2400, 20)] = -np.inf
+    assert sum(len(got[20 * i] & set(np.argsort(-x)[:20].tolist())) for i, x in enumerate(s)) / 2400 >= 0.97
+
+
+def test_cells_out_of_reach_are_skipped(spark):
+    """A cell is visited if and only if its centre's product and radius may reach the query's floor; empty cells never are."""
+    middle, radius = np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [5.0, 5.0]]), np.array([0.1, 0.5, 0.2, -np.inf])
+    asked = spark.createDataFrame([(1, [2.0, 0.0], 0.9), (2, [2.0, 0.0], 1.1), (3, [2.0, 0.0], float("-inf"))], "vec_id long, v array<double>, floor double")
+    pairs = lambda first: {(r["query_id"], r["cell"]) for r in neighbours.visits(asked, middle, radius, first).collect()}
+    assert pairs(True) == {(1, 0), (2, 0), (3, 0)} and pairs(False) == {(1, 1), (3, 1), (3, 2)}
+
+
 def test_packed_products_are_products():
     rng = np.random.default_rng(1)
     signs, q = rng.random((50, 256)) < 0.5, rng.standard_normal(256)
@@ -298,6 +318,19 @@ def test_quality_on_held_out_labels(spark, docs):
     assert sum(r["accepted"] for r in good) / len(good) >= 0.98 and sum(not r["accepted"] for r in bad) / len(bad) >= 0.9
 
 
+def test_pseudonyms_beside_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(1, "mail a@x.org", "mine", "yours"), (2, None, "mine", None)], "doc_id long, text string, _pii string, PII_kinds string")
+    rows = {r["doc_id"]: r for r in pii.pseudonymize(df, PII_KEY).collect()}
+    assert rows[1].asDict() == {"doc_id": 1, "text": rows[1]["text"], "_pii": "mine", "PII_kinds": "yours", "pii_kinds_": ["email"]} and rows[1]["text"] != "mail a@x.org"
+    assert rows[2]["text"] is None and rows[2]["_pii"] == "mine" and rows[2]["pii_kinds_"] == []
+
+
+def test_names_of_one_symbol_are_permuted_not_shifted(spark):
+    df = spark.createDataFrame([(chr(97 + i), f"{chr(97 + i)}@x.org") for i in range(26)], "old string, text string")
+    new = {ord(r["old"]) - 97: ord(r["text"][0]) - 97 for r in pii.pseudonymize(df, PII_KEY).collect()}
+    assert sorted(new.values()) == list(range(26)) and len({(b - a) % 26 for a, b in new.items()}) > 5
+
+
 def test_without_two_kinds_of_labels_all_are_accepted(spark, docs):
     one = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     for labels in (one, one.limit(0)):
