@@ -1,33 +1,41 @@
 """Co-trained quality classifier: the text and the page's metadata as two views.
 
-Each view has a logistic classifier of its own. They start from labelled documents; in each round
-each view labels the unlabelled documents it is surest of, and the other view learns from them.
-Each view is then calibrated on labelled documents that were kept apart (Platt scaling), and
-the combined score adds the views' evidence to the prior log odds. The threshold is the highest
-at which at most ``LOST`` of the good held-out documents would be rejected.
-
-Training uses at most ``LABELLED`` labelled and ``POOL`` unlabelled documents, those with the least hashes of
-their ids: a bounded sample, and the only rows that reach the driver. Scoring covers all documents.
-
-Nulls: a null text is empty, a null language or source is a value of its own; labels whose quality is
-null are unused. Repeated rows are scored alike, and so are ties. A very long text is scored whole. An empty table gives no rows. Without labels of both
-kinds every document scores the prior (1.0 without any label) and is accepted. Extra columns are ignored.
+Each view weighs evidence by counts: a word of the text (or a value of the metadata) speaks for good by the log ratio of how many good and
+poor documents have it. A logistic classifier of the view puts this together with the view's measures: shapes of characters and words for the
+text, the length for the page. The counts start from labelled documents. In each round every unlabelled document that one view is sure of goes
+into the other view's counts, with less weight. Labelled documents have three roles, by a hash of the id: two fifths are counted, two fifths fit
+the logistic classifiers, and one fifth calibrates each view (Platt scaling) and sets the threshold of the combined score, which adds the views'
+evidence to the prior log odds. The threshold is the highest at which at most ``LOST`` of the good documents kept apart would be rejected. Where a
+role would lack good or poor documents, all labelled ones have all roles.
+
+Counts cover all labelled documents of their role and all unlabelled ones, summed on Spark; the driver sees ``BUCKETS`` counts a view, since words
+and values are hashed to that many. The logistic classifiers take at most ``LABELLED`` labelled documents, those with the least hashes of their
+ids: a bounded sample, of whose measures alone some kilobytes a document reach the driver. Scoring covers all documents.
+
+Nulls: a null text is empty, a null language, source or length is a value of its own; labels whose quality or id is null are unused, and of
+labels with one id the least quality counts. Repeated rows are counted and scored alike, and so are ties; of rows with one id the least fits the classifiers. A very
+long text is counted and scored whole, each word once. An empty table gives no rows. Without labels of both kinds every document scores the prior
+(1.0 without any label) and is accepted. Extra columns are ignored. ``doc_id``, ``text``, ``lang``, ``source`` and ``n_chars`` are needed.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringwatch.llm.common import small_batches
-from ringwatch.llm.words import merged, split_words, utf8
+from ringwatch.llm.common import saved, small_batches
+from ringwatch.llm.words import hashed, merged, split_words, utf8
 
-LABELLED, POOL, ROUNDS, SURE, LOST = 20_000, 20_000, 4, 0.98, 0.002
+LABELLED, ROUNDS, SURE, LOST = 20_000, 3, 0.98, 0.002
+#: Places of hashed words and values; weights of a labelled and of a pseudo-labelled document; smoothing of counts.
+BUCKETS, TOLD, GUESSED, SMOOTH = 1 << 16, 10, 3, 20.0
 #: Byte classes: lower, upper, digit, line break, other space, each of some marks, other ASCII, beyond.
 _MARKS = b"!|*#&$%@.,?;:-_=<>\"'()"
 _CLASS = np.full(256, 5 + len(_MARKS), np.uint8)
@@ -35,11 +43,19 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[10], _CLASS[[9, 13, 32]] =
 _CLASS[list(_MARKS)] = np.arange(5, 5 + len(_MARKS))
 _CLASS[128:] = 6 + len(_MARKS)
 _N_CLASS = 7 + len(_MARKS)
-_LANGS, _SOURCES = 32, 256
 
 
-def text_view(texts: pa.Array) -> np.ndarray:
-    """Features of each text: shares of byte classes, how varied and how long its words are."""
+class Measures(NamedTuple):
+    """What is kept of a batch of documents: distinct words and page values (hashed), and numbers of both views."""
+
+    words: pa.ListArray
+    page: np.ndarray
+    text_x: np.ndarray
+    page_x: np.ndarray
+
+
+def text_view(texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+    """Places of each text's distinct words; shares of byte classes, how varied and how long its words are."""
     raw, offsets = utf8(texts)
     n = len(texts)
     size = np.diff(offsets)
@@ -47,24 +63,59 @@ def text_view(texts: pa.Array) -> np.ndarray:
     share = np.bincount(row * _N_CLASS + _CLASS[raw], minlength=n * _N_CLASS).reshape(n, _N_CLASS) / np.maximum(size, 1)[:, None]
     index, words, counts = split_words(texts, lower=False)
     at = np.repeat(np.arange(n, dtype=np.int64), counts)
-    kinds = np.bincount(np.unique(at * max(1, len(words)) + index) // max(1, len(words)), minlength=n)
+    pair = np.unique(at * max(1, len(words)) + index)
+    kinds = np.bincount(pair // max(1, len(words)), minlength=n)
     length = np.fromiter((len(w) for w in words.to_pylist()), float, len(words))[index] if len(index) else np.zeros(0)
     some = np.maximum(counts, 1)
     mean = np.bincount(at, length, minlength=n) / some
     spread = np.sqrt(np.maximum(np.bincount(at, length**2, minlength=n) / some - mean**2, 0))
     more = np.column_stack([kinds / some, np.log1p(counts), mean, spread, kinds / np.sqrt(some)])
-    return np.column_stack([np.sqrt(share), share, more, size == 0])
+    place = (hashed(words) % np.uint64(BUCKETS)).astype(np.int64)
+    # Two words in one place are one.
+    found = np.unique(pair // max(1, len(words)) * BUCKETS + place[pair % max(1, len(words))]) if len(pair) else pair
+    ends = np.append(0, np.cumsum(np.bincount(found // BUCKETS, minlength=n)))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found % BUCKETS, pa.int32()))
+    return lists, np.column_stack([np.sqrt(share), share, more, size == 0])
+
+
+def page_view(langs: list, sources: list, chars: list) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each page's language, source and order of length; its length in numbers."""
+    size = np.log1p(np.array([max(c or 0, 0) for c in chars], float))
+    order = [None if c is None else int(x * 2) for c, x in zip(chars, size, strict=True)]
+    places = [[zlib.crc32(repr(pair).encode()) % BUCKETS for pair in zip(("lang", "source", "size"), row, strict=True)] for row in zip(langs, sources, order, strict=True)]
+    return np.array(places, np.int64).reshape(-1, 3), np.column_stack([size / 10, (size / 10) ** 2, size < np.log1p(100)])
+
+
+def measured(batch: pa.RecordBatch) -> Measures:
+    words, text_x = text_view(batch.column("text"))
+    page, page_x = page_view(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+    return Measures(words, page, text_x.astype(np.float32), page_x.astype(np.float32))
+
+
+def _numbers(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), -1)
+
 
+def stored(batch: pa.RecordBatch) -> Measures:
+    """The measures of a batch as ``tokens`` keeps them."""
+    page = batch.column("page").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+    return Measures(batch.column("words"), page, *(_numbers(batch.column(c).to_pylist()) for c in ("text_x", "page_x")))
 
-def page_view(langs: list, sources: list, chars: np.ndarray) -> np.ndarray:
-    """Features of each page's metadata: language, source and length."""
-    out = np.zeros((len(langs), _LANGS + _SOURCES + 3))
-    for i, (lang, source) in enumerate(zip(langs, sources, strict=True)):
-        out[i, zlib.crc32(repr(lang).encode()) % _LANGS] = 1
-        out[i, _LANGS + zlib.crc32(repr(source).encode()) % _SOURCES] = 1
-    size = np.log1p(np.maximum(chars, 0))
-    out[:, -3], out[:, -2], out[:, -1] = size / 10, (size / 10) ** 2, chars < 100
-    return out
+
+def weights(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> np.ndarray:
+    """Log ratio of each place's good and bad counts, less that of all documents; none for a place never seen."""
+    share = (n_good + 1) / (n_good + n_bad + 2)
+    return np.clip(np.log((good + SMOOTH * share) / (bad + SMOOTH * (1 - share))) - np.log(share / (1 - share)), -6, 6).astype(np.float32)
+
+
+def evidence(m: Measures, by_word: np.ndarray, by_value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logistic classifiers' input: what a view's counts say, beside its measures."""
+    n = len(m.page)
+    counts = np.asarray(m.words.value_lengths()).astype(np.int64)
+    w = by_word[m.words.flatten().to_numpy(zero_copy_only=False)].astype(float)
+    at, some = np.repeat(np.arange(n), counts), np.maximum(counts, 1)
+    total, against = np.bincount(at, w, minlength=n), np.bincount(at, np.minimum(w, 0), minlength=n)
+    return np.column_stack([total / some, total / np.sqrt(some), against / some, m.text_x]), np.column_stack([by_value[m.page], m.page_x])
 
 
 class Logistic:
@@ -100,105 +151,132 @@ class Logistic:
 
 
 class Views:
-    """The two trained views, their calibration and the threshold of the combined score."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, y: np.ndarray, held: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray):
-        self.prior = float(np.log((y == 1).sum() / max(1, (y == 0).sum())))
-        train, n = ~held, int((~held).sum())
-        said = {"a": np.full(len(pool_a), -1), "b": np.full(len(pool_a), -1)}  # what a view was told
-        self.pseudo = []
-        for turn in range(ROUNDS + 1):
-            fit = {}
-            for name, x, pool in (("a", a, pool_a), ("b", b, pool_b)):
-                told = said[name] >= 0
-                xs, ys = np.concatenate([x[train], pool[told]]), np.concatenate([y[train], said[name][told]])
-                fit[name] = Logistic(xs, ys, np.concatenate([np.ones(n), np.full(int(told.sum()), 0.3)]))
-            self.a, self.b = fit["a"], fit["b"]
-            if turn == ROUNDS:
-                break
-            for name, model, pool, other in (("a", self.a, pool_a, "b"), ("b", self.b, pool_b, "a")):
-                if not len(pool):
-                    continue
-                odds, sure = model.odds(pool), np.log(SURE / (1 - SURE))
-                room = max(10, len(pool) // 20) * (turn + 1)
-                for label, key in ((1, odds), (0, -odds)):
-                    # As many of each kind as its share among the labels, the surest first.
-                    share = (y[train] == label).mean()
-                    best = np.argsort(-key, kind="stable")[: int(room * share)]
-                    said[other][best[key[best] > sure]] = label
-            self.pseudo.append(int((said["a"] >= 0).sum() + (said["b"] >= 0).sum()))
-        fit_on = held if (y[held] == 1).any() and (y[held] == 0).any() else np.ones(len(y), bool)
-        self.platt = []
-        for model, x in ((self.a, a), (self.b, b)):
-            odds = model.odds(x[fit_on])
-            self.platt.append(Logistic(odds[:, None], y[fit_on], np.ones(len(odds)), ridge=0.1))
-        score = self.score(a[fit_on], b[fit_on])[2]
-        good = np.sort(score[y[fit_on] == 1])
-        self.threshold = float(min(0.5, good[int(len(good) * LOST)])) if len(good) else 0.0
-
-    def score(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Calibrated probability of good by text, by metadata and by both."""
+    """Two views fitted to their counts, their calibration and the threshold of the combined score."""
+
+    def __init__(self, by_word: np.ndarray, by_value: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarray, fits: np.ndarray, held: np.ndarray):
+        self.by_word, self.by_value = by_word, by_value
+        self.prior = float(np.log((y == 1).sum() / (y == 0).sum()))
+        self.a, self.b = (Logistic(x[fits], y[fits], np.ones(int(fits.sum()))) for x in (a, b))
+        self.platt = [Logistic(model.odds(x[held])[:, None], y[held], np.ones(int(held.sum())), ridge=0.1) for model, x in ((self.a, a), (self.b, b))]
+        good = np.sort(self._score(a[held], b[held])[2][y[held] == 1])
+        self.threshold = float(min(0.5, good[int(len(good) * LOST)]))
+
+    def _score(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, y = self.platt[0].odds(self.a.odds(a)[:, None]), self.platt[1].odds(self.b.odds(b)[:, None])
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         return sigmoid(x), sigmoid(y), sigmoid(x + y - self.prior)
 
-
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    chars = batch.column("n_chars").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype(float)
-    return text_view(batch.column("text")), page_view(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), chars)
+    def score(self, m: Measures) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated probability of good by text, by metadata and by both."""
+        return self._score(*evidence(m, self.by_word, self.by_value))
 
 
 def _plain(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Views | None:
-    """The views learnt from a bounded sample, or None without labels of both kinds."""
+def tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, words, page, text_x, page_x) of every row."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in merged(batches, "text"):
-            a, b = _views(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.astype("<f4").tobytes() for r in a]), pa.array([r.astype("<f4").tobytes() for r in b])], names=["doc_id", "quality", "a", "b"])
-
-    ids = docs.select("doc_id").distinct()
-    marked = ids.join(labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"]), "doc_id", "left")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = marked.where("quality is not null").orderBy(*order).limit(LABELLED).unionByName(marked.where("quality is null").orderBy(*order).limit(POOL))
-    # At most LABELLED + POOL ids.
-    sample = _plain(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(extract, "doc_id long, quality int, a binary, b binary")
-    # Arrow batches, not rows of objects, reach the driver.
-    got = sample.toArrow().sort_by("doc_id")
-    ids, quality = got["doc_id"].to_numpy(), got["quality"].to_numpy(zero_copy_only=False).astype(float)
-    labelled = ~np.isnan(quality)
-    y = (quality[labelled] >= 1).astype(int)
-    if len(set(y.tolist())) < 2:
-        return None
-    width = {c: len(got[c][0].as_py()) // 4 for c in ("a", "b")}
-    full = {c: np.empty((len(ids), width[c]), np.float32) for c in width}
-    for c, x in full.items():
-        at = 0
-        for chunk in got[c].chunks:
-            for v in chunk:
-                x[at] = np.frombuffer(v.as_buffer(), "<f4")
-                at += 1
-    del got, sample
-    a, b, pool_a, pool_b = full["a"][labelled], full["b"][labelled], full["a"][~labelled], full["b"][~labelled]
-    del full
-    held = np.array([zlib.crc32(b"held%d" % d) % 4 == 0 for d in ids[labelled].tolist()])
-    return Views(a, b, y, held, pool_a, pool_b)
-
-
-def _judge(docs: DataFrame, labels: DataFrame):
-    """A function from a batch to p_text, p_page, score and accepted."""
-    views = train(docs, labels)
+            m = measured(batch)
+            numbers = [pa.array([r.astype("<f4").tobytes() for r in x], pa.binary()) for x in (m.text_x, m.page_x)]
+            page = pa.array(m.page.tolist(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), m.words, page, *numbers], names=["doc_id", "words", "page", "text_x", "page_x"])
+
+    return _plain(docs).mapInArrow(extract, "doc_id long, words array<int>, page array<int>, text_x binary, page_x binary")
+
+
+def told(rows: DataFrame, views: Views | None) -> DataFrame:
+    """(view, place, good, bad): weighted counts of documents with each word or value; place -1 counts all.
+
+    Labelled rows count for both views where ``counts`` holds. Of unlabelled ones, each view tells the other those it is sure of.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 2, BUCKETS + 1), np.int64)  # view, good or bad, place (the last for all)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, y = stored(batch), batch.column("y").cast(pa.float64()).to_numpy(zero_copy_only=False)
+            known = batch.column("counts").to_numpy(zero_copy_only=False).astype(bool)
+            said = np.full((2, len(y)), -1)
+            said[:, known] = y[known]
+            if views is not None:
+                p, q, _ = views.score(m)
+                for view, other in ((0, q), (1, p)):
+                    said[view, np.isnan(y) & (other >= SURE)] = 1
+                    said[view, np.isnan(y) & (other <= 1 - SURE)] = 0
+            weight = np.where(known, TOLD, GUESSED)
+            lengths = np.asarray(m.words.value_lengths()).astype(np.int64)
+            places = (m.words.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(y)), lengths)), (m.page.ravel(), np.repeat(np.arange(len(y)), 3))
+            for view, (place, row) in enumerate(places):
+                for kind in (0, 1):
+                    one = np.where(said[view] == kind, weight, 0)
+                    sums[view, kind, :-1] += np.bincount(place, one[row], minlength=BUCKETS).astype(np.int64)
+                    sums[view, kind, -1] += one.sum()
+        view, place = np.nonzero(sums.any(axis=1))
+        columns = [view, np.where(place == BUCKETS, -1, place), sums[view, 1, place], sums[view, 0, place]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["view", "place", "good", "bad"])
+
+    parts = rows.mapInArrow(count, "view int, place int, good long, bad long")
+    return parts.groupBy("view", "place").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Views | None, DataFrame | None]:
+    """The views and the measures of all rows, or nothing without labels of both kinds."""
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") >= 1).cast("int")).alias("y"))
+    role = F.element_at(F.array(*map(F.lit, (0, 0, 1, 1, 2))), (F.pmod(F.xxhash64(F.lit("role"), F.col("doc_id")), F.lit(5)) + 1).cast("int"))
+    known = docs.select("doc_id").distinct().join(known, "doc_id").withColumn("role", role)
+    # At most six rows.
+    kinds = {(r["role"], r["y"]) for r in known.select("role", "y").distinct().collect()}
+    if {y for _, y in kinds} != {0, 1}:
+        return None, None
+    every = len(kinds) < 6
+    known = saved(known, "labels")
+    rows = saved(tokens(docs).join(known.select("doc_id", "y", (F.lit(every) | (F.col("role") == 0)).alias("counts")), "doc_id", "left").withColumn("counts", F.coalesce("counts", F.lit(False))), "tokens")
+    # At most LABELLED ids.
+    chosen = known.where(F.lit(every) | (F.col("role") > 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).select("doc_id", "role")
+    least = F.min(F.struct("words", "page", "text_x", "page_x", "y", "role"))
+    sample = saved(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(least.alias("least")).select("doc_id", "least.*"), "sample")
+
+    def fitted(counts: pa.Table) -> Views:
+        by = []
+        for view in (0, 1):
+            part = counts.filter(pc.equal(counts["view"], view))
+            place, sums = part["place"].to_numpy(), np.zeros((2, BUCKETS + 1))
+            sums[0][place], sums[1][place] = part["good"].to_numpy(), part["bad"].to_numpy()  # place -1 is the last
+            by.append(weights(sums[0][:-1], sums[1][:-1], sums[0][-1], sums[1][-1]))
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = [pa.array([r.astype("<f4").tobytes() for r in e], pa.binary()) for e in evidence(stored(batch), *by)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("role"), *x], names=["doc_id", "y", "role", "a", "b"])
+
+        # Some 70 numbers a document.
+        got = sample.mapInArrow(weigh, "doc_id long, y int, role int, a binary, b binary").toArrow().sort_by("doc_id")
+        y, at = got["y"].to_numpy(), got["role"].to_numpy()
+        fits, held = (np.ones(len(y), bool),) * 2 if every else (at == 1, at == 2)
+        return Views(*by, *(_numbers(got[c].to_pylist()) for c in ("a", "b")), y, fits, held)
+
+    views = None
+    for _ in range(ROUNDS + 1):
+        views = fitted(told(rows, views).toArrow())
+    return views, rows
+
+
+def _judge(views: Views | None, labels: DataFrame):
+    """A function from measures to p_text, p_page, score and accepted."""
     share = None if views else labels.agg(F.avg("quality")).first()[0]
     prior = 1.0 if share is None else float(share)
 
-    def judge(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def judge(m: Measures) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if views is None:
-            p = np.full(batch.num_rows, prior)
-            return p, p, p, np.ones(batch.num_rows, bool)
-        p, q, s = views.score(*_views(batch))
+            p = np.full(len(m.page), prior)
+            return p, p, p, np.ones(len(p), bool)
+        p, q, s = views.score(m)
         return p, q, s, s >= views.threshold
 
     return judge
@@ -207,22 +285,24 @@ def _judge(docs: DataFrame, labels: DataFrame):
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_text, p_page, score and accepted for every row of ``docs``."""
     small_batches(docs.sparkSession)
-    judge = _judge(docs, labels)
+    views, rows = train(docs, labels)
+    judge = _judge(views, labels)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in merged(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, judge(batch))], names=["doc_id", "p_text", "p_page", "score", "accepted"])
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, judge(stored(batch)))], names=["doc_id", "p_text", "p_page", "score", "accepted"])
 
-    return _plain(docs).mapInArrow(rate, "doc_id long, p_text double, p_page double, score double, accepted boolean")
+    return (tokens(docs) if rows is None else rows).mapInArrow(rate, "doc_id long, p_text double, p_page double, score double, accepted boolean")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns."""
     small_batches(docs.sparkSession)
-    judge = _judge(docs, labels)
+    judge = _judge(train(docs, labels)[0], labels)
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in merged(batches, "text"):
-            yield batch.filter(pa.array(judge(batch)[3]))
+            yield batch.filter(pa.array(judge(measured(batch))[3]))
 
     return docs.mapInArrow(accept, docs.schema)

@@ -318,6 +318,59 @@ def test_quality_on_held_out_labels(spark, docs):
     assert sum(r["accepted"] for r in good) / len(good) >= 0.98 and sum(not r["accepted"] for r in bad) / len(bad) >= 0.9
 
 
+def test_counts_of_the_views_are_brute_force(spark, docs, texts):
+    """Each round's counts: labelled documents for both views, and what one view is sure of for the other."""
+    import xxhash
+
+    labels = {r["doc_id"]: int(r["quality"] >= 1) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    frame = spark.createDataFrame([(i, labels.get(i), i % 3 == 0 and i in labels) for i in texts], "doc_id long, y int, counts boolean")
+    rows = quality.tokens(docs).join(frame, "doc_id")
+    views, _ = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    said = {r["doc_id"]: r for r in quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    plain = {r["doc_id"]: r for r in docs.collect()}
+    for model in (None, views):
+        want = collections.Counter()
+        for i, text in texts.items():
+            d = plain[i]
+            order = int(2 * math.log1p(d["n_chars"]))
+            places = ({xxhash.xxh3_64_intdigest(w.encode()) % quality.BUCKETS for w in WORD.findall(text or "")}, [zlib.crc32(repr(p).encode()) % quality.BUCKETS for p in (("lang", d["lang"]), ("source", d["source"]), ("size", order))])
+            for view, other in ((0, "p_page"), (1, "p_text")):
+                label, weight = None, quality.GUESSED
+                if i in labels:
+                    label, weight = labels[i] if i % 3 == 0 else None, quality.TOLD
+                elif model is not None and said[i][other] >= quality.SURE:
+                    label = 1
+                elif model is not None and said[i][other] <= 1 - quality.SURE:
+                    label = 0
+                if label is not None:
+                    for place in [*places[view], -1]:
+                        want[view, place, label] += weight
+        got = {(r["view"], r["place"], kind): r[name] for r in quality.told(rows, model).collect() for kind, name in ((1, "good"), (0, "bad")) if r[name]}
+        assert got == dict(want)
+    assert any(i not in labels and said[i]["p_text"] >= quality.SURE for i in texts)
+
+
+def test_quality_is_the_same_in_any_partitioning(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    twice = docs.unionByName(docs.where("doc_id % 5 = 0"))
+    one, other = (sorted(map(tuple, quality.classify(twice.repartition(n, *keys), labels).collect())) for n, keys in ((1, []), (7, ["source"])))
+    assert len(one) == twice.count() and [(r[0], r[4]) for r in one] == [(r[0], r[4]) for r in other]
+    # The last bits of a matrix product depend on its batch.
+    assert np.allclose([r[1:4] for r in one], [r[1:4] for r in other], rtol=0, atol=1e-9)
+    # The learnt words decide: a text of good words whose shape alone is odd is judged by both.
+    odd = docs.limit(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("### " * 400).alias("text"), "lang", "source", F.lit(1600).cast("long").alias("n_chars"))
+    score = {r["doc_id"]: r["accepted"] for r in quality.classify(docs.select(*odd.columns).unionByName(odd), labels).collect()}
+    assert not score[-1]
+
+
+def test_labels_without_ids_or_repeated_ones(spark, docs):
+    """Null ids and qualities are unused; of labels with one id the least counts, whatever the order."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic")
+    more = labels.unionByName(spark.createDataFrame([(None, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")).unionByName(labels.withColumn("quality", F.lit(1)))
+    rows = lambda known: sorted(map(tuple, quality.classify(docs, known).collect()))
+    assert rows(more.repartition(5)) == rows(labels)
+
+
 def test_pseudonyms_beside_columns_of_the_same_names(spark):
     df = spark.createDataFrame([(1, "mail a@x.org", "mine", "yours"), (2, None, "mine", None)], "doc_id long, text string, _pii string, PII_kinds string")
     rows = {r["doc_id"]: r for r in pii.pseudonymize(df, PII_KEY).collect()}
