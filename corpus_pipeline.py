@@ -15,7 +15,11 @@ from ringwatch.llm.registry import BYTE_BPE, PII_KEY
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the co-trained quality classifier accepts."""
+    """Documents the co-trained quality classifier accepts.
+
+    Nulls in any column are values of their own and a null text is an empty one; repeated rows and ties are judged alike; very long texts are judged whole.
+    No rows give no rows. Without labels of both kinds all stay. Extra columns pass through.
+    """
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
@@ -38,13 +42,20 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms for personal data, and their new lengths."""
+    """Documents with pseudonyms for personal data, and their new lengths.
+
+    A null text stays null. Rows are mapped one by one, repeated and very long ones too; no rows give no rows. Extra columns pass through.
+    """
     new = pii.pseudonymize(docs, PII_KEY)
-    return new.withColumn("n_chars", F.when(F.size("pii_kinds") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return new.withColumn("n_chars", F.when(F.size(new.columns[-1]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 1024 tokens."""
+    """Pieces of the documents in sequences of at most 1024 tokens.
+
+    A null text is empty and takes its end id alone. Rows with one doc_id, or a null one, are packed each for itself; very long texts are cut. No rows give no rows.
+    Extra columns are ignored.
+    """
     return packing.pack(docs, BYTE_BPE)
 
 
