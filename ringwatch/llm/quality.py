@@ -96,10 +96,22 @@ def _numbers(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), -1)
 
 
+def _packed(words: pa.ListArray) -> pa.Array:
+    """Lists of places as bytes, two a place."""
+    ends, places = words.offsets.to_numpy() * 2, words.values.to_numpy().astype("<u2")
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(places)])
+
+
+def _unpacked(packed: pa.Array) -> pa.ListArray:
+    sizes = pc.binary_length(packed).to_numpy(zero_copy_only=False) // 2
+    places = np.frombuffer(b"".join(packed.to_pylist()), "<u2").astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(places))
+
+
 def stored(batch: pa.RecordBatch) -> Measures:
     """The measures of a batch as ``tokens`` keeps them."""
     page = batch.column("page").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
-    return Measures(batch.column("words"), page, *(_numbers(batch.column(c).to_pylist()) for c in ("text_x", "page_x")))
+    return Measures(_unpacked(batch.column("words")), page, *(_numbers(batch.column(c).to_pylist()) for c in ("text_x", "page_x")))
 
 
 def weights(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> np.ndarray:
@@ -176,16 +188,16 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, page, text_x, page_x) of every row."""
+    """(doc_id, words, page, text_x, page_x) of every row; the words' places packed, since all rows are shuffled once to their labels."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in merged(batches, "text"):
             m = measured(batch)
             numbers = [pa.array([r.astype("<f4").tobytes() for r in x], pa.binary()) for x in (m.text_x, m.page_x)]
             page = pa.array(m.page.tolist(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), m.words, page, *numbers], names=["doc_id", "words", "page", "text_x", "page_x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _packed(m.words), page, *numbers], names=["doc_id", "words", "page", "text_x", "page_x"])
 
-    return _plain(docs).mapInArrow(extract, "doc_id long, words array<int>, page array<int>, text_x binary, page_x binary")
+    return _plain(docs).mapInArrow(extract, "doc_id long, words binary, page array<int>, text_x binary, page_x binary")
 
 
 def told(rows: DataFrame, views: Views | None) -> DataFrame:
@@ -235,7 +247,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Views | None, DataFrame |
         return None, None
     every = len(kinds) < 6
     known = saved(known, "labels")
-    rows = saved(tokens(docs).join(known.select("doc_id", "y", (F.lit(every) | (F.col("role") == 0)).alias("counts")), "doc_id", "left").withColumn("counts", F.coalesce("counts", F.lit(False))), "tokens")
+    # Labels grow with the documents, so they are never broadcast: one plan at every size.
+    told_of = known.select("doc_id", "y", (F.lit(every) | (F.col("role") == 0)).alias("counts")).hint("merge")
+    rows = saved(tokens(docs).join(told_of, "doc_id", "left").withColumn("counts", F.coalesce("counts", F.lit(False))), "tokens")
     # At most LABELLED ids.
     chosen = known.where(F.lit(every) | (F.col("role") > 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).select("doc_id", "role")
     least = F.min(F.struct("words", "page", "text_x", "page_x", "y", "role"))
