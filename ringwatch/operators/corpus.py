@@ -241,8 +241,17 @@ def attempt_summary(attempts: DataFrame) -> DataFrame:
     return out.join(defects, "memo_id", "left").fillna(0, ["distinct_defects"])
 
 
-def titles(pages: DataFrame) -> DataFrame:
-    """(page_id, title): the page's title as fetched, entities resolved and white space collapsed; empty if it has none."""
+def titles(pages: DataFrame, entities: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """(page_id, title): the page's title as fetched, entities resolved and white space collapsed; empty if it has none.
+
+    With ``entities``, pairs of (written, meant), only these are resolved, one after the other and as they are written (``&amp`` without its semicolon stays),
+    only ASCII white space is collapsed, and a page without HTML has no title (null); all in JVM expressions.
+    """
+    if entities is not None:
+        title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+        for written, meant in entities:
+            title = F.replace(title, F.lit(written), F.lit(meant))
+        return pages.select("page_id", F.trim(F.regexp_replace(title, r"[\t\n\f\r ]+", " ")).alias("title"))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
