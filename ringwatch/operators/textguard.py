@@ -102,9 +102,9 @@ def scan(records: DataFrame) -> DataFrame:
     """Every match: record, family, offset and length in characters, and its text.
 
     What stands between the matches tells their offsets: a match begins after all pieces and matches before it. Only records with a match reach the window
-    that adds these lengths up.
+    that adds these lengths up. Rows are numbered before they are filtered: a filter may not pass that column, or it would fold the text once a literal.
     """
-    df = screened(records.select("record_id", "text")).where(F.array_contains("_may", True)).withColumn("_row", F.monotonically_increasing_id())
+    df = screened(records.select("record_id", "text")).withColumn("_row", F.monotonically_increasing_id()).where(F.array_contains("_may", True))
     found = []
     for i, k in enumerate(PATTERNS):
         hits = F.when(F.get("_may", i), F.regexp_extract_all("text", _pattern(k), F.lit(0)))
