@@ -51,7 +51,13 @@ def burst(df: DataFrame, key: str, ms: str) -> DataFrame:
 
 
 def velocity(comments: DataFrame, videos: DataFrame) -> DataFrame:
-    counts = burst(on_channels(comments, videos), "channel_id", "posted_ms")
+    """Bursts on each channel. Where comments were posted is stored before it is counted: a task never holds the join's rows and the counts at once."""
+    return pace(stored(on_channels(comments, videos).select("channel_id", "posted_ms"), "posted"))
+
+
+def pace(posts: DataFrame) -> DataFrame:
+    """``velocity`` of (channel_id, posted_ms)."""
+    counts = burst(posts, "channel_id", "posted_ms")
     return counts.withColumn("velocity", F.least(F.lit(1.0), F.col("burst_comments") / F.col("comment_count")))
 
 
@@ -68,6 +74,17 @@ def shared_by(commenters_: DataFrame, hints: DataFrame) -> DataFrame:
     return commenters_.join(held, "account_id").groupBy("channel_id", "signal_type", "signal_value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COORDINATION_FLOOR)
 
 
+def coordinated(posts: DataFrame, hints: DataFrame) -> DataFrame:
+    """``shared_by`` without the counts, of (channel_id, account_id) with repeats: two commenters differ if the least number among them is not the largest.
+
+    Accounts are numbered in order of their ids within the partition of their hash, so a task that is run again gives the same numbers.
+    """
+    value = F.struct("signal_type", "signal_value")
+    held = hints.groupBy(F.col("subject_id").alias("account_id")).agg(F.collect_set(value).alias("values")).sortWithinPartitions("account_id").withColumn("_n", F.monotonically_increasing_id())
+    each = posts.select("channel_id", "account_id").join(held, "account_id").select("channel_id", "_n", F.explode("values").alias("v")).select("channel_id", "_n", "v.*")
+    return each.groupBy("channel_id", "signal_type", "signal_value").agg(F.min("_n").alias("_a"), F.max("_n").alias("_b")).where("_a < _b").drop("_a", "_b")
+
+
 def inbound_signals(comments: DataFrame, videos: DataFrame, hints: DataFrame) -> DataFrame:
     """Signal values that at least two distinct commenters of a channel share."""
     return shared_by(commenters(comments, videos), hints)
@@ -88,18 +105,36 @@ def holder_bits(hints: DataFrame) -> DataFrame:
     return held.groupBy("signal_type", "signal_value", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("bits"))
 
 
+def holder_words(hints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who holds each value, as (signal_type, signal_value, word, bits), and how many each bit stands for, as (word, least, most, holders).
+
+    A bit is not a holder but all holders of the same values: there are far fewer of these, and they are few however many holders there are. They are numbered
+    in order of their counts within a partition, so nearly all bits of a word stand for equally many, and a task that is run again gives the same numbers.
+    """
+    held = hints.select("subject_id", F.struct("signal_type", "signal_value").alias("v")).distinct()
+    alike = held.groupBy("subject_id").agg(F.sort_array(F.collect_list("v")).alias("values")).withColumn("id", F.sha2(F.to_json("values"), 256))
+    kinds = alike.groupBy("id").agg(F.first("values").alias("values"), F.count(F.lit(1)).alias("n")).sortWithinPartitions("n", "id").withColumn("_n", F.monotonically_increasing_id())
+    kinds = kinds.select("values", "n", F.floor(F.col("_n") / 64).alias("word"), (F.col("_n") % 64).cast("int").alias("bit"))
+    kinds = stored(kinds, "kinds")
+    bits = kinds.select(F.explode("values").alias("v"), "word", F.expr("shiftleft(1L, bit)").alias("bits")).groupBy("v", "word").agg(F.bit_or("bits").alias("bits")).select("v.*", "word", "bits")
+    return bits, kinds.groupBy("word").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.map_from_entries(F.collect_list(F.struct("bit", "n"))).alias("holders"))
+
+
 def spread(channels: DataFrame, own: DataFrame, inbound: DataFrame, hints: DataFrame) -> DataFrame:
     """Distinct other holders of any of the channel's values, as a share of the cap.
 
-    The holders of a value are a few bitmaps, however many they are; those of a set of values are the bitmaps' union, counted once for each distinct
+    The holders of a value are a few words of bits, however many they are; those of a set of values are the words' union, counted once for each distinct
     set. A channel then subtracts itself and its owner, if they are among them.
     """
     values = _values(own, inbound)
     sets = values.groupBy("channel_id").agg(F.sort_array(F.collect_list(F.struct("signal_type", "signal_value"))).alias("values"))
     sets = sets.withColumn("set_id", F.sha2(F.to_json("values"), 256))
     each = sets.groupBy("set_id").agg(F.first("values").alias("values")).select("set_id", F.explode("values").alias("v")).select("set_id", "v.*")
-    union = each.join(holder_bits(hints), ["signal_type", "signal_value"]).groupBy("set_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    total = union.groupBy("set_id").agg(F.sum(F.bitmap_count("bits")).alias("all"))
+    words, weights = holder_words(hints)
+    union = each.join(words, ["signal_type", "signal_value"]).groupBy("set_id", "word").agg(F.bit_or("bits").alias("bits"))
+    one_by_one = F.expr("aggregate(map_entries(holders), 0L, (a, x) -> a + if(getbit(bits, x.key) = 1, x.value, 0L))")
+    count = F.when(F.col("least") == F.col("most"), F.bit_count("bits") * F.col("least")).otherwise(one_by_one)
+    total = union.join(weights, "word").groupBy("set_id").agg(F.sum(count).alias("all"))
     selves = channels.select("channel_id", F.explode(F.array_distinct(F.array("channel_id", "account_id"))).alias("subject_id"))
     mine = selves.join(hints.select("signal_type", "signal_value", "subject_id"), "subject_id").join(values, ["channel_id", "signal_type", "signal_value"]).groupBy("channel_id").agg(F.count_distinct("subject_id").alias("mine"))
     peers = sets.select("channel_id", "set_id").join(total, "set_id").join(channels.select("channel_id"), "channel_id").join(mine, "channel_id", "left")
@@ -116,19 +151,19 @@ def recidivism(own: DataFrame, inbound: DataFrame, hints: DataFrame) -> DataFram
 
 
 class Signals:
-    """What several components share, worked out once and stored: who comments where, own and inbound signal values."""
+    """What several components share, worked out once and stored: who comments where and when, own and inbound signal values."""
 
     def __init__(self, channels: DataFrame, videos: DataFrame, comments: DataFrame, hints: DataFrame):
         self.channels, self.videos, self.comments, self.hints = channels, videos, comments, hints
-        said = on_channels(comments, videos).groupBy("channel_id", "account_id").agg(F.count("template_id").alias("templated"))
-        self.said = stored(said, "commenters")
+        posts = on_channels(comments, videos).select("channel_id", "account_id", "posted_ms", F.col("template_id").isNotNull().alias("templated"))
+        self.posts = stored(posts, "posts")
         self.own = stored(own_signals(channels, hints), "own")
-        self.inbound = stored(shared_by(self.said, hints), "inbound")
+        self.inbound = stored(coordinated(self.posts, hints), "inbound")
 
     def severe(self) -> DataFrame:
         """Every channel with a signal of its own, coordinated commenters or templates, and its severity."""
         kinds = lambda df, name: df.groupBy("channel_id").agg(F.array_sort(F.collect_set("signal_type")).alias(name))
-        copies = self.said.groupBy("channel_id").agg(F.sum("templated").alias("templated_comments"))
+        copies = self.posts.where("templated").groupBy("channel_id").agg(F.count(F.lit(1)).alias("templated_comments"))
         df = self.channels.select("channel_id", "account_id")
         for part in (kinds(self.own, "own_kinds"), kinds(self.inbound, "inbound_kinds"), undisclosed(self.videos), copies):
             df = df.join(part, "channel_id", "left")
@@ -143,7 +178,7 @@ class Signals:
         """The rows of ``severe`` with the other components, worked out for the channels of ``few`` alone (or for all)."""
         only = (lambda x: x.join(few, "channel_id", "left_semi")) if few is not None else (lambda x: x)
         channels, own, inbound = only(self.channels), only(self.own), only(self.inbound)
-        for part in (velocity(self.comments, only(self.videos)), spread(channels, own, inbound, self.hints), recidivism(own, inbound, self.hints)):
+        for part in (pace(only(self.posts)), spread(channels, own, inbound, self.hints), recidivism(own, inbound, self.hints)):
             df = df.join(part, "channel_id", "left")
         zero = {c: 0 for c in ("undisclosed_videos", "templated_comments", "comment_count", "burst_comments", "peer_entities", "pattern_days")}
         return df.fillna(zero | {c: 0.0 for c in ("velocity", "spread", "recidivism")}).select("channel_id", "account_id", *WEIGHTS, *zero)
