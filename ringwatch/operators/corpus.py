@@ -8,6 +8,7 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,21 +67,25 @@ class _Sections(HTMLParser):
             self.out[-1][1].append(data)
 
 
-def sections(pages: DataFrame, least: int = 3) -> DataFrame:
-    """(page_id, ordinal, heading, text) of pages; text before the first heading is dropped."""
+def sections(pages: DataFrame, least: int = 3, most: int = 64) -> DataFrame:
+    """(page_id, ordinal, heading, text) of pages; text before the first heading is dropped.
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for page, html in zip(frame["page_id"], frame["html"], strict=True):
-                parser = _Sections()
-                parser.feed(html or "")
-                parser.close()
-                found = [(h, " ".join("".join(t).split())) for h, t in parser.out]
-                rows += [(page, i, h, t) for i, (h, t) in enumerate((h, t) for h, t in found if h and len(t.split()) >= least)]
-            yield pd.DataFrame(rows, columns=["page_id", "ordinal", "heading", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(cut, "page_id long, ordinal int, heading string, text string")
+    A task turns ``most`` pages at a time into Python's strings, however many its batch holds, and passes their sections on before it takes the next.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                part, rows = batch.slice(start, most), []
+                for page, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    parser = _Sections()
+                    parser.feed(html or "")
+                    parser.close()
+                    found = [(h, " ".join("".join(t).split())) for h, t in parser.out]
+                    rows += [(page, i, h, t) for i, (h, t) in enumerate((h, t) for h, t in found if h and len(t.split()) >= least)]
+                yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], ["page_id", "ordinal", "heading", "text"])
+
+    return pages.select("page_id", "html").mapInArrow(cut, "page_id long, ordinal int, heading string, text string")
 
 
 def slug(heading: Column) -> Column:
