@@ -74,7 +74,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 def aligned(a: Column, b: Column) -> Column:
     """Share of the anchors ``a`` that ``b`` has at the same place."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    # Strings meet in a hash set; structs would be compared each with each.
+    keys = lambda x: F.transform(x, lambda y: F.concat_ws(":", y["place"].cast("string"), y["hash"].cast("string")))
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(keys(a), keys(b))) / F.size(a))
 
 
 def printed(a: Column) -> Column:
