@@ -12,8 +12,10 @@ were laden on both sides in one index and met in no other, and each index covers
 
 Proposed pairs pass an odd sketch (parities of hashed shingles: its differing bits never exceed
 the differing shingles, so nothing linked is lost) and then the exact comparison of the sets.
-The first round compares each member of a bucket with one centre only; the second compares the
-remaining pairs of different components, which settles the components. As a link never leaves its
+The first round compares each member of a bucket with one centre only. In the second, the remaining pairs
+of different components that sketches don't rule out gather sets in clusters (as stars, at most a row for each set
+in a task, since near copies would make rows by the square), and the sets of a cluster are compared block against block,
+which settles the components. As a link never leaves its
 component, ``join`` and ``links`` then compare all classes (distinct sets) of each component of three or more, block
 against block; ``groups`` leaves that out.
 
@@ -296,14 +298,20 @@ def in_common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)) if len(x) else 0
 
 
-def verify(pairs: DataFrame, docs: DataFrame, least: DataFrame, words: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
-    """The pairs whose whole sets are similar enough, and the sets of all proposed documents."""
+def loaded(wanted: DataFrame, docs: DataFrame, least: DataFrame, words: int) -> DataFrame:
+    """(doc_id, elements): the sets of the wanted documents."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in merged(batches, "text", 2 << 20):
             ids, flat, sizes = _as_known(batch, words)
             yield pa.RecordBatch.from_arrays([ids, strings(flat.view(np.uint8), sizes * 8).cast(pa.binary())], names=["doc_id", "elements"])
 
+    return saved(docs.join(least.join(wanted, "doc_id", "left_semi"), "doc_id").mapInArrow(load, "doc_id long, elements binary"), "sets")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, least: DataFrame, words: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose whole sets are similar enough, and the sets of all proposed documents."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -315,7 +323,7 @@ def verify(pairs: DataFrame, docs: DataFrame, least: DataFrame, words: int, sche
 
     pairs = saved(pairs, "proposed")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = saved(docs.join(least.join(wanted, "doc_id", "left_semi"), "doc_id").mapInArrow(load, "doc_id long, elements binary"), "sets")
+    sets = loaded(wanted, docs, least, words)
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("elements").alias(f"x{c}"))
     return saved(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long"), "links"), sets
 
@@ -394,6 +402,71 @@ def _starts(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
     return np.flatnonzero(np.append(True, (columns[:, 1:] != columns[:, :-1]).any(axis=0)))
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs' connected components: each least member with each other member."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        new, low = label.copy(), np.minimum(label[x], label[y])
+        for side in (x, y, label[x], label[y]):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(names)))
+    return names[label[other]], names[other]
+
+
+def spanning(ok: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a forest that joins what the symmetric matrix ``ok`` joins."""
+    out, open_ = [], ok.any(axis=1)
+    for root in np.flatnonzero(open_).tolist():
+        todo = [root] if open_[root] else []
+        open_[root] = False
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(ok[at] & open_).tolist()
+            open_[new] = False
+            out += [(at, n) for n in new]
+            todo += new
+    return out
+
+
+def settle(proposed: DataFrame, label: DataFrame, rep: DataFrame, docs: DataFrame, least: DataFrame, words: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """Links that join whatever links between components the clusters of proposed pairs hold, and the clusters' sets.
+
+    All sets of a cluster meet, block against block; of a meeting's links those of a spanning forest stay.
+    """
+    member = saved(components(proposed).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+    sets = loaded(member, docs, least, words)
+    rows = meetings(member.join(rep.select("doc_id", "n_shingles"), "doc_id"), "cluster", scheme)
+    rows = rows.join(label.select("doc_id", "component"), "doc_id").join(sets, "doc_id")
+    keys = ("cluster", "i", "j")
+
+    def linked(group: pa.Table) -> pa.RecordBatch:
+        side, doc, part = (group[c].to_numpy() for c in ("side", "doc_id", "component"))
+        elements = [np.frombuffer(e.as_buffer(), _U) for e in group["elements"]]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        own = not len(y)
+        y = x if own else y
+        ok = np.zeros((len(doc), len(doc)), bool)
+        ok[np.ix_(x, y)] = alike([elements[i] for i in x.tolist()], [elements[i] for i in y.tolist()], scheme.percent) & (part[x][:, None] != part[y][None, :])
+        edges = np.array(spanning(ok if own else ok | ok.T), np.int64).reshape(-1, 2)
+        ends = np.sort(doc[edges], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches, keys):
+            starts = _starts(table, keys).tolist()
+            for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                yield linked(table.slice(a, b - a))
+
+    dealt = rows.select("cluster", "i", "j", "side", "doc_id", "component", "elements").repartition(*keys).sortWithinPartitions(*keys)
+    return saved(dealt.mapInArrow(compare, "a long, b long"), "links"), sets
+
+
 def every_link(found: DataFrame, parts: DataFrame, rep: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     """(class_id, near): classes and arrays of classes linked to them; several rows for a class in several block pairs.
 
@@ -435,7 +508,7 @@ def every_link(found: DataFrame, parts: DataFrame, rep: DataFrame, sets: DataFra
 
 
 def proposals(rows: DataFrame, rep: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs of different components within each signature that sketches don't rule out.
+    """Stars (a, b) of what pairs of different components within each signature join, pairs that sketches don't rule out.
 
     ``rows`` has (sig, doc_id, component). A signature with more than ``BLOCK`` sets is dealt to blocks.
     """
@@ -461,7 +534,7 @@ def proposals(rows: DataFrame, rep: DataFrame, scheme: Scheme) -> DataFrame:
             pair, first = np.unique(pair, axis=1, return_index=True)
             a, b = a[first], b[first]
             ok = distances(sketch, a, sketch, b) <= scheme.differ(n[a] + n[b])
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0][ok]), pa.array(pair[1][ok])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(pair[0][ok], pair[1][ok])], names=["a", "b"])
 
     big = saved(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("sig"), "big")
     zero = [F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side")]
@@ -512,7 +585,10 @@ def _matched(docs: DataFrame, words: int, scheme: Scheme) -> tuple[DataFrame, ..
     rows = open_.where(F.col("parts") <= CROWD).select("sig", "doc_id", "component")
     if not laden.isEmpty():
         rows = rows.unionByName(mixed_buckets(index(docs.join(laden, "doc_id"), words, scheme, True), label).select("sig", "doc_id", "component"))
-    more, others = verify(proposals(rows.distinct(), rep, scheme), docs, least, words, scheme)
+    proposed = saved(proposals(rows.distinct(), rep, scheme), "proposed")
+    if proposed.isEmpty():
+        return facts, parts, found, rep, elements
+    more, others = settle(proposed, label, rep, docs, least, words, scheme)
     if not more.isEmpty():
         found = found.unionByName(more)
         parts = components(found)

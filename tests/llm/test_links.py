@@ -49,3 +49,29 @@ def test_counts_by_columns_are_intersections():
     sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 900)).astype(np.uint64)) for _ in range(40)]
     want = [[100 * len(np.intersect1d(a, b)) >= 10 * len(np.union1d(a, b)) for b in sets[25:]] for a in sets[:25]]
     assert jaccard.alike(sets[:25], sets[25:], 10).tolist() == want and 0 < np.sum(want) < 375
+
+
+def test_near_copies_are_proposed_in_rows_by_their_number(spark):
+    """Sets of one signature whose sketches rule nothing out: rows grow with the sets, not with their pairs."""
+    size = 60
+    rows = spark.range(size).selectExpr("explode(array(5L, 6L)) as sig", "id as doc_id", "id as component")
+    rep = spark.range(size).selectExpr("id as doc_id", "100L as n_shingles", "unhex(repeat('0f', 32)) as sketch")
+    made = jaccard.proposals(rows, rep, jaccard.Scheme(85)).collect()
+    assert sorted((r["a"], r["b"]) for r in made) == [(0, i) for i in range(1, size)]
+
+
+def test_stars_and_forests_join_what_their_pairs_join():
+    rng = np.random.default_rng(4)
+    for edges in (1, 30, 90, 2000):
+        a, b = rng.integers(0, 120, (2, edges)) * 7
+        part = {int(x): int(x) for x in np.concatenate([a, b])}
+        for _ in range(120):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                part[x] = part[y] = min(part[x], part[y])
+        low, other = jaccard.stars(a, b)
+        assert dict(zip(other.tolist(), low.tolist(), strict=True)) == {k: v for k, v in part.items() if k != v}
+        ok = np.zeros((840, 840), bool)
+        ok[a, b] = ok[b, a] = True
+        np.fill_diagonal(ok, False)
+        forest = jaccard.spanning(ok)
+        assert len(forest) == len(set(part)) - len(set(part.values())) and all(ok[x, y] for x, y in forest)
