@@ -193,27 +193,31 @@ class Vocabulary:
         return [flat[a + 1 : b] if b > a else b"" for a, b in zip(upto[ends - counts].tolist(), upto[ends].tolist(), strict=True)]
 
 
-def _rows(doc: pa.Array, texts: pa.Array, ids: np.ndarray, counts: np.ndarray, score: np.ndarray, decoded: list[bytes]) -> pa.RecordBatch:
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+def _rows(doc: pa.Array, n_chars: pa.Array, text_crc32: pa.Array, ids: np.ndarray, counts: np.ndarray, score: np.ndarray, decoded: list[bytes]) -> pa.RecordBatch:
     offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
     columns = {
         "doc_id": doc.cast(pa.int64()),
-        "n_chars": pa.array([len(t or "") for t in texts.to_pylist()], pa.int64()),
+        "n_chars": n_chars,
         "n_tokens": pa.array(counts, pa.int64()),
         "score": pa.array(score, pa.int64()),
-        "text_crc32": pa.array([zlib.crc32(r) for r in raw], pa.int64()),
+        "text_crc32": text_crc32,
         "decoded_crc32": pa.array([zlib.crc32(d) for d in decoded], pa.int64()),
         "ids": pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())),
     }
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _facts(texts: list[str]) -> list[pa.Array]:
+    """Code points and checksum of each text."""
+    return [pa.array([len(t) for t in texts], pa.int64()), pa.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())]
+
+
 def _short(docs: DataFrame, path: str) -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, cache = Vocabulary(path), {}
         for batch in merged(batches, "text"):
             ids, counts, score = words.encode(batch.column("text"), cache)
-            yield _rows(batch.column("doc_id"), batch.column("text"), ids, counts, score, words.decode(ids, counts))
+            yield _rows(batch.column("doc_id"), *_facts([t or "" for t in batch.column("text").to_pylist()]), ids, counts, score, words.decode(ids, counts))
 
     return docs.mapInArrow(code, ENCODED)
 
@@ -236,27 +240,30 @@ def boundary_states(matrices: np.ndarray) -> np.ndarray:
 
 
 def _long(docs: DataFrame, path: str, chunk: int) -> DataFrame:
+    """Texts are dealt out twice, as chunks: what else is said of a text goes with its first chunk, and rows have numbers of their own."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                whole = " " + text
+                whole, facts = " " + text, _facts([text])
                 for k in range(0, len(whole), chunk):
-                    yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([row]), pa.array([k // chunk], pa.int32()), pa.array([whole[k : k + chunk + REACH]])], names=["doc_id", "row", "k", "part"])
+                    told = [pa.array([doc], pa.int64()), *facts] if k == 0 else [pa.nulls(1, pa.int64())] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([k // chunk], pa.int32()), *told, pa.array([whole[k : k + chunk + REACH]])], names=["row", "k", "doc_id", "n_chars", "text_crc32", "part"])
 
-    whole = docs.select("doc_id", F.md5("text").alias("row"), "text").dropDuplicates(["doc_id", "row"])
-    chunks = saved(whole.mapInArrow(cut, "doc_id long, row string, k int, part string").repartition("doc_id", "row", "k"), "chunks")
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    chunks = saved(numbered.mapInArrow(cut, "row long, k int, doc_id long, n_chars long, text_crc32 long, part string").repartition("row", "k"), "chunks")
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(path)
         for batch in batches:
             found = [words.transfer(p[: chunk + words.longest - 1], min(chunk, len(p))).tobytes() for p in batch.column("part").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "k")), pa.array(found, pa.binary())], names=["doc_id", "row", "k", "matrix"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "k")), pa.array(found, pa.binary())], names=["row", "k", "matrix"])
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
         side = math.isqrt(len(rows["matrix"].iloc[0]) // 8)
         states = boundary_states(np.stack([np.frombuffer(m, np.int64).reshape(side, side) for m in rows["matrix"]]))
-        return rows[["doc_id", "row", "k"]].assign(enter=states[:-1], leave=states[1:])
+        return rows[["row", "k"]].assign(enter=states[:-1], leave=states[1:])
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(path)
@@ -267,25 +274,24 @@ def _long(docs: DataFrame, path: str, chunk: int) -> DataFrame:
                 s, found = words.best(p, size, a, b)
                 ids.append(found)
                 score.append(s)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "k")), pa.array(ids, pa.list_(pa.int32())), pa.array(score, pa.int64())], names=["doc_id", "row", "k", "ids", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in told), pa.array(ids, pa.list_(pa.int32())), pa.array(score, pa.int64())], names=[*told, "ids", "score"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(path)
         for batch in batches:
             lists = batch.column("ids")
             counts, ids = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
-            yield _rows(batch.column("doc_id"), batch.column("text"), ids, counts, batch.column("score").to_numpy(), words.decode(ids, counts))
+            yield _rows(*(batch.column(c) for c in told[2:]), ids, counts, batch.column("score").to_numpy(), words.decode(ids, counts))
 
-    matrices = saved(chunks.mapInArrow(transfers, "doc_id long, row string, k int, matrix binary"), "transfers")
+    told = ["row", "k", "doc_id", "n_chars", "text_crc32"]
+    matrices = saved(chunks.select("row", "k", "part").mapInArrow(transfers, "row long, k int, matrix binary"), "transfers")
     # One small matrix for each chunk of a document meets in a group.
-    states = matrices.groupBy("doc_id", "row").applyInPandas(scan, "doc_id long, row string, k int, enter long, leave long")
-    same = [chunks[c].eqNullSafe(states[c]) for c in ("doc_id", "row", "k")]
-    traced = chunks.join(states, same[0] & same[1] & same[2]).select(chunks["doc_id"], chunks["row"], chunks["k"], "part", "enter", "leave").mapInArrow(trace, "doc_id long, row string, k int, ids array<int>, score long")
+    states = matrices.groupBy("row").applyInPandas(scan, "row long, k int, enter long, leave long")
+    traced = chunks.join(states, ["row", "k"]).select(*told, "part", "enter", "leave").mapInArrow(trace, "row long, k int, doc_id long, n_chars long, text_crc32 long, ids array<int>, score long")
     parts = F.sort_array(F.collect_list(F.struct("k", "ids")))
-    coded = traced.groupBy("doc_id", "row").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"), F.sum("score").alias("score"))
-    back = docs.withColumn("row", F.md5("text"))
-    joined = back.join(coded, back["doc_id"].eqNullSafe(coded["doc_id"]) & (back["row"] == coded["row"])).select(back["doc_id"], "text", "ids", "score")
-    return joined.mapInArrow(finish, ENCODED)
+    first = [F.max(c).alias(c) for c in told[2:]]  # null but in the first chunk
+    coded = traced.groupBy("row").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"), F.sum("score").alias("score"), *first)
+    return coded.drop("row").mapInArrow(finish, ENCODED)
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
