@@ -5,8 +5,8 @@ sums are exact in any order. The best segmentation is a longest path, hence a pr
 (max, +) semiring: a text is cut into chunks, each gives the matrix of best scores
 between the states at its two ends (how far a piece reaches over the boundary), matrices are combined by an
 associative scan, and once the states at all boundaries are known every chunk finds its pieces on its own. Texts of up to
-``CHUNK`` characters are one chunk. Within a chunk no piece crosses a blank after other characters, so the
-stretches between such blanks are solved once for each distinct stretch of a batch.
+``CHUNK`` characters are one chunk. Within a chunk no piece crosses a blank after other characters or a line break, so the
+stretches between such places are solved once for each distinct stretch of a task, before the states are known.
 
 Decoding gives back the very text: characters outside the vocabulary are spelled in bytes, as is a
 literal U+2581. Ties between segmentations go to the longer piece at the end, within a chunk.
@@ -18,11 +18,12 @@ texts are chunked, and one task holds a small matrix for each chunk of a text. E
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,10 @@ _NONE = -(1 << 50)
 ENCODED = "doc_id long, n_chars long, n_tokens long, score long, text_crc32 long, decoded_crc32 long, ids array<int>"
 
 
+#: Where no piece goes on: before a blank that follows another character, and before a line break.
+_CUT = re.compile(r"(?<! ) |\n")
+
+
 class Vocabulary:
     """Pieces with blanks as blanks, their scores, and the bytes of every id."""
 
@@ -115,29 +120,43 @@ class Vocabulary:
             at = back[at]
         return score[n], [i for part in reversed(out) for i in self.spell(part)]
 
-    def transfer(self, text: str, size: int) -> np.ndarray:
+    def cuts(self, text: str, size: int) -> tuple[int, int]:
+        """First and last place of ``text[:size]``, from ``longest`` on, that no piece crosses and no state reaches over; ``size`` twice if there is none."""
+        found = _CUT.search(text, self.longest, size)
+        if found is None:
+            return size, size
+        line, last = text.rfind("\n", self.longest, size), text.rfind(" ", self.longest, size)
+        while last > line and text[last - 1] == " ":
+            last = text.rfind(" ", self.longest, last)
+        return found.start(), max(last, line)
+
+    def transfer(self, text: str, size: int, middle: int | None = None) -> np.ndarray:
         """Best scores from each state before the chunk ``text[:size]`` to each after it.
 
-        ``text`` goes on for up to ``longest - 1`` characters, into which the last piece may reach.
+        ``text`` goes on for up to ``longest - 1`` characters, into which the last piece may reach. ``middle``: the score between the cuts, if known.
         """
         width = self.longest
-        score = np.full((size + width, width), _NONE, np.int64)
-        for i in range(min(width, size + width)):
-            score[i, i] = 0
-        cuts = [i for i in range(width, size) if text[i] == " " and text[i - 1] != " "]
-        a, b = (cuts[0], cuts[-1]) if cuts else (size, size)
-        # Every path meets at each cut, so between the first and the last one number is added.
-        def advance(lo: int, hi: int) -> None:
-            for i in range(lo, hi):
+        a, b = self.cuts(text, size)
+        if a == size:
+            score = np.full((size + width, width), _NONE, np.int64)
+            for i in range(min(width, size + width)):
+                score[i, i] = 0
+            for i in range(size):
                 if score[i].max() > _NONE:
                     for k, s in self.edges(text, i):
                         np.maximum(score[i + k], score[i] + s, out=score[i + k])
-
-        advance(0, a)
-        if a < b:
-            score[b] = score[a] + self.units(text[a:b])[1]
-        advance(b, size)
-        return np.maximum(score[size : size + width].T, _NONE)
+            return np.maximum(score[size : size + width].T, _NONE)
+        # Every path meets at both cuts, so the matrix is a sum of the ways to the first, the way between them and the ways from the last.
+        left, right = [0] * (a + 1), [0] + [_NONE] * (size - b + width)
+        for i in range(a - 1, -1, -1):
+            left[i] = max(s + left[i + k] for k, s in self.edges(text, i))
+        for i in range(size - b):
+            if right[i] > _NONE:
+                for k, s in self.edges(text, b + i):
+                    right[i + k] = max(right[i + k], right[i] + s)
+        if middle is None:
+            middle = self.units(text[a:b])[1]
+        return np.maximum(np.array(left[:width])[:, None] + middle + np.array(right[size - b : size - b + width]), _NONE)
 
     def units(self, text: str) -> tuple[list[int], int]:
         """Ids and score of a stretch that begins and ends at cuts."""
@@ -152,10 +171,10 @@ class Vocabulary:
             ids += found
         return ids, total
 
-    def encode(self, texts: pa.Array, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids in order, and for each text the number of ids and the score."""
+    def encode(self, texts: pa.Array, cache: dict, lead: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in order, and for each text the number of ids and the score; ``lead``: a blank goes before each text."""
         raw, offsets = utf8(texts)
-        some = np.diff(offsets) > 0
+        some = (np.diff(offsets) > 0) & lead
         new = offsets + np.concatenate([[0], np.cumsum(some)])
         data = np.full(int(new[-1]), 0x20, np.uint8)
         fill = np.ones(len(data), bool)
@@ -165,7 +184,7 @@ class Vocabulary:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         start, blank, line = np.zeros(len(data), bool), data == 0x20, data == 0x0A
         start[1:] = (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
-        start[new[:-1][some]] = True
+        start[new[:-1][np.diff(new) > 0]] = True
         at = np.flatnonzero(start)
         units = strings(data, np.diff(np.append(at, len(data)))).dictionary_encode()
         values = units.dictionary.to_pylist()
@@ -193,6 +212,17 @@ class Vocabulary:
         return [flat[a + 1 : b] if b > a else b"" for a, b in zip(upto[ends - counts].tolist(), upto[ends].tolist(), strict=True)]
 
 
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary, read once a process."""
+    return Vocabulary(path)
+
+
+def _packing(words: Vocabulary) -> np.dtype:
+    """What an id is stored in between steps."""
+    return np.dtype(np.uint16 if len(words.raw) <= 1 << 16 else np.int32)
+
+
 def _rows(doc: pa.Array, n_chars: pa.Array, text_crc32: pa.Array, ids: np.ndarray, counts: np.ndarray, score: np.ndarray, decoded: list[bytes]) -> pa.RecordBatch:
     offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
     columns = {
@@ -214,7 +244,7 @@ def _facts(texts: list[str]) -> list[pa.Array]:
 
 def _short(docs: DataFrame, path: str) -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cache = Vocabulary(path), {}
+        words, cache = vocabulary(path), {}
         for batch in merged(batches, "text"):
             ids, counts, score = words.encode(batch.column("text"), cache)
             yield _rows(batch.column("doc_id"), *_facts([t or "" for t in batch.column("text").to_pylist()]), ids, counts, score, words.decode(ids, counts))
@@ -224,7 +254,7 @@ def _short(docs: DataFrame, path: str) -> DataFrame:
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products of stacks of matrices in the (max, +) semiring."""
-    return np.maximum((a[:, :, :, None] + b[:, None, :, :]).max(axis=2), _NONE)
+    return np.maximum(reduce(np.maximum, (a[:, :, k, None] + b[:, k, None, :] for k in range(a.shape[2]))), _NONE)
 
 
 def boundary_states(matrices: np.ndarray) -> np.ndarray:
@@ -240,7 +270,8 @@ def boundary_states(matrices: np.ndarray) -> np.ndarray:
 
 
 def _long(docs: DataFrame, path: str, chunk: int) -> DataFrame:
-    """Texts are dealt out twice, as chunks: what else is said of a text goes with its first chunk, and rows have numbers of their own."""
+    """Texts are dealt out as chunks. What lies between a chunk's cuts is the same whatever its states are, so it is coded at once, and only ids, the matrix and the two
+    ends go on to where a text's states are found. What else is said of a text goes with its first chunk, and rows have numbers of their own."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,48 +281,41 @@ def _long(docs: DataFrame, path: str, chunk: int) -> DataFrame:
                     told = [pa.array([doc], pa.int64()), *facts] if k == 0 else [pa.nulls(1, pa.int64())] * 3
                     yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([k // chunk], pa.int32()), *told, pa.array([whole[k : k + chunk + REACH]])], names=["row", "k", "doc_id", "n_chars", "text_crc32", "part"])
 
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    chunks = saved(numbered.mapInArrow(cut, "row long, k int, doc_id long, n_chars long, text_crc32 long, part string").repartition("row", "k"), "chunks")
-
-    def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(path)
-        for batch in batches:
-            found = [words.transfer(p[: chunk + words.longest - 1], min(chunk, len(p))).tobytes() for p in batch.column("part").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "k")), pa.array(found, pa.binary())], names=["row", "k", "matrix"])
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        side = math.isqrt(len(rows["matrix"].iloc[0]) // 8)
-        states = boundary_states(np.stack([np.frombuffer(m, np.int64).reshape(side, side) for m in rows["matrix"]]))
-        return rows[["row", "k"]].assign(enter=states[:-1], leave=states[1:])
-
-    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(path)
-        for batch in batches:
-            ids, score = [], []
-            for p, a, b in zip(*(batch.column(c).to_pylist() for c in ("part", "enter", "leave")), strict=True):
-                size = min(chunk, len(p))
-                s, found = words.best(p, size, a, b)
-                ids.append(found)
-                score.append(s)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in told), pa.array(ids, pa.list_(pa.int32())), pa.array(score, pa.int64())], names=[*told, "ids", "score"])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(path)
-        for batch in batches:
-            lists = batch.column("ids")
-            counts, ids = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
-            yield _rows(*(batch.column(c) for c in told[2:]), ids, counts, batch.column("score").to_numpy(), words.decode(ids, counts))
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, cache = vocabulary(path), {}
+        for batch in merged(batches, "part"):
+            parts = [p[: chunk + words.longest - 1] for p in batch.column("part").to_pylist()]
+            sizes = [min(chunk, len(p)) for p in parts]
+            cuts = [words.cuts(p, n) for p, n in zip(parts, sizes, strict=True)]
+            ids, counts, score = words.encode(pa.array([p[a:b] for p, (a, b) in zip(parts, cuts, strict=True)], pa.string()), cache, lead=False)
+            found = [words.transfer(p, n, m).tobytes() for p, n, m in zip(parts, sizes, score.tolist(), strict=True)]
+            # Without a cut the whole chunk is its tail.
+            inner = [a < n for n, (a, _) in zip(sizes, cuts, strict=True)]
+            heads = [p[:a] if x else None for p, (a, _), x in zip(parts, cuts, inner, strict=True)]
+            tails = [p[b:] if x else p for p, (_, b), x in zip(parts, cuts, inner, strict=True)]
+            stops = [n - b if x else n for n, (_, b), x in zip(sizes, cuts, inner, strict=True)]
+            packed = strings(ids.astype(_packing(words)).view(np.uint8), counts * _packing(words).itemsize).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in told), pa.array(found, pa.binary()), pa.array(heads, pa.string()), packed, pa.array(tails, pa.string()), pa.array(stops, pa.int32())], names=[*told, "matrix", "head", "ids", "tail", "stop"])
+
+    def join(rows: pa.Table) -> pa.Table:
+        words, rows = vocabulary(path), rows.sort_by("k")
+        matrices = np.stack([np.frombuffer(m, np.int64).reshape(words.longest, words.longest) for m in rows["matrix"].to_pylist()])
+        states = boundary_states(matrices)
+        score, ids = int(matrices[np.arange(len(matrices)), states[:-1], states[1:]].sum()), []
+        for enter, leave, head, inner, tail, stop in zip(states[:-1].tolist(), states[1:].tolist(), *(rows[c].to_pylist() for c in ("head", "ids", "tail", "stop")), strict=True):
+            if head is not None:
+                ids += [np.array(words.best(head, None, enter)[1], np.int32), np.frombuffer(inner, _packing(words)).astype(np.int32)]
+            ids.append(np.array(words.best(tail, stop, enter if head is None else 0, leave)[1], np.int32))
+        ids = np.concatenate(ids)
+        counts, first = np.array([len(ids)]), rows.slice(0, 1).combine_chunks()
+        return pa.Table.from_batches([_rows(*(first[c].combine_chunks() for c in told[2:]), ids, counts, np.array([score]), words.decode(ids, counts))])
 
     told = ["row", "k", "doc_id", "n_chars", "text_crc32"]
-    matrices = saved(chunks.select("row", "k", "part").mapInArrow(transfers, "row long, k int, matrix binary"), "transfers")
-    # One small matrix for each chunk of a document meets in a group.
-    states = matrices.groupBy("row").applyInPandas(scan, "row long, k int, enter long, leave long")
-    traced = chunks.join(states, ["row", "k"]).select(*told, "part", "enter", "leave").mapInArrow(trace, "row long, k int, doc_id long, n_chars long, text_crc32 long, ids array<int>, score long")
-    parts = F.sort_array(F.collect_list(F.struct("k", "ids")))
-    first = [F.max(c).alias(c) for c in told[2:]]  # null but in the first chunk
-    coded = traced.groupBy("row").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"), F.sum("score").alias("score"), *first)
-    return coded.drop("row").mapInArrow(finish, ENCODED)
+    facts = "row long, k int, doc_id long, n_chars long, text_crc32 long"
+    chunks = saved(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, f"{facts}, part string").repartition("row", "k"), "chunks")
+    coded = chunks.mapInArrow(code, f"{facts}, matrix binary, head string, ids binary, tail string, stop int")
+    # A text's ids meet in one group, since its row holds them all; with them a small matrix for each chunk.
+    return coded.groupBy("row").applyInArrow(join, ENCODED)
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
@@ -306,7 +330,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(path)
+        words = vocabulary(path)
         for batch in batches:
             lists = batch.column("ids")
             texts = words.decode(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64))
