@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ringwatch.operators.graph import BUDGETS, OFFERS, RECOVERABLE
+from ringwatch.operators.graph import BUDGETS, OFFERS, RECOVERABLE, rings
 from ringwatch.sources.scratch import stored
 
 _COLUMNS = ["subject", "row", "node_id", "kind"]
@@ -26,19 +26,24 @@ def _cut(df: DataFrame, order: list, limit: int) -> DataFrame:
     return df.withColumn("row", F.row_number().over(Window.partitionBy("subject").orderBy(*order))).where(F.col("row") <= limit)
 
 
+def _own_videos(p, who: DataFrame) -> DataFrame:
+    """Videos of the channels asked for, stored: Spark then knows that they are few, and large tables need not be dealt out to meet them."""
+    return stored(p.video.join(who, "channel_id", "left_semi").select("video_id", F.col("channel_id").alias("subject")), "videos")
+
+
 def account_links(p, subjects: DataFrame, limit: int) -> DataFrame:
     """Owners and commenters of channels."""
     who = subjects.select(F.col("subject").alias("channel_id"))
     owner = p.channel.join(who, "channel_id", "left_semi").select(F.col("channel_id").alias("subject"), "account_id", F.lit("owner").alias("relation"), F.lit(1).cast("long").alias("weight"))
-    own = p.video.join(who, "channel_id", "left_semi").select("video_id", F.col("channel_id").alias("subject"))
-    said = p.comment.join(own, "video_id").groupBy("subject", "account_id").agg(F.count(F.lit(1)).alias("weight")).select("subject", "account_id", F.lit("commenter").alias("relation"), "weight")
+    own = _own_videos(p, who)
+    said = p.comments_among(own.select("video_id")).join(own, "video_id").groupBy("subject", "account_id").agg(F.count(F.lit(1)).alias("weight")).select("subject", "account_id", F.lit("commenter").alias("relation"), "weight")
     return _cut(owner.unionByName(said), [F.desc("weight"), "account_id", "relation"], limit).select("subject", "row", F.col("account_id").alias("node_id"), F.lit("account").alias("kind"))
 
 
 def engagement_edges(p, subjects: DataFrame, limit: int) -> DataFrame:
     """Who engaged with channels or their videos, and with which videos."""
     who = subjects.select(F.col("subject").alias("channel_id"))
-    own = p.video.join(who, "channel_id", "left_semi").select("video_id", F.col("channel_id").alias("subject"))
+    own = _own_videos(p, who)
     events = p.engagement_event
     on_video = events.join(own, "video_id").select("subject", "account_id", F.lit("video").alias("target_kind"), F.col("video_id").alias("target_id"), "kind")
     on_channel = events.join(who, "channel_id", "left_semi").select(F.col("channel_id").alias("subject"), "account_id", F.lit("channel").alias("target_kind"), F.col("channel_id").alias("target_id"), "kind")
@@ -103,16 +108,37 @@ def explore(platform, seeds: DataFrame, budget: int = 20, limit: int = 25) -> tu
         nodes = stored(both.groupBy("seed", "node_id").agg(F.min_by("kind", "hop_index").alias("kind"), F.min("hop_index").alias("hop_index")), "nodes")
 
 
-def ring_seeds(platform) -> DataFrame:
-    """Where a ring's investigation starts: the channel of its least member."""
-    members = platform.labels.where("ring_id is not null").select("ring_id", "entity_kind", "entity_id").distinct()
+def ring_members(platform) -> DataFrame:
+    """Members of all rings, worked out once and stored."""
+    return stored(rings(platform.labels), "members")
+
+
+def _homes(platform, few: DataFrame) -> DataFrame:
+    """(ring_id, entity_id, channel_id) of videos and comments. Lines are cut down to these comments before they meet anything."""
     video = platform.video.select("video_id", "channel_id")
-    of_video = members.where("entity_kind = 'video'").join(video, F.col("entity_id") == F.col("video_id"))
-    said = platform.comment.select("comment_id", "video_id").join(video, "video_id")
-    of_comment = members.where("entity_kind = 'comment'").join(said, F.col("entity_id") == F.col("comment_id"))
-    home = of_video.select("ring_id", "entity_id", "channel_id").unionByName(of_comment.select("ring_id", "entity_id", "channel_id"))
-    first = home.groupBy("ring_id").agg(F.min(F.struct("entity_id", "channel_id")).alias("x"))
-    return first.select(F.col("ring_id").alias("seed"), F.col("x.channel_id").alias("node_id"), F.lit("channel").alias("kind"))
+    of_video = few.where("entity_kind = 'video'").join(video, F.col("entity_id") == F.col("video_id"))
+    ids = few.where("entity_kind = 'comment'").select("ring_id", "entity_id")
+    said = stored(platform.comments_among(ids.select(F.col("entity_id").alias("comment_id"))).select("comment_id", "video_id"), "said").join(video, "video_id")
+    of_comment = ids.join(said, F.col("entity_id") == F.col("comment_id"))
+    return of_video.select("ring_id", "entity_id", "channel_id").unionByName(of_comment.select("ring_id", "entity_id", "channel_id"))
+
+
+def ring_seeds(platform, members: DataFrame | None = None, least: int = 64) -> DataFrame:
+    """Where a ring's investigation starts: the channel of its least member.
+
+    Only the least members of a ring are looked up; rings none of whose have a channel go on with 16 times as many, to their last member.
+    """
+    members = (ring_members(platform) if members is None else members).select("ring_id", "entity_kind", "entity_id").where("entity_id is not null").distinct()
+    turn, found = Window.partitionBy("ring_id").orderBy("entity_id"), None
+    while True:
+        few = stored(members.withColumn("_n", F.dense_rank().over(turn)).where(F.col("_n") <= least), "least")
+        first = _homes(platform, few).groupBy("ring_id").agg(F.min(F.struct("entity_id", "channel_id")).alias("x"))
+        first = stored(first.select(F.col("ring_id").alias("seed"), F.col("x.channel_id").alias("node_id"), F.lit("channel").alias("kind")), "seeds")
+        found = first if found is None else found.unionByName(first)
+        open_ = few.where(F.col("_n") == least).select("ring_id").distinct().join(first.select(F.col("seed").alias("ring_id")), "ring_id", "left_anti")
+        if open_.isEmpty():
+            return found
+        members, least = stored(members.join(open_, "ring_id", "left_semi"), "members"), 16 * least
 
 
 def recovered(nodes: DataFrame, members: DataFrame, seeds: DataFrame, budgets: tuple[int, ...] = BUDGETS) -> DataFrame:
