@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ringwatch.sources.platform import DAY_MS
+from ringwatch.sources.platform import DAY_MS, FINER
 from ringwatch.sources.scratch import stored
 
 #: Severity of each signal, and of what aggravates a flagged channel.
@@ -74,14 +74,21 @@ def shared_by(commenters_: DataFrame, hints: DataFrame) -> DataFrame:
     return commenters_.join(held, "account_id").groupBy("channel_id", "signal_type", "signal_value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COORDINATION_FLOOR)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out by channel, in ``FINER`` times the session's shuffle partitions."""
+    return df.repartition(FINER * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "channel_id")
+
+
 def coordinated(posts: DataFrame, hints: DataFrame) -> DataFrame:
     """``shared_by`` without the counts, of (channel_id, account_id) with repeats: two commenters differ if the least number among them is not the largest.
 
-    Accounts are numbered in order of their ids within the partition of their hash, so a task that is run again gives the same numbers.
+    Accounts are numbered in order of their ids within the partition of their hash, so a task that is run again gives the same numbers. Channels are dealt out
+    before values are counted: a task counts those of its own channels alone, where counts before a deal would hold nearly all channels' values in every task.
     """
     value = F.struct("signal_type", "signal_value")
     held = hints.groupBy(F.col("subject_id").alias("account_id")).agg(F.collect_set(value).alias("values")).sortWithinPartitions("account_id").withColumn("_n", F.monotonically_increasing_id())
-    each = posts.select("channel_id", "account_id").join(held, "account_id").select("channel_id", "_n", F.explode("values").alias("v")).select("channel_id", "_n", "v.*")
+    dealt = _dealt(posts.select("channel_id", "account_id").join(held, "account_id").select("channel_id", "_n", "values"))
+    each = dealt.select("channel_id", "_n", F.explode("values").alias("v")).select("channel_id", "_n", "v.*")
     return each.groupBy("channel_id", "signal_type", "signal_value").agg(F.min("_n").alias("_a"), F.max("_n").alias("_b")).where("_a < _b").drop("_a", "_b")
 
 
@@ -91,7 +98,9 @@ def inbound_signals(comments: DataFrame, videos: DataFrame, hints: DataFrame) ->
 
 
 def _values(own: DataFrame, inbound: DataFrame) -> DataFrame:
-    return own.select("channel_id", "signal_type", "signal_value").unionByName(inbound.select("channel_id", "signal_type", "signal_value")).distinct()
+    """Distinct values of each channel, dealt out by channel: what is then counted by channel stays in its task."""
+    both = own.select("channel_id", "signal_type", "signal_value").unionByName(inbound.select("channel_id", "signal_type", "signal_value"))
+    return _dealt(both).distinct()
 
 
 def holder_bits(hints: DataFrame) -> DataFrame:
@@ -145,7 +154,7 @@ def spread(channels: DataFrame, own: DataFrame, inbound: DataFrame, hints: DataF
 def recidivism(own: DataFrame, inbound: DataFrame, hints: DataFrame) -> DataFrame:
     """Distinct days (in +05:30) on which any of the channel's values was seen anywhere."""
     day = F.floor((F.col("observed_ms") + IST_MS) / DAY_MS)
-    days = hints.select("signal_type", "signal_value", day.alias("day")).distinct()
+    days = stored(hints.select("signal_type", "signal_value", day.alias("day")).distinct(), "days")
     out = _values(own, inbound).join(days, ["signal_type", "signal_value"]).groupBy("channel_id").agg(F.count_distinct("day").alias("pattern_days"))
     return out.withColumn("recidivism", F.least(F.lit(1.0), F.greatest(F.lit(0), F.col("pattern_days") - 1) / RECIDIVISM_CAP))
 
